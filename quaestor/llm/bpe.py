@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -42,7 +42,7 @@ def _latin(text: str) -> str:
 class BytePairCodec:
     """A worker's encoder. Encodings of words are kept up to a fixed number of them."""
 
-    KEPT, KEPT_CHARS = 700_000, 40
+    KEPT, KEPT_CHARS = 500_000, 40
 
     def __init__(self, path: str, pattern: str) -> None:
         ranks = read_ranks(path)
@@ -156,41 +156,49 @@ class Document:
         return out
 
 
-def _with_binary(df: DataFrame, source: str, target: str, make) -> DataFrame:
-    """df with a binary column computed from another one, in batches."""
-    fields = [f for f in df.schema.fields if f.name != target]
-    schema = T.StructType([*fields, T.StructField(target, T.BinaryType())])
+#: Rows worked on and handed back at a time, whatever the size of Spark's batches.
+ROWS = 256
+
+
+def _with_binary(df: DataFrame, made: dict[str, tuple[str, Callable]]) -> DataFrame:
+    """df with binary columns, each computed from one that is there by then: name -> (from, how)."""
+    fields = [f for f in df.schema.fields if f.name not in made]
+    schema = T.StructType([*fields, *(T.StructField(name, T.BinaryType()) for name in made)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
+        work = {name: (source, how()) for name, (source, how) in made.items()}
         for batch in batches:
-            made = pa.array([None if x is None else work(x) for x in batch.column(batch.schema.names.index(source)).to_pylist()], pa.binary())
-            kept = [i for i, n in enumerate(batch.schema.names) if n != target]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), made], [*(batch.schema.names[i] for i in kept), target])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                columns = dict(zip(part.schema.names, part.columns, strict=True))
+                for name, (source, how) in work.items():
+                    columns[name] = pa.array([None if x is None else how(x) for x in columns[source].to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_pydict({f.name: columns[f.name] for f in schema.fields})
 
     return df.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, text: str = "text", tokens: str = "tokens", path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def encode(df: DataFrame, text: str = "text", tokens: str = "tokens", path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, decoded: str | None = None) -> DataFrame:
     """Add the ids of each whole text, packed as little-endian unsigned 32-bit integers.
 
-    A null text has null ids, an empty one none. Other columns pass through; a column
-    already called as the new one is replaced. Rows are neither moved nor merged, so
-    repeated rows and extra columns need no care.
+    A null text has null ids, an empty one none. With decoded, add the bytes the ids stand
+    for as well, in the same pass. Other columns pass through; a column already called as
+    a new one is replaced. Rows are neither moved nor merged, so repeated rows and extra
+    columns need no care.
     """
-    return _with_binary(df, text, tokens, lambda: codec(path, pattern).encode)
+    made = {tokens: (text, lambda: codec(path, pattern).encode)}
+    return _with_binary(df, made | {decoded: (tokens, lambda: codec(path, pattern).decode)} if decoded else made)
 
 
 def decode(df: DataFrame, tokens: str = "tokens", decoded: str = "decoded", path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Add the bytes that packed ids stand for; null ids have null bytes."""
-    return _with_binary(df, tokens, decoded, lambda: codec(path, pattern).decode)
+    return _with_binary(df, {decoded: (tokens, lambda: codec(path, pattern).decode)})
 
 
 def digests(documents: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; a null text counts as empty."""
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = decode(encode(rows).drop("text"))
-    return coded.select(
+    return encode(rows, decoded="decoded").select(
         "doc_id",
         (F.octet_length("tokens") / 4).cast("long").alias("n_tokens"),
         F.sha2("tokens", 256).alias("ids_sha256"),

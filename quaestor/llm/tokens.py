@@ -17,6 +17,8 @@ from .prefix import NONE, PrefixTable
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
+#: Rows worked on and handed back at a time, whatever the size of Spark's batches.
+ROWS = 256
 #: No piece of the vocabulary has a space behind another character, so none crosses these.
 _STRETCH = re.compile(r" +[^ ]*")
 
@@ -28,7 +30,7 @@ class PrefixCounter:
     are kept up to a fixed number of them.
     """
 
-    KEPT, KEPT_CHARS = 600_000, 40
+    KEPT, KEPT_CHARS = 400_000, 40
 
     def __init__(self, path: str) -> None:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -125,10 +127,11 @@ def _with_long(df: DataFrame, text: str, target: str, path: str, make) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make(counter(path))
         for batch in batches:
-            names = batch.schema.names
-            made = pa.array([None if x is None else work(x) for x in batch.column(names.index(text)).to_pylist()], pa.int64())
-            kept = [i for i, n in enumerate(names) if n != target]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), made], [*(names[i] for i in kept), target])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                columns = dict(zip(part.schema.names, part.columns, strict=True))
+                columns[target] = pa.array([None if x is None else work(x) for x in columns[text].to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_pydict({f.name: columns[f.name] for f in schema.fields})
 
     return df.mapInArrow(run, schema)
 
