@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, tokens
+from . import bpe, mixing, pii, quality, tokens
 from .common import read_table
 
 
@@ -16,7 +16,10 @@ def _documents(*columns: str, of: Callable[[DataFrame], DataFrame]) -> Callable[
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": _documents("doc_id", "text", of=bpe.digests),
+    "op4_source_mixing": _documents("doc_id", "text", "source", of=mixing.taken),
+    "op7_pii": _documents("doc_id", "text", of=pii.digests),
+    "op9_quality_rules": _documents("doc_id", "text", of=quality.quality),
     "op6_token_counts": _documents("doc_id", "text", of=tokens.token_counts),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_source_mixing": mixing.SQL}
