@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, pii, quality, tokens
+from . import bpe, lm, mixing, pii, quality, tokens
 from .common import read_table
 
 
@@ -16,6 +16,7 @@ def _documents(*columns: str, of: Callable[[DataFrame], DataFrame]) -> Callable[
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": _documents("doc_id", "text", of=bpe.digests),
+    "op3_lm_scoring": _documents("doc_id", "text", of=lm.scored),
     "op4_source_mixing": _documents("doc_id", "text", "source", of=mixing.taken),
     "op7_pii": _documents("doc_id", "text", of=pii.digests),
     "op9_quality_rules": _documents("doc_id", "text", of=quality.quality),
