@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -22,3 +24,20 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
+
+
+def bit_filter(df: DataFrame, slot: str, bits: int) -> np.ndarray:
+    """A bitmap of 2^bits bits in which the slots of df are set, whatever the number of rows.
+
+    Tasks merge their bitmaps before anything moves; only the fixed-size result is fetched.
+    """
+    chunk = 15
+    made = df.groupBy(F.shiftright(slot, chunk).alias("at")).agg(F.bitmap_construct_agg(F.col(slot).bitwiseAND((1 << chunk) - 1)).alias("map"))
+    out = np.zeros((1 << (bits - chunk), 1 << (chunk - 3)), "u1")
+    for row in made.collect():
+        out[row["at"]] = np.frombuffer(row["map"], "u1")
+    return out.ravel()
+
+
+def is_set(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bitmap[slots >> 3] >> (slots & 7).astype("u1")) & 1 == 1

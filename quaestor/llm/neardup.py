@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bit_filter, cut, is_set
 from .graph import components
 
 TOKENS = 128  # minwise tokens of a document
@@ -201,16 +201,13 @@ def confirmed(documents: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.col("block"))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block"))))
     cells = own.withColumn("other", other).select("id", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("cell"))
     # A filter of fixed size keeps most other documents from being cut into shingles again.
-    bits = np.zeros(1 << FILTER_BITS, bool)
     slot = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << FILTER_BITS))
-    bits[group.select(slot.alias("s")).distinct().toArrow().column("s").to_numpy()] = True
-    known = documents.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+    known = documents.sparkSession.sparkContext.broadcast(bit_filter(group.select(slot.alias("s")), "s", FILTER_BITS))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(np.frombuffer(known.value, "u1")).astype(bool)
         for batch in batches:
-            wanted = batch.filter(pa.array(flags[batch.column(2).to_numpy()])).select([0, 1])
+            wanted = batch.filter(pa.array(is_set(known.value, batch.column(2).to_numpy()))).select([0, 1])
             for at in range(0, wanted.num_rows, 256):
                 part = wanted.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, width).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "set"])

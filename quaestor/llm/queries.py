@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lm, mixing, neardup, pii, quality, tokens
+from . import bpe, lm, mixing, neardup, passages, pii, quality, tokens
 from .common import read_table
 
 
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pii": _documents("doc_id", "text", of=pii.digests),
     "op9_quality_rules": _documents("doc_id", "text", of=quality.quality),
     "op10_near_duplicates": _documents("doc_id", "text", of=neardup.near_duplicates),
+    "op5_passage_dedup": _documents("doc_id", "text", of=passages.digests),
     "op6_token_counts": _documents("doc_id", "text", of=tokens.token_counts),
 }
 
