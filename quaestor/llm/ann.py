@@ -22,7 +22,7 @@ NEIGHBOURS = 10
 HIDDEN = 64
 PARTS = 32
 #: Recall within the sample that the number of probed parts must reach.
-WANTED = 0.97
+WANTED = 0.98
 #: Vectors of a block; blocks of queries meet blocks of candidates.
 BLOCK = 1024
 
