@@ -21,15 +21,9 @@ def exact(x: Column | int) -> Column:
     return (F.lit(x) if isinstance(x, int) else x).cast("decimal(38,0)")
 
 
-def floor_div(x: Column, n: int | Column) -> Column:
-    """x // n of a non-negative decimal(38,0), exactly."""
-    n = exact(n)
-    return ((x - x % n) / n).cast("decimal(38,0)")
-
-
 def share(minor: Column, bps: Column) -> Column:
-    """minor x bps / 10 000, half up, as decimal(38,0)."""
-    return floor_div((exact(minor) * exact(bps) + 5000).cast("decimal(38,0)"), 10_000)
+    """minor x bps / 10 000, half up, as decimal(38,0); the quotient has four places, so it is exact."""
+    return F.floor((exact(minor) * exact(bps) + 5000).cast("decimal(38,0)") / exact(10_000)).cast("decimal(38,0)")
 
 
 def safe(x: Column) -> Column:
@@ -96,21 +90,24 @@ def previous_on_ladder(tiers: Column, minor: Column) -> Column:
 def affordable_bid(budget: Column, bps: Column, tiers: Column, minimum: int = 0, fees: dict[str, Column] | None = None) -> Column:
     """The highest hammer on the ladder whose total stays within budget; null if none does.
 
-    Cost never falls as the hammer rises, so a search by halves finds the border: 54 folds
-    cover every safe integer.
+    Cost never falls as the hammer rises, so a search by halves finds the border, in as many
+    folds as the budget has bits.
     """
-    cost = lambda h: bid_cost(h, bps, fees)["total"]
+    total = lambda h: bid_cost(h, bps, fees)["total"]
     floor = next_on_ladder(tiers, F.lit(max(minimum, 1)).cast("bigint"))
     begin = F.struct(floor.alias("low"), (budget.cast("bigint") + 1).alias("high"))
 
     def halve(s: Column, _: Column) -> Column:
+        def at(middle: Column) -> Column:
+            fits = F.coalesce(total(middle) <= budget, F.lit(False))
+            return F.when(fits, F.struct(middle.alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), middle.alias("high")))
+
         middle = F.shiftright(s["low"] + s["high"], 1)
-        fits = F.coalesce(cost(middle) <= budget, F.lit(False))
-        move = s["low"] + 1 < s["high"]
-        return F.struct(F.when(move & fits, middle).otherwise(s["low"]).alias("low"), F.when(move & ~fits, middle).otherwise(s["high"]).alias("high"))
+        return F.when(s["low"] + 1 < s["high"], F.get(F.transform(F.array(middle), at), F.lit(0))).otherwise(s)
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(54)), begin, halve, lambda s: s["low"])
-    return F.when(cost(floor) <= budget, previous_on_ladder(tiers, found))
+    steps = F.greatest(F.ceil(F.log2(budget.cast("double") + 2)), F.lit(1)).cast("int") + 1
+    found = F.aggregate(F.sequence(F.lit(1), steps), begin, halve, lambda s: s["low"])
+    return F.when(total(floor) <= budget, previous_on_ladder(tiers, found))
 
 
 def sticky_sum(minor: Column) -> Column:

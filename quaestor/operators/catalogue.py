@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 SHARD_BYTES = 4 * 1024 * 1024
 
 
@@ -25,11 +27,11 @@ def resolve_redirects(links: DataFrame, kept: DataFrame, most: int = 64) -> Data
     of the longest one.
     """
     grouped = links.groupBy("old").agg(F.count_distinct("new").alias("n"), F.min("new").alias("new"))
-    now = grouped.select("old", F.when(F.col("n") == 1, F.col("new")).alias("at"))
+    now = cut(grouped.select("old", F.when(F.col("n") == 1, F.col("new")).alias("at")))
     reach = 1
     while reach < most:
         jump = now.select(F.col("old").alias("mid"), F.col("at").alias("next"), F.lit(True).alias("hit"))
-        now = now.join(jump, F.col("at") == F.col("mid"), "left").select("old", F.when(F.col("hit"), F.col("next")).otherwise(F.col("at")).alias("at"))
+        now = cut(now.join(jump, F.col("at") == F.col("mid"), "left").select("old", F.when(F.col("hit"), F.col("next")).otherwise(F.col("at")).alias("at")))
         reach *= 2
     heads = grouped.select(F.col("old").alias("head"), F.lit(True).alias("is_link"))
     good = kept.select(F.col("id").alias("kept_id")).distinct()

@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     """UTC, ANSI arithmetic (an overflow is an error, as in exact money) and adaptive plans."""
     return builder.config("spark.sql.session.timeZone", "UTC").config("spark.sql.ansi.enabled", "true").config("spark.sql.adaptive.enabled", "true")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute df once, with a reliable checkpoint in the folder that spark.checkpoint.dir names;
+    a local one is set only where there is none, as in tests."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
