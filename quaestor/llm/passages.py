@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import bit_filter, cut, is_set
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24  # long enough that unrelated texts seldom share one, at any size of the corpus
 #: Bits of the filter of keys that occur in two documents, and how many keys it is good
 #: for; with more, segments meet the keys in a join.
 FILTER_BITS = 26
@@ -29,6 +29,8 @@ FILTER_KEYS = 1 << 24
 #: Segments of a key that one task puts in order; those of a more frequent key are split
 #: into their stretches, each a key of its own. At most MANY keys are that frequent.
 HOT, MANY = 20_000, 4_000_000
+#: Bits of the filter of rows that lose something.
+TOUCHED_BITS = 24
 #: Suffixes put in order at a time.
 BLOCK = 400_000
 
@@ -212,29 +214,48 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = removable(rows)
-    spans = found.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    both = rows.join(spans, F.col("row") == F.col("_row"), "left").select("doc_id", F.col("text").cast("binary").alias("text"), F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    spans = cut(removable(rows).groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    slot = lambda row: F.pmod(F.xxhash64(row), F.lit(1 << TOUCHED_BITS))
+    touched = documents.sparkSession.sparkContext.broadcast(bit_filter(spans.select(slot("_row").alias("s")), "s", TOUCHED_BITS))
+    given = rows.select("row", "doc_id", F.col("text").cast("binary").alias("text"), slot("row").alias("s"))
+
+    def left(text: bytes, starts: list[int] | None, ends: list[int] | None) -> tuple[bytes, int, int, int]:
+        if not starts:
+            return text, len(text), 0, 0
+        change = np.bincount(starts, minlength=len(text) + 1) - np.bincount(ends, minlength=len(text) + 1)
+        gone = np.cumsum(change)[:-1] > 0
+        return np.frombuffer(text, "u1")[~gone].tobytes(), len(text), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+
+    def made(ids: pa.Array, found: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        columns = zip(*found, strict=True) if found else ([],) * 4
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+
+    def parts(batches: Iterator[pa.RecordBatch], hit: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags = is_set(touched.value, batch.column(3).to_numpy())
+            own = batch.filter(pa.array(flags == hit))
+            yield from (own.slice(at, 256) for at in range(0, own.num_rows, 256))
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, False):
+            yield made(part.column(1), [left(t, None, None) for t in part.column(2).to_pylist()])
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, True):
+            yield part.select(["row", "doc_id", "text"])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                kept, removed, count = [], [], []
-                for text, starts, ends in zip(*(c.to_pylist() for c in part.columns[1:]), strict=True):
-                    if not starts:
-                        kept.append(text)
-                        removed.append(0)
-                        count.append(0)
-                        continue
-                    change = np.bincount(starts, minlength=len(text) + 1) - np.bincount(ends, minlength=len(text) + 1)
-                    gone = np.cumsum(change)[:-1] > 0
-                    kept.append(np.frombuffer(text, "u1")[~gone].tobytes())
-                    removed.append(int(gone.sum()))
-                    count.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()), pa.array([len(x) for x in part.column(1).to_pylist()], pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64())], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
-
-    return both.mapInArrow(remove, f"doc_id {kind}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield made(part.column(0), [left(*x) for x in zip(*(c.to_pylist() for c in part.columns[1:]), strict=True)])
+
+    # Only texts that lose something (and a few that the filter takes for such) are moved.
+    schema = f"doc_id {kind}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint"
+    met = given.mapInArrow(some, f"row bigint, doc_id {kind}, text binary").join(spans, F.col("row") == F.col("_row"), "left")
+    lost = met.select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends")).mapInArrow(remove, schema)
+    return given.mapInArrow(untouched, schema).unionByName(lost)
 
 
 def digests(documents: DataFrame) -> DataFrame:
