@@ -1,6 +1,6 @@
 """Exact money: integer minor units, shares in basis points rounded half up, bid ladders.
 
-Amounts are bigint; intermediates are decimal(38,0). A result above the largest safe
+Amounts are bigint, sums over rows decimal(38,0). A result above the largest safe
 integer is null: an amount that can't be held exactly is not shown.
 """
 
@@ -22,8 +22,15 @@ def exact(x: Column | int) -> Column:
 
 
 def share(minor: Column, bps: Column) -> Column:
-    """minor x bps / 10 000, half up, as decimal(38,0); the quotient has four places, so it is exact."""
-    return F.floor((exact(minor) * exact(bps) + 5000).cast("decimal(38,0)") / exact(10_000)).cast("decimal(38,0)")
+    """minor x bps / 10 000, half up, exactly and in bigint.
+
+    Ten thousands and the rest are taken apart, so that no product passes 2^63 for a safe
+    amount of up to 10 000 basis points.
+    """
+    minor = minor.cast("bigint")
+    whole = F.call_function("div", minor, F.lit(10_000))
+    rest = minor % 10_000
+    return whole * bps + F.call_function("div", rest * bps + 5000, F.lit(10_000))
 
 
 def safe(x: Column) -> Column:
@@ -36,10 +43,20 @@ def currency_rank(currency: Column) -> Column:
 
 def premium(hammer: Column, bps: Column) -> Column:
     """struct<premium, hammer_plus_premium>; null for bps outside 0..10 000 or an unsafe result."""
+    good = hammer.between(0, SAFE) & bps.between(0, 10_000)
+    part = share(hammer, bps)
+    return F.when(good & (part + hammer <= SAFE), F.struct(part.alias("premium"), (part + hammer).alias("hammer_plus_premium")))
+
+
+def _lines(hammer: Column, bps: Column, fees: dict[str, Column] | None) -> dict[str, Column]:
+    fee = {name: (fees or {}).get(name, F.lit(0)).cast("bigint") for name in FEES}
     part = share(hammer, bps)
-    total = part + exact(hammer)
-    good = hammer.between(0, SAFE) & bps.between(0, 10_000) & (total <= SAFE)
-    return F.when(good, F.struct(part.cast("bigint").alias("premium"), total.cast("bigint").alias("hammer_plus_premium")))
+    both = part + hammer
+    vat, platform = share(part, fee["premium_vat_bps"]), share(hammer, fee["platform_fee_bps"])
+    base = both + vat + platform + fee["shipping_minor"]
+    payment = share(base, fee["payment_fee_bps"]) + fee["payment_fee_minor"]
+    imports = share(both + fee["shipping_minor"], fee["import_vat_bps"])
+    return {"premium": part, "hammer_plus_premium": both, "premium_vat": vat, "platform_fee": platform, "payment_fee": payment, "import_vat": imports, "total": base + payment + imports}
 
 
 def bid_cost(hammer: Column, bps: Column, fees: dict[str, Column] | None = None) -> Column:
@@ -48,17 +65,10 @@ def bid_cost(hammer: Column, bps: Column, fees: dict[str, Column] | None = None)
     VAT is charged on the premium, the platform's fee on the hammer, the payment fee on all
     of these with shipping, import VAT on hammer, premium and shipping.
     """
-    fee = {name: exact((fees or {}).get(name, F.lit(0))) for name in FEES}
-    part = share(hammer, bps)
-    both = part + exact(hammer)
-    vat, platform = share(part, fee["premium_vat_bps"]), share(hammer, fee["platform_fee_bps"])
-    base = (both + vat + platform + fee["shipping_minor"]).cast("decimal(38,0)")
-    payment = (share(base, fee["payment_fee_bps"]) + fee["payment_fee_minor"]).cast("decimal(38,0)")
-    imports = share((both + fee["shipping_minor"]).cast("decimal(38,0)"), fee["import_vat_bps"])
-    total = base + payment + imports
-    lines = {"premium": part, "hammer_plus_premium": both, "premium_vat": vat, "platform_fee": platform, "payment_fee": payment, "import_vat": imports, "total": total}
-    good = hammer.between(0, SAFE) & bps.between(0, 10_000) & (total <= SAFE)
-    return F.when(good, F.struct(*(v.cast("bigint").alias(k) for k, v in lines.items())))
+    lines = _lines(hammer, bps, fees)
+    # A guard before the sums keeps them in range; one behind keeps them safe.
+    good = hammer.between(0, SAFE) & bps.between(0, 10_000)
+    return F.when(good, F.when(lines["total"] <= SAFE, F.struct(*(v.cast("bigint").alias(k) for k, v in lines.items()))))
 
 
 def ladder(tiers: list[tuple[int, int]]) -> Column:
@@ -93,7 +103,7 @@ def affordable_bid(budget: Column, bps: Column, tiers: Column, minimum: int = 0,
     Cost never falls as the hammer rises, so a search by halves finds the border, in as many
     folds as the budget has bits.
     """
-    total = lambda h: bid_cost(h, bps, fees)["total"]
+    total = lambda h: _lines(h, bps, fees)["total"]
     floor = next_on_ladder(tiers, F.lit(max(minimum, 1)).cast("bigint"))
     begin = F.struct(floor.alias("low"), (budget.cast("bigint") + 1).alias("high"))
 

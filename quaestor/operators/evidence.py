@@ -14,13 +14,11 @@ TEXTS = ("house_sale_id", "auction_house", "auction_name", "auction_date", "lot_
 
 def sale_key(house: Column, sale: Column, lot: Column) -> Column:
     """JSON array of the three normalized parts; null if any is missing (a weak identity)."""
-    parts = [identity_key(x.cast("string")) for x in (house, sale, lot)]
-    whole = F.to_json(F.array(*parts))
-    return F.when((parts[0] != "") & (parts[1] != "") & (parts[2] != ""), whole)
+    return _joined([identity_key(x.cast("string")) for x in (house, sale, lot)])
 
 
-def _differ(values: Column) -> Column:
-    return F.size(F.array_distinct(values)) > 1
+def _joined(parts: list[Column]) -> Column:
+    return F.when((parts[0] != "") & (parts[1] != "") & (parts[2] != ""), F.to_json(F.array(*parts)))
 
 
 def deduplicate(observations: DataFrame) -> DataFrame:
@@ -29,16 +27,20 @@ def deduplicate(observations: DataFrame) -> DataFrame:
     Observations without a full identity stay alone. Aggregation is by the sale's key, so
     copies of a sale meet after one shuffle and groups stay as small as a sale's sources.
     """
-    key = sale_key(*(F.col(c) for c in KEY))
-    keyed = observations.withColumn("sale_key", key).withColumn("group_key", F.coalesce(F.concat(F.lit("live:"), key), F.concat(F.lit("weak:"), F.col("obs_id"))))
+    # Every text is normalized once and then used by name.
+    texts = {f"_n_{c}": F.col(c).cast("string") if c == "auction_date" else identity_key(F.col(c)) for c in TEXTS}
+    keyed = observations.withColumns(texts).withColumn("sale_key", _joined([F.col(f"_n_{c}") for c in KEY]))
+    keyed = keyed.withColumn("group_key", F.coalesce(F.concat(F.lit("live:"), F.col("sale_key")), F.concat(F.lit("weak:"), F.col("obs_id"))))
     item = F.struct("row_idx", "obs_id", "source", "price_basis", "currency", "minor", "collector_excluded", "collector_reason", *TEXTS)
-    rows = keyed.groupBy("group_key").agg(F.first("sale_key").alias("sale_key"), F.array_sort(F.collect_list(item)).alias("observations"))
-    o = F.col("observations")
-    text = lambda c: F.filter(F.transform(o, lambda x: identity_key(x[c].cast("string"))), lambda v: v != "")  # noqa: E731, B023
-    amount = F.transform(o, lambda x: F.when(x["minor"].isNull(), "missing").otherwise(F.concat_ws(":", x["currency"], x["minor"].cast("string"))))
-    currency = F.transform(o, lambda x: F.when(x["minor"].isNull(), "missing").otherwise(x["currency"]))
-    found = [F.when(_differ(text(c)), F.lit(c)) for c in TEXTS] + [F.when(_differ(amount), F.lit("amount")), F.when(_differ(currency), F.lit("currency")), F.when(_differ(F.transform(o, lambda x: x["price_basis"])), F.lit("price_basis"))]
-    conflicts = F.array_compact(F.array(*found))
+    # A field is in conflict if its normalized values differ: the least and the greatest do.
+    norm = {c: F.nullif(F.col(f"_n_{c}"), F.lit("")) for c in TEXTS}
+    missing = F.col("minor").isNull()
+    norm["amount"] = F.when(missing, "missing").otherwise(F.concat_ws(":", "currency", F.col("minor").cast("string")))
+    norm["currency"] = F.when(missing, "missing").otherwise(F.col("currency"))
+    norm["price_basis"] = F.col("price_basis")
+    differ = [F.when(F.min(v) != F.max(v), F.lit(c)) for c, v in norm.items()]
+    rows = keyed.groupBy("group_key").agg(F.first("sale_key").alias("sale_key"), F.array_sort(F.collect_list(item)).alias("observations"), F.array_compact(F.array(*differ)).alias("conflicts"))
+    o, conflicts = F.col("observations"), F.col("conflicts")
     by_hand = F.get(F.filter(o, lambda x: F.coalesce(x["collector_excluded"], F.lit(False))), F.lit(0))
     bases = F.transform(o, lambda x: x["price_basis"])
     basis = F.when(F.array_contains(bases, "estimate"), "estimate").when(F.array_contains(bases, "unsold"), "unsold").when(F.array_contains(bases, "missing"), "missing-price").otherwise("not-comparable")
