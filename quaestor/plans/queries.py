@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, money, text
+from ..functions import dates, money, references, text
 from ..operators import catalogue, evidence, merge, projections, statistics
 from ..streaming import alerts
 from .views import AUCTIONS, LOTS, PROVIDER_ROWS, SALE_OBS, TODAY, auctions, lots, provider_rows, sale_obs, table, today
@@ -456,3 +457,21 @@ _FNV = [("", 2166136261), ("a", 3826002220), ("abc", 440920331), ("foobar", 3214
 _values("fnv32_ids", "t string", [(t,) for t, _ in _FNV], lambda df: df.select("t", text.fnv32(F.col("t")).alias("hash")), _table(_FNV, "t, hash"))
 _NINE = [9000, 11000, 13500, 16500, 18000, 21500, 24500, 31000, 45000]
 _values("half_medians_golden", "minors array<bigint>, n int", [(_NINE, 9), ([100, 101, 200, 201], 4), ([5, 7], 2)], lambda df: df.select("n", *(v.alias(k) for k, v in statistics.half_medians(F.col("minors")).items())), _table([(9, 18000, 12250, 27750), (4, 151, 101, 201), (2, None, None, None)], "n, median, lower_quartile, upper_quartile"))
+
+
+_REFERENCES = [("“Crawford 44/5”", "RRC", "", "", "44/5"), ("„RIC I² Nero 306“", "RIC", "I (2nd edition)", "Nero", "306"), ("RIC 972", "RIC", "", "", "972"), ("SC 2195.5c­", "SC", "", "", "2195.5c"), ("Bop Hermaeus 20", "Bop", "", "Hermaeus", "20"), ("﻿Price 23", "Price", "", "", "23"), ("HGC​ 4, 1218­", "Other", "", "", "HGC 4, 1218"), ("SC 2195.5c; SNG Spaer 1712", "SC", "", "", "2195.5c"), ("HGC 9, 1; RIC I² Nero 306", "RIC", "I (2nd edition)", "Nero", "306"), ("(Crawford 44/5)", "RRC", "", "", "44/5"), ("(Price 23)", "Price", "", "", "23"), ("(RIC I² Nero 306)", "RIC", "I (2nd edition)", "Nero", "306"), ("SG 6829 var.", "Other", "", "", "SG 6829 var."), ("sc1630.2b", "SC", "", "", "1630.2b"), ("Seleucid Coins (part 1) 1266.2", "SC", "", "", "1266.2"), ("Sear 6829", "Other", "", "", "Sear 6829")]
+_values("reference_golden", "t string, n int", [(r[0], i) for i, r in enumerate(_REFERENCES)], lambda df: df.select("n", references.parse_reference(F.col("t")).alias("r")).select("n", "r.*"), "SELECT CAST(n AS INT) AS n, catalogue, volume, section, number FROM (" + _table([(i, *r[1:]) for i, r in enumerate(_REFERENCES)], "n, catalogue, volume, section, number") + ")")
+_WORDS = [("Nero. AR denarius, Rome.", True), ("Group of three denarii.", True), ("Nero. Sestertius, Rome.", False), ("A denariusish thing.", False)]
+_values("denomination_golden", "t string, n int", [(t, i) for i, (t, _) in enumerate(_WORDS)], lambda df: df.select("n", references.names_denomination(F.col("t"), "denarius").alias("named")), "SELECT CAST(n AS INT) AS n, named FROM (" + _table([(i, v) for i, (_, v) in enumerate(_WORDS)], "n, named") + ")")
+
+
+@query("SELECT event_type, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY event_type")
+def alert_stream_dedupe(spark, sf_dir):
+    """The events as a stream of commands, each sent twice, counted once."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    ts = F.col("ts").cast("timestamp")
+    sent = stream.select(F.explode(F.array(F.col("event_id"), F.col("event_id"))).alias("request_id"), ts.alias("ts"), "event_type")
+    name = f"once_{uuid.uuid4().hex}"
+    alerts.once(sent, "60 days").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination(300)
+    return spark.table(name).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("request_id").alias("first_id"))
