@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,3 +22,16 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers, unless they find it where the driver did."""
+    root, sc = Path(__file__).resolve().parent.parent, spark.sparkContext
+    if Path.cwd() == root or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_quaestor_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="quaestor-")) / "quaestor.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted((root / "quaestor").rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    sc.addPyFile(str(archive))
+    sc._quaestor_shipped = True
