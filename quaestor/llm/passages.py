@@ -2,8 +2,9 @@
 
 Every stretch of LENGTH bytes that is shared has the same least hash among its short
 grams, and consecutive stretches mostly share it; so texts fall into segments, keyed by
-that hash, and only segments whose key occurs in two documents need a closer look. Those
-of a key meet in one task. Their suffixes, as far as they matter (LENGTH bytes), are put
+that hash, and only segments whose key occurs twice need a closer look. Whole copies of an
+earlier text go at once and take no further part: what they hold, the first one holds too.
+Segments of a key meet in one task. Their suffixes, as far as they matter (LENGTH bytes), are put
 in suffix order, ties by doc_id; the previous smaller document in that order gives the
 longest earlier match of each position.
 """
@@ -15,22 +16,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bit_filter, cut, is_set
 
 LENGTH = 50
 GRAM = 24  # long enough that unrelated texts seldom share one, at any size of the corpus
-#: Bits of the filter of keys that occur in two documents, and how many keys it is good
+#: Bits of the filter of keys that occur in two texts, and how many keys it is good
 #: for; with more, segments meet the keys in a join.
 FILTER_BITS = 26
 FILTER_KEYS = 1 << 24
 #: Segments of a key that one task puts in order; those of a more frequent key are split
 #: into their stretches, each a key of its own. At most MANY keys are that frequent.
 HOT, MANY = 20_000, 4_000_000
-#: Bits of the filter of rows that lose something.
-TOUCHED_BITS = 24
+#: Bits of the filters of rows: whole copies, and rows that lose something.
+ROW_BITS = 24
 #: Suffixes put in order at a time.
 BLOCK = 400_000
 
@@ -116,24 +119,43 @@ def _resolve(rows: list[tuple[bytes, int, int, int]]) -> Iterator[tuple[int, int
                 yield row, start + int(part[0]), start + int(part[-1]) + LENGTH
 
 
-def removable(documents: DataFrame) -> DataFrame:
-    """row, start, end (bytes): stretches of documents (row, doc_id, text) that start in a smaller doc_id too."""
-    spark = documents.sparkSession
+def _slot(row: str) -> Column:
+    return F.pmod(F.xxhash64(row), F.lit(1 << ROW_BITS))
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def whole_copies(rows: DataFrame) -> np.ndarray:
+    """A bitmap over slots of rows (row, doc_id, text): all rows of a set slot repeat the text of a smaller doc_id.
+
+    Its size is fixed. A slot that other rows share stays unset; its copies are then found
+    like other repeats.
+    """
+    sized = rows.filter(F.octet_length("text") >= LENGTH)
+    told = cut(sized.select(_slot("row").alias("s"), F.col("doc_id").cast("long").alias("doc"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")))
+    first = told.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("digest", "first")
+    copies = cut(told.join(first, "digest", "left").select("s", F.coalesce(F.col("doc") > F.col("first"), F.lit(False)).alias("copy")))
+    return bit_filter(copies.filter("copy").select("s"), "s", ROW_BITS) & ~bit_filter(copies.filter("not copy").select("s"), "s", ROW_BITS)
+
+
+def removable(rows: DataFrame, skipped: Broadcast | None = None) -> DataFrame:
+    """row, start, end (bytes): stretches of rows (row, doc_id, text) that start in a smaller doc_id too.
+
+    Rows in slots of the bitmap skipped take no part.
+    """
+    spark = rows.sparkSession
+
+    def parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                keys, docs = [np.empty(0, "i8")], [np.empty(0, "i8")]
-                for doc, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    own = np.unique(segments(np.frombuffer(text, "u1"))[0])
-                    keys.append(own)
-                    docs.append(np.full(len(own), doc))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(docs))], names=["key", "doc"])
-
-    rows = documents.filter(F.col("doc_id").isNotNull()).select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).filter(F.octet_length("text") >= LENGTH)
-    counted = rows.mapInArrow(keyed, "key bigint, doc bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b"))
-    shared = cut(counted.filter("a < b").select("key", "n"))
+            if skipped is not None:
+                batch = batch.filter(pa.array(~is_set(skipped.value, batch.column(3).to_numpy())))
+            yield from (batch.slice(at, size) for at in range(0, batch.num_rows, size))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, 256):
+            keys = [np.unique(segments(np.frombuffer(text, "u1"))[0]) for text in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], names=["key"])
+
+    rows = rows.filter(F.octet_length("text") >= LENGTH).select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), _slot("row").alias("s"))
+    shared = cut(rows.mapInArrow(keyed, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     n, most = shared.agg(F.count(F.lit(1)), F.sum("n")).first()
     hot = max(HOT, (most or 0) // MANY)
     often = np.sort(shared.filter(F.col("n") > hot).select("key").toArrow().column("key").to_numpy())
@@ -143,27 +165,25 @@ def removable(documents: DataFrame) -> DataFrame:
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, frequent = given.value
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 128):
-                part = batch.slice(begin, 128)
-                out: list[list] = [[], [], [], [], [], []]
-                for row, doc, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    keys, starts, ends = segments(np.frombuffer(text, "u1"))
-                    if bits is not None:
-                        keep = is_set(bits, keys & slots)
-                        keys, starts, ends = keys[keep], starts[keep], ends[keep]
-                    spread = np.isin(keys, frequent)
-                    single = [text[a:b] for a, b in zip(starts[~spread].tolist(), ends[~spread].tolist(), strict=True)]
-                    own, places, alone = keys[~spread].tolist(), starts[~spread].tolist(), [False] * len(single)
-                    for a, b in zip(starts[spread].tolist(), ends[spread].tolist(), strict=True):
-                        for at in range(a, b - LENGTH + 1):
-                            single.append(text[at : at + LENGTH])
-                            places.append(at)
-                            alone.append(True)
-                            own.append(int.from_bytes(hashlib.blake2b(single[-1], digest_size=8).digest(), "little", signed=True))
-                    for target, more in zip(out, (own, single, [doc] * len(own), [row] * len(own), places, alone), strict=True):
-                        target += more
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), *(pa.array(x, pa.int64()) for x in out[2:5]), pa.array(out[5], pa.bool_())], names=["key", "segment", "doc", "row", "start", "alone"])
+        for part in parts(batches, 128):
+            out: list[list] = [[], [], [], [], [], []]
+            for row, doc, text in zip(*(c.to_pylist() for c in part.columns[:3]), strict=True):
+                keys, starts, ends = segments(np.frombuffer(text, "u1"))
+                if bits is not None:
+                    keep = is_set(bits, keys & slots)
+                    keys, starts, ends = keys[keep], starts[keep], ends[keep]
+                spread = np.isin(keys, frequent)
+                single = [text[a:b] for a, b in zip(starts[~spread].tolist(), ends[~spread].tolist(), strict=True)]
+                own, places, alone = keys[~spread].tolist(), starts[~spread].tolist(), [False] * len(single)
+                for a, b in zip(starts[spread].tolist(), ends[spread].tolist(), strict=True):
+                    for at in range(a, b - LENGTH + 1):
+                        single.append(text[at : at + LENGTH])
+                        places.append(at)
+                        alone.append(True)
+                        own.append(int.from_bytes(hashlib.blake2b(single[-1], digest_size=8).digest(), "little", signed=True))
+                for target, more in zip(out, (own, single, [doc] * len(own), [row] * len(own), places, alone), strict=True):
+                    target += more
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), *(pa.array(x, pa.int64()) for x in out[2:5]), pa.array(out[5], pa.bool_())], names=["key", "segment", "doc", "row", "start", "alone"])
 
     pieces = rows.mapInArrow(cut_out, "key bigint, segment binary, doc bigint, row bigint, start bigint, alone boolean")
     if bitmap is None:
@@ -214,10 +234,12 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    spans = cut(removable(rows).groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "end")).alias("spans")))
-    slot = lambda row: F.pmod(F.xxhash64(row), F.lit(1 << TOUCHED_BITS))
-    touched = documents.sparkSession.sparkContext.broadcast(bit_filter(spans.select(slot("_row").alias("s")), "s", TOUCHED_BITS))
-    given = rows.select("row", "doc_id", F.col("text").cast("binary").alias("text"), slot("row").alias("s"))
+    known = rows.filter(F.col("doc_id").isNotNull())
+    spark = documents.sparkSession
+    copies = spark.sparkContext.broadcast(whole_copies(known))
+    spans = cut(removable(known, copies).groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    touched = spark.sparkContext.broadcast(bit_filter(spans.select(_slot("_row").alias("s")), "s", ROW_BITS))
+    given = rows.select("row", "doc_id", F.col("text").cast("binary").alias("text"), _slot("row").alias("s"))
 
     def left(text: bytes, starts: list[int] | None, ends: list[int] | None) -> tuple[bytes, int, int, int]:
         if not starts:
@@ -231,18 +253,21 @@ def without_repeats(documents: DataFrame) -> DataFrame:
         columns = zip(*found, strict=True) if found else ([],) * 4
         return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    def parts(batches: Iterator[pa.RecordBatch], hit: bool) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch], hit: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        """Rows that lose some bytes by their spans, or the others, of which whole copies lose all."""
         for batch in batches:
-            flags = is_set(touched.value, batch.column(3).to_numpy())
-            own = batch.filter(pa.array(flags == hit))
-            yield from (own.slice(at, 256) for at in range(0, own.num_rows, 256))
+            slots = batch.column(3).to_numpy()
+            whole = is_set(copies.value, slots) & (pc.and_(batch.column(1).is_valid(), pc.greater_equal(pc.binary_length(batch.column(2)), LENGTH))).to_numpy(zero_copy_only=False)
+            flags = is_set(touched.value, slots) & ~whole
+            own, whole = batch.filter(pa.array(flags == hit)), whole[flags == hit]
+            yield from ((own.slice(at, 256), whole[at : at + 256]) for at in range(0, own.num_rows, 256))
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches, False):
-            yield made(part.column(1), [left(t, None, None) for t in part.column(2).to_pylist()])
+        for part, whole in parts(batches, False):
+            yield made(part.column(1), [(b"", len(t), len(t), 1) if gone else left(t, None, None) for t, gone in zip(part.column(2).to_pylist(), whole, strict=True)])
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches, True):
+        for part, _ in parts(batches, True):
             yield part.select(["row", "doc_id", "text"])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
