@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Like cut, by a Parquet table in the shared folder: smaller than a checkpoint where there are many rows."""
+    place = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.parquet(place)
+
+
 def bit_filter(df: DataFrame, slot: str, bits: int) -> np.ndarray:
     """A bitmap of 2^bits bits in which the slots of df are set, whatever the number of rows.
 

@@ -21,10 +21,10 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, cut, is_set
+from .common import bit_filter, cut, is_set, kept
 
 LENGTH = 50
-GRAM = 24  # long enough that unrelated texts seldom share one, at any size of the corpus
+GRAM = 18  # longer ones make more keys, shorter ones are shared by more unrelated texts
 #: Bits of the filter of keys that occur in two texts, and how many keys it is good
 #: for; with more, segments meet the keys in a join.
 FILTER_BITS = 26
@@ -155,7 +155,7 @@ def removable(rows: DataFrame, skipped: Broadcast | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], names=["key"])
 
     rows = rows.filter(F.octet_length("text") >= LENGTH).select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), _slot("row").alias("s"))
-    shared = cut(rows.mapInArrow(keyed, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    shared = kept(rows.mapInArrow(keyed, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     n, most = shared.agg(F.count(F.lit(1)), F.sum("n")).first()
     hot = max(HOT, (most or 0) // MANY)
     often = np.sort(shared.filter(F.col("n") > hot).select("key").toArrow().column("key").to_numpy())
@@ -237,14 +237,16 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     known = rows.filter(F.col("doc_id").isNotNull())
     spark = documents.sparkSession
     copies = spark.sparkContext.broadcast(whole_copies(known))
-    spans = cut(removable(known, copies).groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    spans = kept(removable(known, copies).groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("end"))).alias("spans")))
     touched = spark.sparkContext.broadcast(bit_filter(spans.select(_slot("_row").alias("s")), "s", ROW_BITS))
     given = rows.select("row", "doc_id", F.col("text").cast("binary").alias("text"), _slot("row").alias("s"))
 
-    def left(text: bytes, starts: list[int] | None, ends: list[int] | None) -> tuple[bytes, int, int, int]:
-        if not starts:
+    def left(text: bytes, spans: list[int] | None) -> tuple[bytes, int, int, int]:
+        """spans: start and end of each in one number, 32 bits each."""
+        if not spans:
             return text, len(text), 0, 0
-        change = np.bincount(starts, minlength=len(text) + 1) - np.bincount(ends, minlength=len(text) + 1)
+        both = np.array(spans, "i8")
+        change = np.bincount(both >> 32, minlength=len(text) + 1) - np.bincount(both & 0xFFFFFFFF, minlength=len(text) + 1)
         gone = np.cumsum(change)[:-1] > 0
         return np.frombuffer(text, "u1")[~gone].tobytes(), len(text), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
 
@@ -264,7 +266,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, whole in parts(batches, False):
-            yield made(part.column(1), [(b"", len(t), len(t), 1) if gone else left(t, None, None) for t, gone in zip(part.column(2).to_pylist(), whole, strict=True)])
+            yield made(part.column(1), [(b"", len(t), len(t), 1) if gone else left(t, None) for t, gone in zip(part.column(2).to_pylist(), whole, strict=True)])
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _ in parts(batches, True):
@@ -279,7 +281,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     # Only texts that lose something (and a few that the filter takes for such) are moved.
     schema = f"doc_id {kind}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint"
     met = given.mapInArrow(some, f"row bigint, doc_id {kind}, text binary").join(spans, F.col("row") == F.col("_row"), "left")
-    lost = met.select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends")).mapInArrow(remove, schema)
+    lost = met.select("doc_id", "text", "spans").mapInArrow(remove, schema)
     return given.mapInArrow(untouched, schema).unionByName(lost)
 
 

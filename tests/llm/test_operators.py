@@ -193,6 +193,18 @@ def test_passages(docs, monkeypatch):
     assert check() == want
 
 
+def test_whole_copies(spark, monkeypatch):
+    """Copies of a smaller doc_id go, whether or not their slot tells; the same doc_id and null ones stay."""
+    rows = [(5, PASSAGE), (5, PASSAGE), (9, PASSAGE), (None, PASSAGE), (7, "short"), (8, "short"), (11, PASSAGE + "tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    n = len(PASSAGE)
+    want = sorted([(5, n, 0, 0), (5, n, 0, 0), (9, n, n, 1), (-1, n, 0, 0), (7, 5, 0, 0), (8, 5, 0, 0), (11, n + 4, n, 1)])
+    check = lambda: sorted((-1 if r.doc_id is None else r.doc_id, *r[1:4]) for r in passages.digests(docs).collect())
+    assert check() == want
+    monkeypatch.setattr(passages, "whole_copies", lambda rows: np.zeros(1 << (passages.ROW_BITS - 3), "u1"))
+    assert check() == want
+
+
 def test_lm(docs, spark, data):
     want, total = brute.unigrams(TEXTS)
     rows = by_id(lm.scored(docs))
