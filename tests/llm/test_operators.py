@@ -230,6 +230,24 @@ def test_mixed_bits_are_a_distribution():
     assert (10 ** first[1:]).sum() < 1 and np.isfinite(first).all()
 
 
+def test_every_byte_of_a_long_word_is_coded(monkeypatch):
+    """Words of one length and one start differ by what follows; a repetition is cheap; blocks change nothing."""
+    rnd = random.Random(2)
+    noise = bytes(rnd.randrange(33, 127) for _ in range(500))
+    words = [b"ab" * 32 + b"ab" * 250, b"ab" * 32 + noise, b"", b"x", noise + b"\xe4\xb8\xad" * 90]
+    table = np.zeros((2, 1 << lm.SLOT_BITS), "f4")
+    for bits in lm.blocks([b"ab" * n for n in range(1, 400, 7)]):
+        for k in range(lm.ORDERS):
+            np.add.at(table, (bits.bit, bits.slot[k]), 1)
+    whole = lm.Mixer().log10(words, table)
+    assert whole[0] > whole[1] + 300
+    assert whole[1] == pytest.approx(sum(lm.Mixer().log10([w], table)[0] for w in words[1:2]))
+    monkeypatch.setattr(lm, "BLOCK", 64)
+    assert lm.Mixer().log10(words, table) == pytest.approx(whole)
+    monkeypatch.setattr(lm, "BLOCK", 1)
+    assert lm.Mixer().log10(words, table) == pytest.approx(whole)
+
+
 def test_language(docs, spark, data):
     rows = by_id(language.documents_language(docs))
     assert not rows[1].kept and not rows[17].kept
