@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import identity_key, squash
-from .statistics import half_medians
+from .statistics import counted_half_medians
 
 KEY = ("auction_house", "house_sale_id", "lot_number")
 TEXTS = ("house_sale_id", "auction_house", "auction_name", "auction_date", "lot_number")
@@ -76,7 +76,7 @@ def explained(evidence: DataFrame, currency: str, from_date: str, to_date: str,
 
 def statistics(judged: DataFrame, by: list[str]) -> DataFrame:
     """Count, medians of halves and how far to trust them, over what is not excluded."""
-    rows = judged.filter("reason is null").groupBy(*by).agg(F.collect_list("minor").alias("minors"))
-    n = F.size("minors")
+    rows = counted_half_medians(judged.filter("reason is null"), by, "minor")
+    n = F.col("count")
     label = F.when(n < 3, "Insufficient evidence").when(n < 5, "Limited evidence").otherwise("Evidence-backed")
-    return rows.select(*by, n.cast("bigint").alias("count"), *(v.alias(k) for k, v in half_medians(F.col("minors")).items()), label.alias("label"))
+    return rows.withColumn("label", label)

@@ -114,6 +114,21 @@ def half_medians(minors: Column) -> dict[str, Column]:
     }
 
 
+def counted_half_medians(rows: DataFrame, by: list[str], amount: str) -> DataFrame:
+    """by, count and half_medians of each group's amounts, without a list of them: equal amounts
+    are counted, and the middle ranks found by cumulative counts."""
+    times = rows.groupBy(*by, F.col(amount).alias("_v")).agg(F.count(amount).alias("_n"))
+    whole = Window.partitionBy(*by)
+    ranked = times.withColumn("_until", F.sum("_n").over(whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("count", F.sum("_n").over(whole))
+    n, half = F.col("count"), F.floor(F.col("count") / 2)
+    parts = {"median": (F.lit(0), n), "lower_quartile": (F.lit(0), half), "upper_quartile": (n - half, half)}
+    at = lambda r: F.min(F.when(F.col("_until") >= r, F.col("_v")))
+    pairs = {k: (at(first + F.floor((size + 1) / 2)), at(first + F.floor(size / 2) + 1)) for k, (first, size) in parts.items()}
+    middle = {k: F.floor((a.cast("decimal(38,0)") + b + 1) / 2).cast("bigint") for k, (a, b) in pairs.items()}
+    made = ranked.groupBy(*by, "count").agg(*(v.alias(k) for k, v in middle.items()))
+    return made.select(*by, "count", *(F.when(n >= FEWEST, F.col(k)).alias(k) for k in middle))
+
+
 def numbered(rows: DataFrame, key: list[str], order: list[str], name: str = "number") -> DataFrame:
     """Repeats of a key numbered from one in order."""
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))

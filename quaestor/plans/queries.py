@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -472,6 +471,4 @@ def alert_stream_dedupe(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     ts = F.col("ts").cast("timestamp")
     sent = stream.select(F.explode(F.array(F.col("event_id"), F.col("event_id"))).alias("request_id"), ts.alias("ts"), "event_type")
-    name = f"once_{uuid.uuid4().hex}"
-    alerts.once(sent, "60 days").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination(300)
-    return spark.table(name).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("request_id").alias("first_id"))
+    return alerts.landed(alerts.once(sent, "60 days")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("request_id").alias("first_id"))

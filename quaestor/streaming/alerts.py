@@ -7,6 +7,7 @@ hand. Time is a column or the event time, never the clock.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import shared_folder
+
 RETRY_SECONDS = 300
 DONE = ("delivered", "acknowledged", "missed")
 
@@ -46,6 +49,20 @@ def once(commands: DataFrame, delay: str = "1 hour") -> DataFrame:
     return commands.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["request_id"])
 
 
+def landed(stream: DataFrame) -> DataFrame:
+    """The rows of a stream over all there is now, as a Parquet table in the shared folder.
+
+    It is waited for without a limit, and a stream that fails raises.
+    """
+    spark = stream.sparkSession
+    place = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    # A stream without input writes nothing, so the table is there before it.
+    spark.createDataFrame([], stream.schema).write.parquet(f"{place}/rows")
+    writer = stream.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state")
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/rows")
+
+
 def follow(events: DataFrame) -> DataFrame:
     """Stream of (trigger_id, ts, kind) to (trigger_id, ts, status): each key's state follows its
     events in order of event time, with a timer that makes an unanswered claim due again."""

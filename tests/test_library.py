@@ -4,9 +4,10 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from quaestor.functions import dates, money, references, text
-from quaestor.operators import catalogue, merge, projections
+from quaestor.operators import catalogue, evidence, merge, projections, statistics
 from quaestor.sinks import files
 from quaestor.sources import documents
 from quaestor.streaming import alerts
@@ -101,6 +102,34 @@ def test_redirect_classes(spark):
     assert found == {"a": ("c", "ok"), "b": ("c", "ok"), "d": (None, "dangling"), "x": (None, "cycle"), "y": (None, "cycle"), "m": (None, "ambiguous"), "k": (None, "ambiguous")}
 
 
+def test_half_medians_by_counts(spark):
+    rnd = random.Random(6)
+    rows = [(g, rnd.randrange(1, 30)) for g in range(40) for _ in range(g)] + [(None, 5)] * 7 + [(99, None)]
+    df = spark.createDataFrame(rows, "g int, minor long")
+    lists = df.groupBy("g").agg(F.collect_list("minor").alias("m"))
+    want = lists.select("g", F.size("m").cast("long").alias("count"), *(v.alias(k) for k, v in statistics.half_medians(F.col("m")).items()))
+    made = statistics.counted_half_medians(df, ["g"], "minor")
+    assert made.columns == want.columns and sorted(map(repr, made.collect())) == sorted(map(repr, want.collect()))
+    plan = evidence.statistics(df.withColumn("reason", F.lit(None).cast("string")), ["g"])._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+
+
+def test_stream_lands_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    """No row passes through the driver, nothing is cut off by time, and a failure is raised."""
+    df = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:00"), (2, "2024-01-02 00:00:00")], "request_id long, t string").selectExpr("request_id", "cast(t as timestamp) ts")
+    df.write.parquet(str(tmp_path / "in"))
+    limits, wait = [], StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: (limits.append(timeout), wait(self, timeout))[1])
+    rows = alerts.landed(alerts.once(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "60 days"))
+    assert sorted(r.request_id for r in rows.collect()) == [1, 2] and limits == [None]
+    assert rows.inputFiles() and not spark.streams.active
+    (tmp_path / "none").mkdir()
+    assert alerts.landed(spark.readStream.schema(df.schema).parquet(str(tmp_path / "none"))).count() == 0
+    bad = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")).withColumn("x", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        alerts.landed(bad)
+
+
 def test_commands(spark):
     rows = [("i", "r1", 1, "put", 0, "a"), ("i", "r1", 2, "put", 0, "z"), ("i", "r2", 3, "put", 0, "b"), ("i", "r3", 4, "put", 1, "c"), ("i", "r4", 5, "delete", 2, None)]
     state = merge.apply_commands(spark.createDataFrame(rows, "id string, request_id string, seq int, kind string, expected int, value string")).first()
