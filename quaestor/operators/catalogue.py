@@ -19,20 +19,24 @@ def fold_subjects(rows: DataFrame, key: str, multi: list[str], scalar: list[str]
     return rows.groupBy(key).agg(*(first(c).alias(c) for c in multi), *(one(c).alias(c) for c in scalar), conflict.alias("conflict"))
 
 
-def resolve_redirects(links: DataFrame, kept: DataFrame, most: int = 64) -> DataFrame:
+def resolve_redirects(links: DataFrame, kept: DataFrame) -> DataFrame:
     """(old, target, status) of replacement links (old, new): followed to a kept id.
 
     ambiguous: more than one successor; cycle: it never ends; dangling: it ends at an id that
     is not kept. Chains double their reach in each round, so rounds grow with the logarithm
-    of the longest one.
+    of the longest one. A chain that ends and is longer than the reach has a row that ends
+    within twice the reach; so when a round ends none, all that are still open are cycles.
     """
     grouped = links.groupBy("old").agg(F.count_distinct("new").alias("n"), F.min("new").alias("new"))
     now = cut(grouped.select("old", F.when(F.col("n") == 1, F.col("new")).alias("at")))
-    reach = 1
-    while reach < most:
+    before = -1
+    while True:
         jump = now.select(F.col("old").alias("mid"), F.col("at").alias("next"), F.lit(True).alias("hit"))
-        now = cut(now.join(jump, F.col("at") == F.col("mid"), "left").select("old", F.when(F.col("hit"), F.col("next")).otherwise(F.col("at")).alias("at")))
-        reach *= 2
+        now = cut(now.join(jump, F.col("at") == F.col("mid"), "left").select("old", F.when(F.col("hit"), F.col("next")).otherwise(F.col("at")).alias("at"), F.col("hit").alias("open")))
+        still = now.filter("open").count()  # rows that were open before this round
+        if still in (0, before):
+            break
+        before = still
     heads = grouped.select(F.col("old").alias("head"), F.lit(True).alias("is_link"))
     good = kept.select(F.col("id").alias("kept_id")).distinct()
     done = now.join(heads, F.col("at") == F.col("head"), "left").join(good, F.col("at") == F.col("kept_id"), "left")

@@ -102,6 +102,12 @@ def test_redirect_classes(spark):
     assert found == {"a": ("c", "ok"), "b": ("c", "ok"), "d": (None, "dangling"), "x": (None, "cycle"), "y": (None, "cycle"), "m": (None, "ambiguous"), "k": (None, "ambiguous")}
 
 
+def test_redirects_of_long_chains_and_cycles(spark):
+    links = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000 + (i + 1) % 97) for i in range(97)] + [(2000, 1000)]
+    found = catalogue.resolve_redirects(spark.createDataFrame(links, "old long, new long"), spark.createDataFrame([(200,)], "id long")).collect()
+    assert {r.old: (r.target, r.status) for r in found} == {a: (200, "ok") if a < 200 else (None, "cycle") for a, _ in links}
+
+
 def test_half_medians_by_counts(spark):
     rnd = random.Random(6)
     rows = [(g, rnd.randrange(1, 30)) for g in range(40) for _ in range(g)] + [(None, 5)] * 7 + [(99, None)]
