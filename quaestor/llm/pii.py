@@ -240,19 +240,26 @@ def digests(documents: DataFrame) -> DataFrame:
 def redact(documents: DataFrame, threshold: float = 0.0) -> DataFrame:
     """The documents with each span in the text replaced by its kind in angle brackets.
 
-    Of spans that overlap the first is replaced. Null texts stay null; all columns stay
+    Spans that overlap are replaced as one, named by the longest of them. Null texts stay null; all columns stay
     as they were. The texts are searched twice, so that no copy of them is kept.
     """
     found = candidates(documents, "_pii")
     base, added = decided("_pii", fit(found, "_pii"), threshold)
     name = F.array(*(F.lit(f"<{k}>") for k in KINDS))
     order = F.array_sort(F.transform(F.concat(base, added), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # What is written, up to where; and the union that is open: begin, end, longest span and its kind.
+    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit(0).alias("w"), F.lit(0).alias("k"))
 
-    def step(a: Column, x: Column) -> Column:
-        put = F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, x["s"] - a["at"]), F.get(name, x["k"]))
-        later = x["s"] >= a["at"]
-        return F.struct(F.when(later, x["e"]).otherwise(a["at"]).alias("at"), F.when(later, put).otherwise(a["out"]).alias("out"))
+    def put(a: Column) -> Column:
+        return F.when(a["w"] == 0, a["out"]).otherwise(F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, a["s"] - a["at"]), F.get(name, a["k"])))
 
-    clean = F.aggregate(order, begin, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    def step(a: Column, x: Column) -> Column:
+        s, e, w, k = x["s"].cast("int"), x["e"].cast("int"), (x["e"] - x["s"]).cast("int"), x["k"].cast("int")
+        over = s < a["e"]
+        return F.struct(
+            F.when(over, a["out"]).otherwise(put(a)).alias("out"), F.when(over, a["at"]).otherwise(a["e"]).alias("at"), F.when(over, a["s"]).otherwise(s).alias("s"),
+            F.when(over, F.greatest(a["e"], e)).otherwise(e).alias("e"), F.when(over, F.greatest(a["w"], w)).otherwise(w).alias("w"), F.when(over & (a["w"] >= w), a["k"]).otherwise(k).alias("k"),
+        )
+
+    clean = F.aggregate(order, begin, step, lambda a: F.concat(put(a), F.substring(F.col("text"), a["e"] + 1, F.length("text"))))
     return found.withColumn("text", F.when(F.size("_pii") > 0, clean).otherwise(F.col("text"))).select(*documents.columns)

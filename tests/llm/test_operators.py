@@ -152,6 +152,12 @@ def test_pii_base_and_added(docs):
     assert "<email>" in clean[16].text and "555-3824" not in clean[16].text
 
 
+def test_overlapping_personal_data_goes_whole(spark):
+    texts = ["1.2.3.4.john@x.com", "4111111111111111@x.com", "+14155552671@x.com", "to 1.2.3.4.john@x.com and 5.6.7.8, or a@b.de"]
+    clean = pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r.text for r in clean.orderBy("doc_id").collect()] == ["<email>"] * 3 + ["to <email> and <ip>, or <email>"]
+
+
 def test_near_duplicates(docs):
     for width in (4, 5):
         rows, want = by_id(neardup.near_duplicates(docs, width)), brute.near(TEXTS, width)
