@@ -19,8 +19,10 @@ from pyspark.sql import types as T
 from .common import cut
 
 BUCKETS = 1 << 13
-#: Labelled documents, at most, on which likelihoods are fitted, and languages told apart.
-FITTED, LANGUAGES = 4000, 64
+#: Labelled texts of each language, about, on which likelihoods are fitted: all, where there are fewer.
+FITTED = 1000
+#: Languages whose counts a fitting task holds at once.
+HELD = 256
 #: A text's evidence counts as that of so many independent trigrams at most.
 INDEPENDENT = 60
 #: Imagined documents behind each host and suffix.
@@ -56,12 +58,17 @@ class Likelihoods:
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang") -> Likelihoods:
-    """Trigram counts of a bounded draw of labelled rows; tasks send sums by language."""
+    """Trigram counts of every language that labels a row, from a draw of about FITTED of its
+    different texts, in order of their hashes; tasks send sums by language."""
     rows = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
-    n = rows.count()
-    lucky = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, FITTED / max(n, 1)))
-    # The same text repeated is drawn once, so that copies don't crowd out the rest.
-    drawn = rows.filter(lucky).dropDuplicates(["text"]).limit(2 * FITTED)
+    # The same text repeated counts and is drawn once, so that copies don't crowd out the rest.
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    share = rows.groupBy("label").agg(F.least(F.lit(1.0), F.lit(float(FITTED)) / F.greatest(F.approx_count_distinct(place), F.lit(1))).alias("share"))
+    bound = cut(share.select(F.col("label").alias("_label"), F.when(F.col("share") < 1, F.col("share") * (1 << 30)).otherwise(F.lit(float(1 << 30))).alias("_bound")))
+    drawn = rows.join(F.broadcast(bound), (F.col("label") == F.col("_label")) & (place < F.col("_bound"))).select("text", "label").dropDuplicates()
+
+    def sent(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["label", "sums"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -69,27 +76,34 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang") -> Likelih
             for text, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = sums.setdefault(name, np.zeros(BUCKETS, "i8"))
                 own += np.bincount(_trigrams(text), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["label", "sums"])
+                if len(sums) >= HELD:
+                    yield sent(sums)
+                    sums.clear()
+        yield sent(sums)
 
     counts: dict[str, np.ndarray] = {}
     for row in drawn.select(F.col("text").cast("binary").alias("text"), "label").coalesce(16).mapInArrow(run, "label string, sums binary").collect():
         counts[row.label] = counts.get(row.label, 0) + np.frombuffer(row.sums, "i8")
-    names = sorted(sorted(counts, key=lambda x: (-counts[x].sum(), x))[:LANGUAGES]) or [UNKNOWN]
+    names = sorted(counts) or [UNKNOWN]
     return Likelihoods(names, np.array([counts.get(x, np.zeros(BUCKETS)) for x in names]))
 
 
-def _scored(df: DataFrame, model: Likelihoods) -> DataFrame:
-    """df with _ll, the text's log likelihoods."""
-    given = df.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*df.schema.fields, T.StructField("_ll", T.ArrayType(T.DoubleType()))])
+def _scored(df: DataFrame, model: Likelihoods, says: np.ndarray | None = None) -> DataFrame:
+    """df with _ll, the text's log likelihoods; with says, also _said_ll, those of what is declared."""
+    given = df.sparkSession.sparkContext.broadcast((model, None if says is None else np.log(says)))
+    numbers = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*df.schema.fields, T.StructField("_ll", numbers), *[T.StructField("_said_ll", numbers)][: says is not None]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = given.value
+        own, table = given.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = part.column(part.schema.names.index("_text")).cast(pa.binary()).to_pylist()
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([own.of(t) for t in texts], pa.list_(pa.float64()))], names=schema.names)
+                made = [[own.of(t) for t in texts]]
+                if table is not None:
+                    made.append(list(table.T[part.column(part.schema.names.index("_said")).to_numpy()]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, pa.list_(pa.float64())) for x in made)], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -130,16 +144,15 @@ def identify(df: DataFrame, model: Likelihoods, text: Column, declared: Column,
     every = [(x + 1) / (sum(total) + size) for x in total]
     mass = lambda side: sum(F.coalesce(f"{side}{k}", F.lit(0.0)) for k in range(size))
     by_suffix = hosts.filter("_suffix is not null").groupBy(F.col("_suffix").alias("_of")).agg(*(F.sum(f"s{k}").alias(f"u{k}") for k in range(size)))
-    joined = hosts.join(by_suffix, F.col("_suffix") == F.col("_of"), "left")
-    above = [(F.coalesce(f"u{k}", F.lit(0.0)) + SMOOTHING * q) / (mass("u") + SMOOTHING) for k, q in enumerate(every)]
-    own = [F.when(F.col("_host").isNull(), above[k]).otherwise((F.col(f"s{k}") + SMOOTHING * above[k]) / (mass("s") + SMOOTHING)) for k in range(size)]
+    joined = hosts.join(by_suffix, F.col("_suffix") == F.col("_of"), "left").withColumns({"_u": mass("u"), "_s": mass("s")})
+    above = [(F.coalesce(f"u{k}", F.lit(0.0)) + SMOOTHING * q) / (F.col("_u") + SMOOTHING) for k, q in enumerate(every)]
+    own = [F.when(F.col("_host").isNull(), above[k]).otherwise((F.col(f"s{k}") + SMOOTHING * above[k]) / (F.col("_s") + SMOOTHING)) for k in range(size)]
     priors = cut(joined.select(F.col("_host").alias("_prior_host"), F.col("_suffix").alias("_prior_suffix"), F.array(*map(F.log, own)).alias("_prior")))
     if priors.count() <= TRAVELLING:
         priors = F.broadcast(priors)
-    both = _scored(given, model).join(priors, F.col("_host").eqNullSafe(F.col("_prior_host")) & F.col("_suffix").eqNullSafe(F.col("_prior_suffix")), "left")
-    table = F.array(*(F.array(*(F.lit(float(np.log(says[k, d]))) for k in range(size))) for d in range(size + 1)))
+    both = _scored(given, model, says).join(priors, F.col("_host").eqNullSafe(F.col("_prior_host")) & F.col("_suffix").eqNullSafe(F.col("_prior_suffix")), "left")
     flat = F.array(*(F.lit(float(np.log(q))) for q in every))
-    fused = F.zip_with(F.zip_with("_ll", F.get(table, F.col("_said")), lambda a, b: a + b), F.coalesce("_prior", flat), lambda a, b: a + b)
+    fused = F.zip_with(F.zip_with("_ll", "_said_ll", lambda a, b: a + b), F.coalesce("_prior", flat), lambda a, b: a + b)
     post = both.withColumn("_post", _softmax(fused))
     name = lambda x: F.coalesce(F.get(F.array(*map(F.lit, names)), (F.array_position(x, F.array_max(x)) - 1).cast("int")), F.lit(UNKNOWN))
     return post.select(*df.columns, name(F.col("_post")).alias("_language"), F.coalesce(F.array_max("_post"), F.lit(0.0)).alias("_confidence"), name(F.col("_ll")).alias("_text_language"))

@@ -267,6 +267,19 @@ def test_language(docs, spark, data):
     assert language.accepted(documents).columns == documents.columns
 
 
+def test_every_label_is_a_language(spark, monkeypatch):
+    """More than 64 labels, rare ones among many rows, and one behind copies of a single text."""
+    monkeypatch.setattr(language, "FITTED", 20)
+    rnd = random.Random(8)
+    words = lambda k: " ".join(chr(0x4E00 + 40 * k + rnd.randrange(40)) for _ in range(30))
+    rows = [(words(0), "en") for _ in range(3000)] + [(words(k), f"l{k:02}") for k in range(1, 70) for _ in range(2)] + [(words(70), "zz")] * 500
+    docs = spark.createDataFrame([(i, t, lang, None) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    model = language.fit(docs)
+    assert model.languages == sorted({lang for _, lang in rows})
+    found = by_id(language.documents_language(docs.filter("lang != 'en'").union(docs.filter("lang = 'en'").limit(20))))
+    assert sum(r.language == rows[d][1] and r.kept for d, r in found.items()) >= 0.97 * len(found)
+
+
 def test_neighbours_recall_and_edges(spark, data):
     embeddings = spark.read.parquet(f"{data}/embeddings.parquet")
     odd = spark.createDataFrame([(10**6, None), (10**6 + 1, [0.0] * 64), (10**6 + 2, [float("nan")] * 64), (10**6 + 3, [1.0, None] * 32), (10**6 + 50, [1.0])], "vec_id long, embedding array<float>")
