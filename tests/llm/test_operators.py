@@ -254,6 +254,14 @@ def test_every_byte_of_a_long_word_is_coded(monkeypatch):
     assert lm.Mixer().log10(words, table) == pytest.approx(whole)
 
 
+def test_weights_are_learnt_on_all_words(spark):
+    """Every bit of every distinct training word, of many more than a draw would hold."""
+    words = [f"w{i:x}".encode() for i in range(100_000)]
+    vocabulary = spark.createDataFrame([(w, 1) for w in words] + [(b"held", 0)], "word binary, c long").repartition(3)
+    met = lm.learnt(vocabulary, np.zeros((2, 1 << lm.SLOT_BITS), "f4")).filter(F.col("at") % (2 * lm.ORDERS + 1 + lm.CELLS) == 0)
+    assert met.agg(F.sum("met")).first()[0] == sum(8 * (len(w) + 1) for w in words)
+
+
 def test_language(docs, spark, data):
     rows = by_id(language.documents_language(docs))
     assert not rows[1].kept and not rows[17].kept
