@@ -4,9 +4,9 @@ Every stretch of LENGTH bytes that is shared has the same least hash among its s
 grams, and consecutive stretches mostly share it; so texts fall into segments, keyed by
 that hash, and only segments whose key occurs twice need a closer look. Whole copies of an
 earlier text go at once and take no further part: what they hold, the first one holds too.
-Segments of a key meet in one task. Their suffixes, as far as they matter (LENGTH bytes), are put
-in suffix order, ties by doc_id; the previous smaller document in that order gives the
-longest earlier match of each position.
+Segments of a key meet in one task. Their windows of LENGTH bytes are sorted, ties by doc_id; a
+window that equals the first of its run, of a smaller document, is an earlier match. Match
+lengths, as in longest-previous-factor arrays, are not computed.
 """
 
 from __future__ import annotations
