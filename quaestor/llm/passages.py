@@ -4,9 +4,12 @@ Every stretch of LENGTH bytes that is shared has the same least hash among its s
 grams, and consecutive stretches mostly share it; so texts fall into segments, keyed by
 that hash, and only segments whose key occurs twice need a closer look. Whole copies of an
 earlier text go at once and take no further part: what they hold, the first one holds too.
-Segments of a key meet in one task. Their windows of LENGTH bytes are sorted, ties by doc_id; a
-window that equals the first of its run, of a smaller document, is an earlier match. Match
-lengths, as in longest-previous-factor arrays, are not computed.
+Segments of a key meet in one task, which puts their suffixes in order. From the previous
+and the next suffix of a smaller document in that order, and the least common prefix on
+the way there, follows the longest match each place has in a smaller document: its
+longest previous factor. Where that is LENGTH or more, the bytes are removed. A segment
+that occurs again whole, and a window that very many documents hold, is told by the least
+document it occurs in, before anything is moved.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bit_filter, cut, is_set, kept
@@ -30,12 +33,14 @@ GRAM = 18  # longer ones make more keys, shorter ones are shared by more unrelat
 FILTER_BITS = 26
 FILTER_KEYS = 1 << 24
 #: Segments of a key that one task puts in order; those of a more frequent key are split
-#: into their stretches, each a key of its own. At most MANY keys are that frequent.
-HOT, MANY = 20_000, 4_000_000
+#: into their windows of LENGTH bytes, each a key of its own. At most MANY keys are that frequent.
+HOT, MANY = 2_000, 4_000_000
+#: Windows more frequent than HOT, at most, that travel with the least document holding them.
+FIRSTS = 200_000
 #: Bits of the filters of rows: whole copies, and rows that lose something.
 ROW_BITS = 24
-#: Suffixes put in order at a time.
-BLOCK = 400_000
+#: Bytes of segments put in suffix order at a time.
+BLOCK = 1_000_000
 
 
 def _grams(text: np.ndarray, k: int) -> np.ndarray:
@@ -75,32 +80,88 @@ def segments(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return least[turn].view("i8"), turn, np.append(turn[1:], n) + LENGTH - 1
 
 
-def covered(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place where LENGTH bytes of a text start: whose text and which place, if a
-    text of a smaller document has them too.
+def suffix_order(flat: np.ndarray, left: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Ranks of all places by the 7, 14, 28, ... bytes from there on, up to where the longest text ends.
+
+    left says how many bytes a place's text still has; a text that ends comes before one
+    that goes on. The last ranks are those of whole suffixes.
+    """
+    n, padded = len(flat), np.concatenate([flat, np.zeros(7, "u1")])
+    key = np.zeros(n, "u8")
+    for k in range(7):
+        key = key << np.uint64(8) | np.where(left > k, padded[k : k + n], 0).astype("u8")
+    key = key << np.uint64(8) | np.minimum(left, 7).astype("u8")
+    levels, size = [], 7
+    while True:
+        order = np.argsort(key)
+        rank = np.empty(n, "i8")
+        rank[order] = np.cumsum(np.concatenate([[0], key[order[1:]] != key[order[:-1]]]))
+        levels.append((size, rank))
+        if size >= left.max():
+            return levels
+        behind = np.where(left > size, rank[np.minimum(np.arange(n) + size, n - 1)] + 1, 0)
+        key = (rank << 32 | behind).view("u8")
+        size *= 2
+
 
-    Suffixes, cut to LENGTH bytes, are put in order, equal ones by document. Within
-    equals the previous smaller document is the first one's; unequal neighbours share less.
+def common_prefixes(order: np.ndarray, flat: np.ndarray, left: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Bytes that each suffix shares with the one before it in order; none for the first."""
+    a, b = order[:-1], order[1:]
+    most, last = np.minimum(left[a], left[b]), len(flat) - 1
+    shared = np.zeros(len(a), "i8")
+    for size, rank in reversed(levels):
+        same = (shared < most) & (rank[np.minimum(a + shared, last)] == rank[np.minimum(b + shared, last)])
+        shared += np.where(same, size, 0)
+    same = shared < most
+    for _ in range(7):
+        same &= (shared < most) & (flat[np.minimum(a + shared, last)] == flat[np.minimum(b + shared, last)])
+        shared += same
+    return np.concatenate([[0], np.minimum(shared, most)])
+
+
+def _previous_smaller(docs: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
+    """For each suffix in order, the length it shares with the nearest one before it of a
+    smaller document; 0 where there is none, or where what is shared falls below least.
+
+    Pointers jump over what is not smaller: all of that has been passed for the one jumped to.
     """
+    to, length = np.arange(-1, len(docs) - 1), shared.copy()
+    going = np.flatnonzero(length >= least)
+    while len(going):
+        going = going[docs[to[going]] >= docs[going]]
+        over = to[going]
+        length[going] = np.minimum(length[going], length[over])
+        to[going] = to[over]
+        going = going[length[going] >= least]
+    return np.where(length >= least, length, 0)
+
+
+def previous_factors(order: np.ndarray, docs: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
+    """Longest previous factor of each suffix in order: the longest match in a smaller document
+    that is least or more, else 0. It lies at the previous or the next smaller position."""
+    before = _previous_smaller(docs, shared, least)
+    turned = np.concatenate([[0], shared[:0:-1]])
+    return np.maximum(before, _previous_smaller(docs[::-1], turned, least)[::-1])
+
+
+def covered(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place where LENGTH bytes of a text start: whose text and which place, if a
+    text of a smaller document has them too."""
     flat = np.frombuffer(b"".join(texts), "u1")
     sizes = np.fromiter(map(len, texts), "i8", len(texts))
-    counts = sizes - LENGTH + 1
-    owner = np.repeat(np.arange(len(texts)), counts)
-    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = (np.cumsum(sizes) - sizes)[owner] + place
-    words = [np.zeros(len(at), "u8") for _ in range(7)]
-    for k in range(LENGTH):
-        words[k // 8] = words[k // 8] << np.uint64(8) | flat[at + k]
-    order = np.lexsort((docs[owner], *words[::-1]))
-    same = np.concatenate([[False], np.logical_and.reduce([w[order[1:]] == w[order[:-1]] for w in words])])
-    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    earlier = docs[owner[order]] > docs[owner[order[first]]]
-    found = np.sort(order[earlier])
-    return owner[found], place[found]
-
-
-def _resolve(rows: list[tuple[bytes, int, int, int]]) -> Iterator[tuple[int, int, int]]:
-    """(row, start, end) of what is covered in distinct segments (segment, doc, row, start)."""
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    left = ends[owner] - np.arange(len(flat))
+    levels = suffix_order(flat, left)
+    whole = np.flatnonzero(left >= LENGTH)
+    order = whole[np.argsort(levels[-1][1][whole])]
+    factors = previous_factors(order, docs[owner[order]], common_prefixes(order, flat, left, levels), LENGTH)
+    found = np.sort(order[factors >= LENGTH])
+    return owner[found], found - (ends - sizes)[owner[found]]
+
+
+def _resolve(rows: list[tuple[bytes, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """(doc, hash, start, end) of what is covered in distinct segments (segment, doc, hash, start)."""
     texts, at = [], {}
     docs = []
     for text, doc, _, _ in rows:
@@ -112,32 +173,41 @@ def _resolve(rows: list[tuple[bytes, int, int, int]]) -> Iterator[tuple[int, int
     cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
     for text, doc, row, start in rows:
         k = at[text, doc]
-        own = place[cuts[k] : cuts[k + 1]]
-        if len(own):
-            edges = np.flatnonzero(np.diff(own) > 1) + 1
-            for part in np.split(own, edges):
-                yield row, start + int(part[0]), start + int(part[-1]) + LENGTH
+        for a, b in _stretches(place[cuts[k] : cuts[k + 1]]):
+            yield doc, row, start + a, start + b
 
 
-def _slot(row: str) -> Column:
-    return F.pmod(F.xxhash64(row), F.lit(1 << ROW_BITS))
+def _stretches(places: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Start and end of the bytes that windows at these ascending places cover, joined where windows follow one another."""
+    if len(places):
+        edges = np.flatnonzero(np.diff(places) > 1) + 1
+        for part in np.split(places, edges):
+            yield int(part[0]), int(part[-1]) + LENGTH
+
+
+def _rows(documents: DataFrame) -> DataFrame:
+    """doc_id, doc, h, text, s: rows of one doc_id and text are the same row for all that follows,
+    so nothing hangs on the order in which rows come. s is the row's slot in a filter."""
+    text = F.coalesce("text", F.lit(""))
+    known = documents.select("doc_id", F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return known.select("*", F.pmod(F.xxhash64("doc", "h"), F.lit(1 << ROW_BITS)).alias("s"))
 
 
 def whole_copies(rows: DataFrame) -> np.ndarray:
-    """A bitmap over slots of rows (row, doc_id, text): all rows of a set slot repeat the text of a smaller doc_id.
+    """A bitmap over slots of rows (doc, text, s): all rows of a set slot repeat the text of a smaller doc_id.
 
     Its size is fixed. A slot that other rows share stays unset; its copies are then found
     like other repeats.
     """
     sized = rows.filter(F.octet_length("text") >= LENGTH)
-    told = cut(sized.select(_slot("row").alias("s"), F.col("doc_id").cast("long").alias("doc"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")))
+    told = cut(sized.select("s", "doc", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")))
     first = told.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("digest", "first")
     copies = cut(told.join(first, "digest", "left").select("s", F.coalesce(F.col("doc") > F.col("first"), F.lit(False)).alias("copy")))
     return bit_filter(copies.filter("copy").select("s"), "s", ROW_BITS) & ~bit_filter(copies.filter("not copy").select("s"), "s", ROW_BITS)
 
 
 def removable(rows: DataFrame, skipped: Broadcast | None = None) -> DataFrame:
-    """row, start, end (bytes): stretches of rows (row, doc_id, text) that start in a smaller doc_id too.
+    """doc, h, start, end (bytes): stretches of rows (doc, h, text, s) that start in a smaller doc_id too.
 
     Rows in slots of the bitmap skipped take no part.
     """
@@ -154,20 +224,51 @@ def removable(rows: DataFrame, skipped: Broadcast | None = None) -> DataFrame:
             keys = [np.unique(segments(np.frombuffer(text, "u1"))[0]) for text in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], names=["key"])
 
-    rows = rows.filter(F.octet_length("text") >= LENGTH).select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), _slot("row").alias("s"))
+    rows = rows.filter(F.octet_length("text") >= LENGTH).select("doc", "h", F.col("text").cast("binary").alias("text"), "s")
     shared = kept(rows.mapInArrow(keyed, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     n, most = shared.agg(F.count(F.lit(1)), F.sum("n")).first()
     hot = max(HOT, (most or 0) // MANY)
     often = np.sort(shared.filter(F.col("n") > hot).select("key").toArrow().column("key").to_numpy())
     slots = (1 << FILTER_BITS) - 1
     bitmap = bit_filter(shared.select(F.col("key").bitwiseAND(slots).alias("s")), "s", FILTER_BITS) if n <= FILTER_KEYS else None
-    given = spark.sparkContext.broadcast((bitmap, often))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """window, doc, n of frequent keys, summed up in the task."""
+        held: dict[bytes, list[int]] = {}
+
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.int64())], names=["window", "doc", "n"])
+
+        for part in parts(batches, 128):
+            for doc, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                keys, starts, ends = segments(np.frombuffer(text, "u1"))
+                hit = np.isin(keys, often)
+                for a, b in zip(starts[hit].tolist(), ends[hit].tolist(), strict=True):
+                    for at in range(a, b - LENGTH + 1):
+                        own = held.get(text[at : at + LENGTH])
+                        if own is None:
+                            held[text[at : at + LENGTH]] = [doc, 1]
+                        else:
+                            own[0] = min(own[0], doc)
+                            own[1] += 1
+            if len(held) > 100_000:
+                yield sent()
+                held.clear()
+        yield sent()
+
+    first: dict[bytes, int] = {}
+    if len(often):
+        # A segment has LENGTH windows at most, so that no more than FIRSTS are that frequent.
+        common = rows.mapInArrow(windows, "window binary, doc bigint, n bigint").groupBy("window").agg(F.min("doc").alias("doc"), F.sum("n").alias("n"))
+        first = {bytes(r.window): r.doc for r in common.filter(F.col("n") > max(hot, LENGTH * most // FIRSTS)).select("window", "doc").collect()}
+    given = spark.sparkContext.broadcast((bitmap, often, first))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, frequent = given.value
+        """Segments; of frequent keys windows; and what is known to be covered (no segment, start and end in one)."""
+        bits, frequent, least = given.value
         for part in parts(batches, 128):
             out: list[list] = [[], [], [], [], [], []]
-            for row, doc, text in zip(*(c.to_pylist() for c in part.columns[:3]), strict=True):
+            for doc, row, text in zip(*(c.to_pylist() for c in part.columns[:3]), strict=True):
                 keys, starts, ends = segments(np.frombuffer(text, "u1"))
                 if bits is not None:
                     keep = is_set(bits, keys & slots)
@@ -175,17 +276,28 @@ def removable(rows: DataFrame, skipped: Broadcast | None = None) -> DataFrame:
                 spread = np.isin(keys, frequent)
                 single = [text[a:b] for a, b in zip(starts[~spread].tolist(), ends[~spread].tolist(), strict=True)]
                 own, places, alone = keys[~spread].tolist(), starts[~spread].tolist(), [False] * len(single)
+                gone = []
                 for a, b in zip(starts[spread].tolist(), ends[spread].tolist(), strict=True):
                     for at in range(a, b - LENGTH + 1):
-                        single.append(text[at : at + LENGTH])
-                        places.append(at)
-                        alone.append(True)
-                        own.append(int.from_bytes(hashlib.blake2b(single[-1], digest_size=8).digest(), "little", signed=True))
+                        window = text[at : at + LENGTH]
+                        before = least.get(window)
+                        if before is None:
+                            single.append(window)
+                            places.append(at)
+                            alone.append(True)
+                            own.append(int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True))
+                        elif before < doc:
+                            gone.append(at)
+                for a, b in _stretches(np.array(gone, "i8")):
+                    single.append(None)
+                    places.append(a << 32 | b)
+                    alone.append(True)
+                    own.append(row)
                 for target, more in zip(out, (own, single, [doc] * len(own), [row] * len(own), places, alone), strict=True):
                     target += more
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), *(pa.array(x, pa.int64()) for x in out[2:5]), pa.array(out[5], pa.bool_())], names=["key", "segment", "doc", "row", "start", "alone"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), *(pa.array(x, pa.int64()) for x in out[2:5]), pa.array(out[5], pa.bool_())], names=["key", "segment", "doc", "h", "start", "alone"])
 
-    pieces = rows.mapInArrow(cut_out, "key bigint, segment binary, doc bigint, row bigint, start bigint, alone boolean")
+    pieces = rows.mapInArrow(cut_out, "key bigint, segment binary, doc bigint, h bigint, start bigint, alone boolean")
     if bitmap is None:
         pieces = pieces.filter("not alone").join(shared.select("key"), "key", "left_semi").unionByName(pieces.filter("alone"))
 
@@ -197,16 +309,19 @@ def removable(rows: DataFrame, skipped: Broadcast | None = None) -> DataFrame:
         key = segment = first = None
         suffixes, kinds = 0, 0
 
-        def batch_of(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], [], []))], names=["row", "start", "end"])
+        def batch_of(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], [], [], []))], names=["doc", "h", "start", "end"])
 
         for batch in batches:
             out = []
             for k, s, d, r, a in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if s is None:
+                    out.append((d, r, a >> 32, a & 0xFFFFFFFF))
+                    continue
                 if k != key:
                     if kinds > 1:
                         waiting += group
-                        suffixes += sum(len(g[0]) - LENGTH + 1 for g in group)
+                        suffixes += sum(len(g[0]) for g in group)
                         if suffixes > BLOCK:
                             out += _resolve(waiting)
                             waiting, suffixes = [], 0
@@ -216,12 +331,12 @@ def removable(rows: DataFrame, skipped: Broadcast | None = None) -> DataFrame:
                 if d == first:
                     group.append((s, d, r, a))
                 else:
-                    out.append((r, a, a + len(s)))
+                    out.append((d, r, a, a + len(s)))
             yield batch_of(out)
         yield batch_of(list(_resolve(waiting + (group if kinds > 1 else []))) if waiting or kinds > 1 else [])
 
-    pieces = pieces.select("key", "segment", "doc", "row", "start")
-    return pieces.repartition("key").sortWithinPartitions("key", "segment", "doc").mapInArrow(meet, "row bigint, start bigint, end bigint")
+    pieces = pieces.select("key", "segment", "doc", "h", "start")
+    return pieces.repartition("key").sortWithinPartitions("key", "segment", "doc").mapInArrow(meet, "doc bigint, h bigint, start bigint, end bigint")
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
@@ -230,16 +345,17 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     A byte goes if it lies in LENGTH bytes that also start in a document with a smaller
     doc_id, judged on the texts as they came; matches lie within one document. A null text
     is empty. A row without doc_id neither loses anything nor counts as earlier; rows with
-    the same doc_id are not earlier than one another.
+    the same doc_id are not earlier than one another. An empty table gives no rows.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    known = rows.filter(F.col("doc_id").isNotNull())
+    rows = _rows(documents)
+    known = rows.filter(F.col("doc").isNotNull())
     spark = documents.sparkSession
     copies = spark.sparkContext.broadcast(whole_copies(known))
-    spans = kept(removable(known, copies).groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("end"))).alias("spans")))
-    touched = spark.sparkContext.broadcast(bit_filter(spans.select(_slot("_row").alias("s")), "s", ROW_BITS))
-    given = rows.select("row", "doc_id", F.col("text").cast("binary").alias("text"), _slot("row").alias("s"))
+    joined = F.shiftleft("start", 32).bitwiseOR(F.col("end"))
+    spans = kept(removable(known, copies).groupBy(F.col("doc").alias("_doc"), F.col("h").alias("_h")).agg(F.collect_set(joined).alias("spans")))
+    touched = spark.sparkContext.broadcast(bit_filter(spans.select(F.pmod(F.xxhash64("_doc", "_h"), F.lit(1 << ROW_BITS)).alias("s")), "s", ROW_BITS))
+    given = rows.select("doc_id", "doc", "h", F.col("text").cast("binary").alias("text"), "s")
 
     def left(text: bytes, spans: list[int] | None) -> tuple[bytes, int, int, int]:
         """spans: start and end of each in one number, 32 bits each."""
@@ -258,19 +374,19 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     def parts(batches: Iterator[pa.RecordBatch], hit: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         """Rows that lose some bytes by their spans, or the others, of which whole copies lose all."""
         for batch in batches:
-            slots = batch.column(3).to_numpy()
-            whole = is_set(copies.value, slots) & (pc.and_(batch.column(1).is_valid(), pc.greater_equal(pc.binary_length(batch.column(2)), LENGTH))).to_numpy(zero_copy_only=False)
+            slots = batch.column(4).to_numpy()
+            whole = is_set(copies.value, slots) & (pc.and_(batch.column(1).is_valid(), pc.greater_equal(pc.binary_length(batch.column(3)), LENGTH))).to_numpy(zero_copy_only=False)
             flags = is_set(touched.value, slots) & ~whole
             own, whole = batch.filter(pa.array(flags == hit)), whole[flags == hit]
             yield from ((own.slice(at, 256), whole[at : at + 256]) for at in range(0, own.num_rows, 256))
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, whole in parts(batches, False):
-            yield made(part.column(1), [(b"", len(t), len(t), 1) if gone else left(t, None) for t, gone in zip(part.column(2).to_pylist(), whole, strict=True)])
+            yield made(part.column(0), [(b"", len(t), len(t), 1) if gone else left(t, None) for t, gone in zip(part.column(3).to_pylist(), whole, strict=True)])
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _ in parts(batches, True):
-            yield part.select(["row", "doc_id", "text"])
+            yield part.select(["doc_id", "doc", "h", "text"])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,7 +396,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
 
     # Only texts that lose something (and a few that the filter takes for such) are moved.
     schema = f"doc_id {kind}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint"
-    met = given.mapInArrow(some, f"row bigint, doc_id {kind}, text binary").join(spans, F.col("row") == F.col("_row"), "left")
+    met = given.mapInArrow(some, f"doc_id {kind}, doc bigint, h bigint, text binary").join(spans, (F.col("doc") == F.col("_doc")) & (F.col("h") == F.col("_h")), "left")
     lost = met.select("doc_id", "text", "spans").mapInArrow(remove, schema)
     return given.mapInArrow(untouched, schema).unionByName(lost)
 

@@ -330,3 +330,25 @@ def test_pipeline(spark, data):
     for _, f in corpus_pipeline.STAGES[:4]:
         stage = f(spark, stage, data)
         assert stage.columns == docs.columns
+
+
+def test_longest_previous_factors():
+    """Of suffixes in order against all pairs; periodic texts, zero bytes, equal documents."""
+    rnd = random.Random(9)
+    for _ in range(40):
+        base = [bytes(rnd.choice(b"ab\0") for _ in range(rnd.randrange(60, 120))) for _ in range(3)]
+        texts = [rnd.choice(base)[rnd.randrange(9) :][: rnd.randrange(50, 99)] + bytes(rnd.choice(b"xy") for _ in range(rnd.randrange(5))) for _ in range(rnd.randrange(2, 9))]
+        texts = [t for t in texts if len(t) >= passages.LENGTH] or [b"q" * 60]
+        docs = np.array([rnd.randrange(4) for _ in texts])
+        flat, sizes = np.frombuffer(b"".join(texts), "u1"), np.array(list(map(len, texts)))
+        owner, place = np.repeat(np.arange(len(texts)), sizes), np.concatenate([np.arange(n) for n in sizes])
+        left = sizes[owner] - place
+        levels = passages.suffix_order(flat, left)
+        order = np.argsort(levels[-1][1])
+        suffix = [texts[owner[i]][place[i] :] for i in order]
+        assert suffix == sorted(suffix)
+        shared = passages.common_prefixes(order, flat, left, levels)
+        length = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+        assert shared.tolist() == [0, *(length(x, y) for x, y in zip(suffix, suffix[1:], strict=False))]
+        got = passages.previous_factors(order, docs[owner[order]], shared, 1)
+        assert got.tolist() == [max((length(s, t[k:]) for j, t in enumerate(texts) if docs[j] < docs[owner[i]] for k in range(len(t))), default=0) for i, s in zip(order, suffix, strict=True)]
