@@ -7,6 +7,7 @@ every labeler is, and its soft labels train the classifier that decides on candi
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from math import log
 
@@ -27,7 +28,7 @@ BASE = {
 }
 #: Looser shapes: an address spelt out, a national number.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{2,63}+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{2,63}+)++",
     "phone": r"(?<![0-9A-Za-z+.)-])\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-]|\.[0-9])",
 }
 #: What a text must hold for a search to be worth while.
@@ -48,25 +49,50 @@ NEAR = 32  # code points of context before a span
 ROUNDS = 25
 
 
-def found_spans(text: Column, pattern: str, keep) -> Column:
-    """Leftmost matches that do not overlap, as array<struct<s, e, m>> (code points, end
-    exclusive), of those for which keep(match) holds.
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of body, in which name stands for value, computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-    The pieces between matches give the places.
+
+def running(values: str, merge: str, zero: int) -> str:
+    """SQL of what merge (of a and x) makes of an array of bigint up to each place.
+
+    Arrays that grow are copied at each step, so that one fold costs the square of its
+    length. Here folds run over blocks about as long as there are blocks, and over the blocks.
+    """
+    none, first = "cast(array() as array<bigint>)", f"cast({zero} as bigint)"
+    step = f"element_at(transform(array(s.at), a -> {merge}), 1)"
+    fold = lambda block, base, out: f"aggregate({block}, named_struct('at', {base}, 'out', {none}), (s, x) -> named_struct('at', {step}, 'out', concat(s.out, array({out}))), s -> s.out)"
+    totals = f"transform(bs, b -> aggregate(b, {first}, (a, x) -> {merge}))"
+    joined = f"flatten(zip_with(bs, {fold(totals, first, 's.at')}, (b, base) -> {fold('b', 'base', step)}))"
+    blocks = "transform(sequence(1, size(v), cast(ceil(sqrt(size(v))) as int)), k -> slice(v, k, cast(ceil(sqrt(size(v))) as int)))"
+    return _let("v", values, f"CASE WHEN size(v) > 0 THEN {_let('bs', blocks, joined)} ELSE {none} END")
+
+
+SUM, MOST, LEAST = "a + x", "if(a > x, a, x)", "if(a < x, a, x)"
+
+
+def found_spans(text: str, pattern: str, keep: Callable[[Column], Column]) -> Column:
+    """Leftmost matches that do not overlap, as array<struct<s, e, bs, be, m, near, after>>, of those
+    for which keep(match) holds; text and pattern are SQL.
+
+    s and e count code points, bs and be bytes, ends exclusive. near is what stands before a
+    match, NEAR code points at most and no more than two gaps back; after the next one behind it.
+    The pieces between matches give the places, in time that hardly grows faster than the text.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("g"))
-    span = "struct<s:int,e:int,m:string>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("out"))
+    ends = lambda size: running(f"transform(m, (t, i) -> cast({size}(g[i]) + {size}(t) as bigint))", SUM, 0)
+    last = lambda t: f"right({t}, {NEAR})"
+    near = last(f"concat({last(_at('g', 'i - 1'))}, {last(_at('m', 'i - 1'))}, {last('g[i]')})")
+    after = f"left(concat(left(g[i + 1], 1), left({_at('m', 'i + 1')}, 1)), 1)"
+    span = f"named_struct('s', cast(e[i] as int) - length(t), 'e', cast(e[i] as int), 'bs', cast(b[i] as int) - octet_length(t), 'be', cast(b[i] as int), 'm', t, 'near', {near}, 'after', {after})"
+    placed = _let("e", ends("length"), _let("b", ends("octet_length"), f"transform(m, (t, i) -> {span})"))
+    whole = _let("m", f"regexp_extract_all({text}, r'{pattern}', 0)", _let("g", f"split({text}, r'{pattern}', -1)", placed))
+    return F.filter(F.expr(whole), lambda x: keep(x["m"]))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        own = F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m"))
-        return F.struct(end.alias("at"), F.when(keep(x["m"]), F.concat(a["out"], F.array(own))).otherwise(a["out"]).alias("out"))
 
-    return F.aggregate(pairs, begin, step, lambda a: a["out"])
+def _at(array: str, place: str) -> str:
+    """A text of an array, empty outside of it."""
+    return f"coalesce(get({array}, {place}), '')"
 
 
 def _digits(m: Column) -> Column:
@@ -95,7 +121,7 @@ VALID = {
 
 
 def _none() -> Column:
-    return F.array().cast("array<struct<s:int,e:int,m:string>>")
+    return F.array().cast("array<struct<s:int,e:int,bs:int,be:int,m:string,near:string,after:string>>")
 
 
 def _vote(*cases: tuple[Column, int]) -> Column:
@@ -103,13 +129,12 @@ def _vote(*cases: tuple[Column, int]) -> Column:
     return reduce(lambda rest, case: F.when(F.coalesce(case[0], F.lit(False)), case[1]).otherwise(rest), reversed(cases), F.lit(0))
 
 
-def _labelled(text: Column, kind: str, spans: Column, base: bool) -> Column:
+def _labelled(kind: str, spans: Column, base: bool) -> Column:
     """Each span with the labelers' votes (v) and what the classifier sees (f: length, and
     the characters before and after)."""
 
     def one(x: Column) -> Column:
-        near = F.substring(text, F.greatest(x["s"] - NEAR + 1, F.lit(1)), F.least(x["s"], F.lit(NEAR)))
-        before, after, digits = F.substring(near, -1, 1), F.substring(text, x["e"] + 1, 1), _digits(x["m"])
+        near, before, after, digits = x["near"], F.right(x["near"], F.lit(1)), x["after"], _digits(x["m"])
         gazetteer = {
             "email": _vote((F.regexp_replace(x["m"], r" ?[(\[]dot[)\]] ?", ".").rlike(LABEL), 1)),
             "ip": _vote((x["m"].rlike(UNROUTED), 2)),
@@ -122,23 +147,23 @@ def _labelled(text: Column, kind: str, spans: Column, base: bool) -> Column:
         side = lambda c: F.when(c == "", 0).when(c.rlike(r"[\p{L}\p{N}]"), 1).when(c.rlike(r"\s"), 2).otherwise(3)
         size = F.least(F.floor((x["e"] - x["s"]) / 4), F.lit(9)).cast("int")
         votes = ((shape * 3 + gazetteer) * 3 + context) * 3 + glued
-        return F.struct(F.lit(KINDS.index(kind)).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lit(base).alias("base"), votes.cast("int").alias("v"), ((size * 4 + side(before)) * 4 + side(after)).cast("int").alias("f"))
+        return F.struct(F.lit(KINDS.index(kind)).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["bs"].alias("bs"), x["be"].alias("be"), F.lit(base).alias("base"), votes.cast("int").alias("v"), ((size * 4 + side(before)) * 4 + side(after)).cast("int").alias("f"))
 
     return F.transform(spans, one)
 
 
 def candidates(documents: DataFrame, column: str = "spans") -> DataFrame:
     """documents with all base spans and candidates of each text in a column; null texts have none."""
-    text = F.coalesce("text", F.lit(""))
+    text, read = F.coalesce("text", F.lit("")), "coalesce(text, '')"
     valid_or_loose = {"email": VALID["email"], "phone": lambda m: F.lit(True)}
     lists = []
     for kind in KINDS:
         worth = text.contains(TRIGGER[kind]) if kind in TRIGGER else text.rlike("[0-9]")
-        lists.append(_labelled(text, kind, F.when(worth, found_spans(text, BASE[kind], VALID[kind])).otherwise(_none()), True))
+        lists.append(_labelled(kind, F.when(worth, found_spans(read, BASE[kind], VALID[kind])).otherwise(_none()), True))
     for kind, hint in (("email", r"[(\[]at[)\]]"), ("phone", "[0-9]{3}[ .-][0-9]{4}")):
-        lists.append(_labelled(text, kind, F.when(text.rlike(hint), found_spans(text, LOOSE[kind], valid_or_loose[kind])).otherwise(_none()), False))
+        lists.append(_labelled(kind, F.when(text.rlike(hint), found_spans(read, LOOSE[kind], valid_or_loose[kind])).otherwise(_none()), False))
     unproven = lambda m: F.length(_digits(m)).between(13, 19) & ~_luhn(_digits(m))
-    lists.append(_labelled(text, "card", F.when(text.rlike("[0-9](?:[ -]?[0-9]){12}"), found_spans(text, BASE["card"], unproven)).otherwise(_none()), False))
+    lists.append(_labelled("card", F.when(text.rlike("[0-9](?:[ -]?[0-9]){12}"), found_spans(read, BASE["card"], unproven)).otherwise(_none()), False))
     return documents.withColumn(column, F.concat(*lists))
 
 
@@ -197,8 +222,29 @@ def fit(found: DataFrame, column: str = "spans") -> dict[tuple[int, int, int], f
     return odds
 
 
-def decided(column: str, odds: dict[tuple[int, int, int], float], threshold: float) -> tuple[Column, Column]:
-    """Base spans, and those added, of a column of candidates: arrays of struct<k, s, e> by kind and start.
+def _apart(kind: int) -> str:
+    """SQL of the picked spans of a kind that overlap no base span. Base spans do not overlap one another.
+
+    In order of starts, a span is free if no base span before it reaches behind its start,
+    and the next one does not start before its end.
+    """
+    far = 1 << 40
+    of = lambda xs: f"filter({xs}, y -> y.k = {kind})"
+    marked = lambda xs, c: f"transform({of(xs)}, y -> named_struct('s', y.s, 'e', y.e, 'c', {c}, 'bs', y.bs, 'be', y.be))"
+    reach = running("transform(both, y -> cast(if(y.c, -1, y.e) as bigint))", MOST, -1)
+    following = f"reverse({running(f'reverse(transform(both, y -> cast(if(y.c, {far}, y.s) as bigint)))', LEAST, far)})"
+    free = _let("r", reach, _let("n", following, "filter(both, (y, i) -> y.c AND r[i] <= y.s AND n[i] >= y.e)"))
+    both = _let("both", f"array_sort(concat({marked('_pii_base', 'false')}, {marked('_pii_picked', 'true')}))", free)
+    apart = f"CASE WHEN size({of('_pii_base')}) > 0 AND size({of('_pii_picked')}) > 0 THEN {both} ELSE {marked('_pii_picked', 'true')} END"
+    return f"transform({apart}, y -> named_struct('k', {kind}, 's', y.s, 'e', y.e, 'bs', y.bs, 'be', y.be))"
+
+
+def _slim(x: Column) -> Column:
+    return F.struct(*(x[c].alias(c) for c in ("k", "s", "e", "bs", "be")))
+
+
+def decided(found: DataFrame, column: str, odds: dict[tuple[int, int, int], float], threshold: float) -> DataFrame:
+    """found with _pii_base and _pii_added, of a column of candidates: arrays of struct<k, s, e, bs, be> by kind and start.
 
     Base spans always stay. A candidate is added if its log odds are above the threshold,
     more labelers speak for it than against, and it overlaps no base span of its kind.
@@ -206,18 +252,21 @@ def decided(column: str, odds: dict[tuple[int, int, int], float], threshold: flo
     good = sorted(key for key, x in odds.items() if x > threshold and ballots(key[1]).count(1) > ballots(key[1]).count(2))
     code = lambda x: (x["k"] * 81 + x["v"]) * 160 + x["f"]
     chosen = F.array(*(F.lit((k * 81 + v) * 160 + f) for k, v, f in good)).cast("array<int>")
-    slim = lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"))
-    base = F.filter(column, lambda x: x["base"])
-    free = lambda x: ~F.exists(base, lambda b: (b["k"] == x["k"]) & (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    added = F.filter(column, lambda x: ~x["base"] & F.array_contains(chosen, code(x)) & free(x))
-    return F.array_sort(F.transform(base, slim)), F.array_sort(F.transform(added, slim))
+    base = F.array_sort(F.transform(F.filter(column, lambda x: x["base"]), _slim))
+    picked = F.transform(F.filter(column, lambda x: ~x["base"] & F.array_contains(chosen, code(x))), _slim)
+    # Card candidates come from the same search as base cards, so only the others can overlap.
+    parts = ", ".join([*(_apart(KINDS.index(k)) for k in LOOSE), f"filter(_pii_picked, y -> y.k = {KINDS.index('card')})"])
+    added = F.expr(f"CASE WHEN size(_pii_picked) = 0 THEN _pii_picked ELSE array_sort(concat({parts})) END")
+    return found.withColumns({"_pii_base": base, "_pii_picked": picked}).withColumn("_pii_added", added).drop("_pii_picked")
 
 
 def spans(documents: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """doc_id, base and added of every document; repeated rows are searched one by one."""
+    """doc_id, base and added of every document; repeated rows are searched one by one.
+
+    Null and empty texts hold nothing; an empty table gives no rows.
+    """
     found = cut(candidates(documents.select("doc_id", "text")).select("doc_id", "spans"))
-    base, added = decided("spans", fit(found), threshold)
-    return found.select("doc_id", base.alias("base"), added.alias("added"))
+    return decided(found, "spans", fit(found), threshold).select("doc_id", F.col("_pii_base").alias("base"), F.col("_pii_added").alias("added"))
 
 
 def written(list_: Column) -> Column:
@@ -244,22 +293,17 @@ def redact(documents: DataFrame, threshold: float = 0.0) -> DataFrame:
     as they were. The texts are searched twice, so that no copy of them is kept.
     """
     found = candidates(documents, "_pii")
-    base, added = decided("_pii", fit(found, "_pii"), threshold)
-    name = F.array(*(F.lit(f"<{k}>") for k in KINDS))
-    order = F.array_sort(F.transform(F.concat(base, added), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
-    # What is written, up to where; and the union that is open: begin, end, longest span and its kind.
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit(0).alias("w"), F.lit(0).alias("k"))
-
-    def put(a: Column) -> Column:
-        return F.when(a["w"] == 0, a["out"]).otherwise(F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, a["s"] - a["at"]), F.get(name, a["k"])))
-
-    def step(a: Column, x: Column) -> Column:
-        s, e, w, k = x["s"].cast("int"), x["e"].cast("int"), (x["e"] - x["s"]).cast("int"), x["k"].cast("int")
-        over = s < a["e"]
-        return F.struct(
-            F.when(over, a["out"]).otherwise(put(a)).alias("out"), F.when(over, a["at"]).otherwise(a["e"]).alias("at"), F.when(over, a["s"]).otherwise(s).alias("s"),
-            F.when(over, F.greatest(a["e"], e)).otherwise(e).alias("e"), F.when(over, F.greatest(a["w"], w)).otherwise(w).alias("w"), F.when(over & (a["w"] >= w), a["k"]).otherwise(k).alias("k"),
-        )
-
-    clean = F.aggregate(order, begin, step, lambda a: F.concat(put(a), F.substring(F.col("text"), a["e"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("_pii") > 0, clean).otherwise(F.col("text"))).select(*documents.columns)
+    judged = decided(found, "_pii", fit(found, "_pii"), threshold)
+    # Spans in order; where one begins behind all before it, a union begins.
+    ordered = "array_sort(transform(concat(_pii_base, _pii_added), y -> named_struct('s', y.s, 'e', y.e, 'k', y.k, 'bs', y.bs, 'be', y.be)))"
+    heads = "transform(filter(transform(o, (y, i) -> if(i = 0 OR y.s >= get(r, i - 1), i, NULL)), i -> i IS NOT NULL), i -> i)"
+    own = "slice(o, i + 1, coalesce(get(h, j + 1), size(o)) - i)"
+    longest = f"array_max(transform({own}, y -> named_struct('w', y.e - y.s, 's', -y.s, 'k', -y.k))).k"
+    union = f"named_struct('bs', o[i].bs, 'be', array_max(transform({own}, y -> y.be)), 'k', -{longest})"
+    unions = _let("r", running("transform(o, y -> cast(y.e as bigint))", MOST, 0), _let("h", heads, f"transform(h, (i, j) -> {union})"))
+    cut_at = lambda begin, end: f"cast(substring(data, {begin} + 1, {end} - {begin}) as string)"
+    tag = f"array({', '.join(repr(f'<{k}>') for k in KINDS)})"
+    pieces = f"transform(u, (y, i) -> concat({cut_at('coalesce(get(u, i - 1).be, 0)', 'y.bs')}, {tag}[y.k]))"
+    written_out = f"concat(array_join({pieces}, ''), {cut_at('element_at(u, -1).be', 'octet_length(data)')})"
+    clean = F.expr(_let("o", ordered, f"CASE WHEN size(o) > 0 THEN {_let('u', unions, _let('data', 'cast(text as binary)', written_out))} ELSE text END"))
+    return judged.withColumn("text", F.when(F.size("_pii") > 0, clean).otherwise(F.col("text"))).select(*documents.columns)

@@ -352,3 +352,40 @@ def test_longest_previous_factors():
         assert shared.tolist() == [0, *(length(x, y) for x, y in zip(suffix, suffix[1:], strict=False))]
         got = passages.previous_factors(order, docs[owner[order]], shared, 1)
         assert got.tolist() == [max((length(s, t[k:]) for j, t in enumerate(texts) if docs[j] < docs[owner[i]] for k in range(len(t))), default=0) for i, s in zip(order, suffix, strict=True)]
+
+
+def test_spans_that_the_method_adds(spark):
+    texts = {
+        1: "please write to bob (at) example (dot) com or ann@b.org, ok",
+        2: "call phone (743) 555-3824 now",
+        3: "x@y.com (at) z.com",  # what overlaps a base span is not added
+        4: "isbn (743) 555-3824",
+        **{k: f"please write to u{k} (at) mail (dot) com and call phone (743) 555-{3000 + k}" for k in range(10, 60)},
+    }
+    rows = by_id(pii.digests(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    at = lambda d, part, kind: f"{kind}:{texts[d].index(part)}:{texts[d].index(part) + len(part)}"
+    assert rows[1].spans.split(",") == [at(1, "bob (at) example (dot) com", "email"), at(1, "ann@b.org", "email")]
+    assert rows[2].spans == at(2, "(743) 555-3824", "phone") and rows[2].n_phone == 0
+    assert rows[3].spans == at(3, "x@y.com", "email")
+    assert rows[4].spans == ""
+    assert all(rows[k].spans.count(":") == 4 for k in range(10, 60))
+
+
+def test_personal_data_in_hostile_texts(spark):
+    """Many spans, and shapes that recursion or retries would not survive."""
+    texts = ["1." * 8000, "a (at) b" + ".aa" * 20_000, "+1" + " " * 50_000, "é a@b.de " * 4000, "x (at) y.com a@b.co " * 1500, "1 " * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, clean = by_id(pii.digests(df)), by_id(pii.redact(df))
+    for d, t in enumerate(texts):
+        assert [rows[d][f"n_{k}"] for k in pii.KINDS] == [sum(x.startswith(k + ":") for x in brute.base_spans(t)) for k in pii.KINDS]
+    assert clean[3].text == "é <email> " * 4000 and clean[0].text.count("<ip>") == 2000
+    assert pii.redact(df.filter("doc_id < 0")).count() == 0
+
+
+def test_running_merges(spark):
+    rnd = random.Random(3)
+    for n in (0, 1, 2, 3, 10, 99, 100, 101):
+        v = [rnd.randrange(50) for _ in range(n)]
+        df = spark.createDataFrame([(v,)], "v array<bigint>").selectExpr(f"{pii.running('v', pii.SUM, 0)} s", f"{pii.running('v', pii.MOST, -1)} m", f"{pii.running('v', pii.LEAST, 99)} l")
+        r = df.first()
+        assert (r.s, r.m, r.l) == tuple([f(v[: i + 1]) for i in range(n)] for f in (sum, max, min))
