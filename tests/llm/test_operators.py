@@ -389,3 +389,27 @@ def test_running_merges(spark):
         df = spark.createDataFrame([(v,)], "v array<bigint>").selectExpr(f"{pii.running('v', pii.SUM, 0)} s", f"{pii.running('v', pii.MOST, -1)} m", f"{pii.running('v', pii.LEAST, 99)} l")
         r = df.first()
         assert (r.s, r.m, r.l) == tuple([f(v[: i + 1]) for i in range(n)] for f in (sum, max, min))
+
+
+def test_near_duplicate_recall(spark, data):
+    """Of all pairs of similarity 0.8 and more on the tables at hand, those in one component."""
+    rows = spark.read.parquet(f"{data}/../sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    sets = {d: set(neardup.shingles((t or "").encode(), 4).tolist()) for d, t in texts.items()}
+    holders = {}
+    for d, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(d)
+    both = {}
+    for ds in holders.values():
+        for i, a in enumerate(ds):
+            for b in ds[:i]:
+                both[b, a] = both.get((b, a), 0) + 1
+    links = [(a, b) for (a, b), n in both.items() if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n)]
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(rows).collect()}
+    assert len(links) > 50 and sum(found[a] == found[b] for a, b in links) >= 0.98 * len(links)
+    want = {d: d for d in texts}
+    for _ in range(20):  # components of the links themselves: none is joined that has no link
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    assert all(want[d] <= c for d, c in found.items())
