@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by learned partitions.
 
-On a bounded sample, the neighbour graph is partitioned into balanced parts; a small
-network learns to tell a vector's part. All vectors are indexed by their most probable
+On a bounded sample, the neighbour graph is partitioned into balanced parts, as many as the
+table asks for up to a bound; a small network learns to tell a vector's part. All vectors are indexed by their most probable
 part, queries look into several, and what they find is ranked by exact cosine.
 """
 
@@ -16,15 +16,19 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Vectors, at most, on which graph, partition and network are made.
-FITTED = 4000
+#: Vectors of a part, about: parts grow with the table, up to MOST of them.
+SHARE, MOST = 1000, 256
+#: Vectors, for each part, on which graph, partition and network are made; FITTED x MOST at most.
+FITTED = 64
 NEIGHBOURS = 10
 HIDDEN = 64
-PARTS = 32
 #: Recall within the sample that the number of probed parts must reach.
 WANTED = 0.98
-#: Vectors of a block; blocks of queries meet blocks of candidates.
-BLOCK = 1024
+#: Vectors of a block; blocks of queries meet blocks of candidates. A part of one block of
+#: queries copies no candidate.
+BLOCK = 4096
+#: Queries held against a block of candidates at a time.
+ROWS = 256
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -77,10 +81,10 @@ def partition(x: np.ndarray, graph: np.ndarray, parts: int) -> np.ndarray:
 class Router:
     """A network of one hidden layer, trained on where a vector's neighbours are."""
 
-    def __init__(self, x: np.ndarray) -> None:
+    def __init__(self, x: np.ndarray, parts: int) -> None:
         rng = np.random.default_rng(0)
         self.dim = x.shape[1]
-        self.parts = min(PARTS, 1 << max(0, int(np.log2(max(1, len(x) // 60)))))
+        self.parts = min(parts, 1 << max(0, int(np.log2(max(1, len(x) // (FITTED // 2))))))
         self.probes = 1
         self.w1, self.b1 = rng.normal(0, self.dim**-0.5, (self.dim, HIDDEN)) * 2, np.zeros(HIDDEN)
         self.w2, self.b2 = rng.normal(0, 0.1, (HIDDEN, self.parts)), np.zeros(self.parts)
@@ -122,35 +126,42 @@ class Router:
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """vec_id and vector (doubles) of the rows that take part: no null or non-finite component,
+    """vec_id and vector (of the type it has) of the rows that take part: no null or non-finite component,
     not zero, as many components as most rows have (the fewest, if as many rows have others)."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    rows = embeddings.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select("vec_id", v.alias("vector"))
+    rows = embeddings.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select("vec_id", F.col("embedding").alias("vector"))
     good = rows.filter(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0))
     sizes = good.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     return good.filter(F.size("vector") == (sizes["dim"] if sizes else 0))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dim)
+
+
+def fit(rows: DataFrame, n: int) -> Router:
+    """A router for n usable vectors: a part for every SHARE of them, fitted on a bounded draw."""
+    parts = min(MOST, 1 << max(0, round(np.log2(max(1, n / SHARE)))))
+    lucky = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, FITTED * parts / max(n, 1)))
+    sample = sorted((r.vec_id, r.vector) for r in rows.filter(lucky).limit(2 * FITTED * parts).collect())
+    # Copies of one vector would make its neighbourhood all of a part.
+    unique = np.unique(_unit(np.array([v for _, v in sample], "f8")), axis=0) if sample else np.zeros((0, 1))
+    return Router(unique, parts)
 
 
 def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, router: Router | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query among usable embeddings.
 
-    A query is no candidate for itself. Scores are exact cosines in double precision, ties
-    go to the smaller vec_id. With fewer candidates all are returned.
+    A query is no candidate for itself, nor is any row of its vec_id. Other rows that share a
+    vec_id are candidates each, so that it may take several ranks; of a query with several
+    vectors the least one asks. Scores are exact cosines in double
+    precision, ties go to the smaller vec_id. With fewer candidates all are returned; an
+    empty table gives no rows.
     """
     rows = cut(usable(embeddings))
-    n = rows.count()
-    if router is None:
-        lucky = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, FITTED / max(n, 1)))
-        sample = sorted((r.vec_id, r.vector) for r in rows.filter(lucky).limit(2 * FITTED).collect())
-        # Copies of one vector would make its neighbourhood all of a part.
-        unique = np.unique(_unit(np.array([v for _, v in sample])), axis=0) if sample else np.zeros((0, 1))
-        router = Router(unique)
+    router = router or fit(rows, rows.count())
     given = rows.sparkSession.sparkContext.broadcast(router)
     dim = router.dim
+    kind = rows.schema["vector"].dataType.simpleString()
 
     def route(many: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +172,7 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, router: Router
 
         return run
 
-    schema = "vec_id bigint, vector array<double>, parts array<bigint>"
+    schema = f"vec_id bigint, vector {kind}, parts array<bigint>"
     pairs = lambda df, many: df.mapInArrow(route(many), schema).select("vec_id", "vector", F.explode("parts").alias("part"))
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
@@ -171,29 +182,35 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, router: Router
         return own.groupBy("part", "block").agg(F.collect_list("vec_id").alias(f"{name}_ids"), F.flatten(F.collect_list("vector")).alias(f"{name}_vectors")).withColumnRenamed("block", f"{name}_block")
 
     asked = queries.select(F.col("vec_id").alias("_q")).distinct()
-    probes = pairs(rows.join(asked, F.col("vec_id") == F.col("_q"), "left_semi"), True)
+    asking = rows.join(asked, F.col("vec_id") == F.col("_q"), "left_semi").groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    probes = cut(pairs(asking, True))
     met = blocks(probes, "q").join(blocks(pairs(rows, False), "c"), "part").repartition("part", "q_block", "c_block")
 
+    def best_of(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, lengths: np.ndarray, unit: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        rough = _unit(q) @ unit.T
+        rough[q_ids[:, None] == c_ids[None]] = -2
+        for j, query in enumerate(q):
+            floor = np.partition(rough[j], -k)[-k] - 1e-9 if len(c_ids) > k else -1.5
+            some = np.flatnonzero(rough[j] >= max(floor, -1.5))
+            # One rule for every pair, so that equal vectors have equal scores.
+            score = (c[some] * query).sum(1)
+            score = score / (lengths[some] * np.sqrt((query * query).sum()))
+            for b in np.lexsort((c_ids[some], -score))[:k]:
+                yield int(q_ids[j]), int(c_ids[some[b]]), float(score[b])
+
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                get = lambda name: row.column(row.schema.names.index(name)).flatten().to_numpy()  # noqa: B023, E731
-                q_ids, c_ids = get("q_ids"), get("c_ids")
-                q, c = get("q_vectors").reshape(len(q_ids), dim), get("c_vectors").reshape(len(c_ids), dim)
+                get = lambda name: row.column(row.schema.names.index(name)).flatten()  # noqa: B023, E731
+                q_ids, c_ids = get("q_ids").to_numpy(), get("c_ids").to_numpy()
+                q, c = (get(f"{x}_vectors").to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dim) for x in "qc")
                 lengths = np.sqrt(np.einsum("ij,ij->i", c, c))
-                rough = _unit(q) @ (c / lengths[:, None]).T
-                rough[q_ids[:, None] == c_ids[None]] = -2
-                out: list[tuple[int, int, float]] = []
-                for j, query in enumerate(q):
-                    floor = np.partition(rough[j], -k)[-k] - 1e-9 if len(c_ids) > k else -1.5
-                    some = np.flatnonzero(rough[j] >= max(floor, -1.5))
-                    # One rule for every pair, so that equal vectors have equal scores.
-                    score = (c[some] * query).sum(1)
-                    score = score / (lengths[some] * np.sqrt((query * query).sum()))
-                    best = np.lexsort((c_ids[some], -score))[:k]
-                    out += [(int(q_ids[j]), int(c_ids[some[b]]), float(score[b])) for b in best]
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], names=["query_id", "vec_id", "score"])
+                unit = c / lengths[:, None]
+                for at in range(0, len(q_ids), ROWS):
+                    some = slice(at, at + ROWS)
+                    out = list(best_of(q_ids[some], q[some], c_ids, c, lengths, unit))
+                    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], names=["query_id", "vec_id", "score"])
 
     found = met.mapInArrow(rank, "query_id bigint, vec_id bigint, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

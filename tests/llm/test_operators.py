@@ -413,3 +413,30 @@ def test_near_duplicate_recall(spark, data):
         for a, b in links:
             want[a] = want[b] = min(want[a], want[b])
     assert all(want[d] <= c for d, c in found.items())
+
+
+def test_neighbours_of_repeated_rows_and_ties(spark):
+    """Equal scores go to the smaller vec_id; rows that share a vec_id are candidates each, but not for it."""
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [3.0, 0.0]), (2, [3.0, 0.0]), (3, [0.0, 1.0]), (4, [-1.0, 0.0]), (5, [0.5, 0.0])]
+    found = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect()
+    assert [(r.rank, r.vec_id, r.score) for r in found] == [(1, 1, 1.0), (2, 2, 1.0), (3, 2, 1.0), (4, 5, 1.0), (5, 3, 0.0)]
+
+
+def test_parts_grow_with_the_table(spark):
+    """Recall against brute force with several parts, more of them for more rows."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 16))
+    x = (centres[rng.integers(60, size=9000)] + rng.normal(size=(9000, 16)) * 0.6).astype("f4")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").cache()
+    few, many = ann.fit(df.selectExpr("vec_id", "embedding vector"), 2000), ann.fit(df.selectExpr("vec_id", "embedding vector"), 9000)
+    assert 1 < few.parts < many.parts
+    unit = ann._unit(x.astype("f8"))
+    got = {}
+    for r in ann.neighbours(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 9000, 50):
+        like = unit @ unit[q]
+        like[q] = -2
+        hits += len(got[q] & set(np.argsort(-like)[:5].tolist()))
+    assert hits >= 0.9 * 5 * 180
