@@ -440,3 +440,14 @@ def test_parts_grow_with_the_table(spark):
         like[q] = -2
         hits += len(got[q] & set(np.argsort(-like)[:5].tolist()))
     assert hits >= 0.9 * 5 * 180
+
+
+def test_mixing_many_sources(docs, monkeypatch):
+    """Joined instead of broadcast, and numbered in ranges: the same rows."""
+    few = sorted(r[:] for r in mixing.taken(docs).collect())
+    copies = sorted(r.doc_id for r in mixing.mix(docs).collect())
+    monkeypatch.setattr(mixing, "TRAVELLING", 0)
+    assert sorted(r[:] for r in mixing.taken(docs).collect()) == few
+    assert sorted(r.doc_id for r in mixing.mix(docs).collect()) == copies
+    reps = {r.doc_id: r.reps for r in mixing.repetitions(docs).collect()}
+    assert copies == sorted(d for d, n in reps.items() for _ in range(n))
