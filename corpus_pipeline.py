@@ -62,11 +62,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; tables in between go to the shared folder."""
+    """All stages over the documents of sf_dir; tables in between go to the shared folder, and
+    each is deleted once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
         docs = spark.read.parquet(f"{place}/{k}")
+        if k:
+            _delete(spark, f"{place}/{k - 1}")
     return docs
