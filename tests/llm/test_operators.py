@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -228,11 +230,14 @@ def test_lm_with_few_frequent_words(docs, monkeypatch):
     assert all(after[d].score == pytest.approx(before[d].score) and after[d].n_known == before[d].n_known for d in before)
 
 
+def table_of_zeros():
+    return np.zeros((2, 1 << lm.LEAST_BITS), "f4")
+
+
 def test_mixed_bits_are_a_distribution():
     """Whole bytes behind an empty context: their probabilities sum to one."""
-    table = np.zeros((2, 1 << lm.SLOT_BITS), "f4")
     words = [b"", *(bytes([b]) for b in range(256) if b != 0x20)]
-    first = lm.Mixer().log10(words, table)
+    first = lm.Mixer().log10(words, np.zeros(len(words), "i8"), table_of_zeros())
     assert (10 ** first[1:]).sum() < 1 and np.isfinite(first).all()
 
 
@@ -241,27 +246,88 @@ def test_every_byte_of_a_long_word_is_coded(monkeypatch):
     rnd = random.Random(2)
     noise = bytes(rnd.randrange(33, 127) for _ in range(500))
     words = [b"ab" * 32 + b"ab" * 250, b"ab" * 32 + noise, b"", b"x", noise + b"\xe4\xb8\xad" * 90]
-    table = np.zeros((2, 1 << lm.SLOT_BITS), "f4")
-    for bits in lm.blocks([b"ab" * n for n in range(1, 400, 7)]):
+    states = np.array([3, 3, 0, 5, 7])
+    table = table_of_zeros()
+    for bits in lm.blocks([b"ab" * n for n in range(1, 400, 7)], np.full(60, 3), lm.LEAST_BITS):
         for k in range(lm.ORDERS):
             np.add.at(table, (bits.bit, bits.slot[k]), 1)
-    whole = lm.Mixer().log10(words, table)
+    whole = lm.Mixer().log10(words, states, table)
     assert whole[0] > whole[1] + 300
-    assert whole[1] == pytest.approx(sum(lm.Mixer().log10([w], table)[0] for w in words[1:2]))
-    monkeypatch.setattr(lm, "BLOCK", 64)
-    assert lm.Mixer().log10(words, table) == pytest.approx(whole)
-    monkeypatch.setattr(lm, "BLOCK", 1)
-    assert lm.Mixer().log10(words, table) == pytest.approx(whole)
+    assert whole[1] == pytest.approx(lm.Mixer().log10(words[1:2], states[1:2], table)[0])
+    for block in (64, 1):
+        monkeypatch.setattr(lm, "BLOCK", block)
+        assert lm.Mixer().log10(words, states, table) == pytest.approx(whole)
 
 
 def test_weights_are_learnt_on_all_words(spark):
-    """Every bit of every distinct training word, of many more than a draw would hold."""
-    words = [f"w{i:x}".encode() for i in range(100_000)]
-    vocabulary = spark.createDataFrame([(w, 1) for w in words] + [(b"held", 0)], "word binary, c long").repartition(3)
-    met = lm.learnt(vocabulary, np.zeros((2, 1 << lm.SLOT_BITS), "f4")).filter(F.col("at") % (2 * lm.ORDERS + 1 + lm.CELLS) == 0)
+    """Every bit of every training pair of state and word, of many more than a draw would hold."""
+    words = [f"w{i:x}".encode() for i in range(60_000)]
+    units = spark.createDataFrame([(w, 3, 1) for w in words] + [(b"held", 3, 0)], "word binary, state long, c long").repartition(3)
+    met = lm.learnt(units, table_of_zeros()).filter(F.col("at") % (2 * lm.ORDERS + 1 + lm.CELLS) == 0)
     assert met.agg(F.sum("met")).first()[0] == sum(8 * (len(w) + 1) for w in words)
 
 
+def walked(text, model):
+    """The words of a text with their states, one by one."""
+    flat, out, at, before = (text or "").encode().lower(), [], 0, None
+    odds = model.prior.copy()
+    for m in [*re.finditer(rb"[^ \t-\r]+", flat), None]:
+        start = m.start() if m else len(flat)
+        while at + 2 <= start:  # pairs of letters read so far
+            odds = odds + model.log_pairs[:, lm._pair_kinds(np.frombuffer(flat[at : at + 2], "u1"))[0]]
+            at += 1
+        ending = 0 if before is None else 1 if before[-1:] in b".!?" else 2 if before[-1:] in b",;:" else 3
+        before = m[0] if m else None
+        out.append((int(odds.argmax()) * lm.ENDINGS + ending, m[0] if m else b""))
+    return out
+
+
+def test_state_along_a_text(docs):
+    """Words, states and counts of all texts, against a walk over each, whatever the chunks."""
+    model = lm.components(docs)
+    own = [t or "" for t in TEXTS.values()]
+    words = lm.Words([t.encode() for t in own], model.log_pairs, model.prior)
+    got = list(zip(words.doc.tolist(), words.state.tolist(), words.words(np.arange(len(words.doc))).to_pylist(), strict=True))
+    assert got == [(i, s, w) for i, t in enumerate(own) for s, w in walked(t, model)]
+    assert len(set(words.hash.tolist())) == len({(s, w) for _, s, w in got})
+    want = {}
+    for d, t in TEXTS.items():
+        for unit in walked(t, model):
+            c = want.setdefault(unit, [0, 0])
+            c[0] += zlib.crc32(str(d).encode()) % 10 != 0
+            c[1] += 1
+    assert {(r.state, bytes(r.word)): [r.c, r["all"]] for r in lm.unit_counts(docs, model).collect()} == want
+
+
+def test_lm_score_is_the_sum_over_a_walk(docs, monkeypatch):
+    """Each text's score from the scores of its pairs of state and word; those of one state sum to less than one."""
+    model = lm.components(docs)
+    known, n, _ = lm.unit_scores(docs, model)
+    lp = {(r.state, bytes(r.word)): r.lp for r in known.collect()}
+    rows = by_id(lm.scored(docs))
+    for d, t in TEXTS.items():
+        assert rows[d].score == pytest.approx(sum(lp[u] for u in walked(t, model)))
+    for state in {s for s, _ in lp}:
+        assert sum(10 ** x for (s, _), x in lp.items() if s == state) < 1 + 1e-9
+    monkeypatch.setattr(lm, "CHUNK", 100)
+    monkeypatch.setattr(lm, "HELD", 50)
+    again = by_id(lm.scored(docs))
+    assert all(again[d].score == pytest.approx(rows[d].score) for d in rows)
+
+
+def test_lm_order_and_repeated_rows(spark):
+    """What a text says first changes what is expected later; the same row twice has its score twice."""
+    german, english = "der die und nicht straße über schön ", "the and with which there through shall "
+    texts = [(g * 40).strip() + "." for g in (german, english)] * 6 + [german + english, english + german]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1]), (0, "other")]
+    made = lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    score = {}
+    for r in made:
+        score.setdefault(r.doc_id, []).append(r.score)
+    assert len(made) == len(rows) and len(score[0]) == 3 and len({round(x, 6) for x in score[0]}) == 2
+    assert score[12][0] != pytest.approx(score[13][0], abs=1e-6)
+
+
 def test_language(docs, spark, data):
     rows = by_id(language.documents_language(docs))
     assert not rows[1].kept and not rows[17].kept
