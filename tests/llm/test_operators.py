@@ -237,7 +237,7 @@ def table_of_zeros():
 def test_mixed_bits_are_a_distribution():
     """Whole bytes behind an empty context: their probabilities sum to one."""
     words = [b"", *(bytes([b]) for b in range(256) if b != 0x20)]
-    first = lm.Mixer().log10(words, np.zeros(len(words), "i8"), table_of_zeros())
+    first = lm.Mixer().log10(words, np.zeros(len(words), "i8"), lm.Predictors(table_of_zeros()))
     assert (10 ** first[1:]).sum() < 1 and np.isfinite(first).all()
 
 
@@ -251,12 +251,13 @@ def test_every_byte_of_a_long_word_is_coded(monkeypatch):
     for bits in lm.blocks([b"ab" * n for n in range(1, 400, 7)], np.full(60, 3), lm.LEAST_BITS):
         for k in range(lm.ORDERS):
             np.add.at(table, (bits.bit, bits.slot[k]), 1)
-    whole = lm.Mixer().log10(words, states, table)
+    told = lm.Predictors(table)
+    whole = lm.Mixer().log10(words, states, told)
     assert whole[0] > whole[1] + 300
-    assert whole[1] == pytest.approx(lm.Mixer().log10(words[1:2], states[1:2], table)[0])
+    assert whole[1] == pytest.approx(lm.Mixer().log10(words[1:2], states[1:2], told)[0])
     for block in (64, 1):
         monkeypatch.setattr(lm, "BLOCK", block)
-        assert lm.Mixer().log10(words, states, table) == pytest.approx(whole)
+        assert lm.Mixer().log10(words, states, told) == pytest.approx(whole)
 
 
 def test_weights_are_learnt_on_all_words(spark):
