@@ -6,7 +6,7 @@ integer is null: an amount that can't be held exactly is not shown.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The largest integer a double holds exactly, and the currencies in their order.
@@ -97,27 +97,70 @@ def previous_on_ladder(tiers: Column, minor: Column) -> Column:
     return minor - (minor - tier["from"]) % tier["step"]
 
 
-def affordable_bid(budget: Column, bps: Column, tiers: Column, minimum: int = 0, fees: dict[str, Column] | None = None) -> Column:
-    """The highest hammer on the ladder whose total stays within budget; null if none does.
+#: How far a hammer may be from where rates alone would put it: rounding of the lines, and one for the division.
+SLACK = 6
 
-    Cost never falls as the hammer rises, so a search by halves finds the border, in as many
-    folds as the budget has bits.
-    """
-    total = lambda h: _lines(h, bps, fees)["total"]
-    floor = next_on_ladder(tiers, F.lit(max(minimum, 1)).cast("bigint"))
-    begin = F.struct(floor.alias("low"), (budget.cast("bigint") + 1).alias("high"))
-
-    def halve(s: Column, _: Column) -> Column:
-        def at(middle: Column) -> Column:
-            fits = F.coalesce(total(middle) <= budget, F.lit(False))
-            return F.when(fits, F.struct(middle.alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), middle.alias("high")))
 
-        middle = F.shiftright(s["low"] + s["high"], 1)
-        return F.when(s["low"] + 1 < s["high"], F.get(F.transform(F.array(middle), at), F.lit(0))).otherwise(s)
+def with_affordable_bid(df: DataFrame, name: str, budget: Column, bps: Column, tiers: Column, minimum: int = 0, fees: dict[str, Column] | None = None) -> DataFrame:
+    """Add the highest hammer on the ladder whose total stays within budget; null if none does.
 
-    steps = F.greatest(F.ceil(F.log2(budget.cast("double") + 2)), F.lit(1)).cast("int") + 1
-    found = F.aggregate(F.sequence(F.lit(1), steps), begin, halve, lambda s: s["low"])
-    return F.when(total(floor) <= budget, previous_on_ladder(tiers, found))
+    Cost is the hammer times a rate plus what does not depend on it, but for rounding. So the
+    rate gives a first hammer, what that leaves of the budget a second one, and the last few
+    units are tried in turn. All of it is plain arithmetic in compiled code.
+    """
+    share_of = {f: (fees or {}).get(f, F.lit(0)).cast("double") / 10_000 for f in FEES if f.endswith("bps")}
+    p = bps.cast("double") / 10_000
+    rate = (1 + p + p * share_of["premium_vat_bps"] + share_of["platform_fee_bps"]) * (1 + share_of["payment_fee_bps"]) + (1 + p) * share_of["import_vat_bps"]
+    given = {f"_fee_{f}": c for f, c in (fees or {}).items()}
+    rows = df.withColumns({"_budget": budget.cast("bigint"), "_bps": bps, "_rate": rate, "_floor": next_on_ladder(tiers, F.lit(max(minimum, 1)).cast("bigint")), **given})
+    total = lambda h: _lines(h, F.col("_bps"), {f: F.col(f"_fee_{f}") for f in fees or {}})["total"]
+    rows = rows.withColumn("_h", F.floor((F.col("_budget") - total(F.lit(0).cast("bigint"))) / F.col("_rate")).cast("bigint"))
+    rows = rows.withColumn("_h", F.greatest("_h", "_floor"))
+    rows = rows.withColumn("_h", F.col("_h") + F.floor((F.col("_budget") - total(F.col("_h"))) / F.col("_rate")).cast("bigint"))
+    best = F.coalesce(*(F.when(total(F.col("_h") + k) <= F.col("_budget"), F.col("_h") + k) for k in range(SLACK, -SLACK - 1, -1)))
+    rows = rows.withColumn("_best", F.greatest(best, F.col("_floor"))).withColumn("_fits", total(F.col("_floor")) <= F.col("_budget"))
+    return rows.withColumn(name, F.when(F.col("_fits"), previous_on_ladder(tiers, F.col("_best")))).select(*(c for c in df.columns if c != name), name)
+
+
+SETTLED = ("settled-won", "settled-lost", "reopened-active", "reopened-inactive")
+
+
+def bid_premium_rate(history: Column, planned_bps: Column) -> Column:
+    """The premium rate of a lot: that of its last settled or reopened bid with a rate, but the plan's
+    if this was revised later, or if there is no such bid. history: array<struct<action, bps>>, oldest first."""
+    last = lambda test: F.coalesce(F.array_max(F.transform(history, lambda x, i: F.when(test(x), i))), F.lit(-1))
+    settled = last(lambda x: x["action"].isin(*SETTLED) & x["bps"].isNotNull())
+    revised = last(lambda x: x["action"] == "planned-revised")
+    return F.when(planned_bps.isNotNull() & (revised > settled), planned_bps).when(settled >= 0, F.get(history, settled)["bps"]).otherwise(planned_bps)
+
+
+def won_cost(hammer: Column, currency: Column, bps: Column, sheet_currency: Column, no_fees: Column, fees: dict[str, Column]) -> Column:
+    """struct<missing, premium, fees, total, import_vat> of a won lot.
+
+    missing names what was never recorded, in the order hammer, premium-rate, fees, fee-currency.
+    With a gap only the premium is given, if hammer and rate are there; total leaves import VAT out.
+    no_fees: the outcome says that none were charged, which no sheet overrides.
+    """
+    sheet = F.when(no_fees, currency).otherwise(sheet_currency)
+    gaps = {"hammer": hammer.isNull(), "premium-rate": bps.isNull(), "fees": sheet.isNull() & ~no_fees, "fee-currency": sheet.isNotNull() & hammer.isNotNull() & (sheet != currency)}
+    missing = F.array_compact(F.array(*(F.when(test, F.lit(gap)) for gap, test in gaps.items())))
+    charged = {f: F.when(no_fees, F.lit(0)).otherwise(F.coalesce(c, F.lit(0))) for f, c in fees.items()}
+    cost = bid_cost(hammer, bps, charged)
+    whole = F.size(missing) == 0
+    total = cost["total"] - cost["import_vat"]
+    return F.struct(
+        missing.alias("missing"), F.when(whole, cost["premium"]).otherwise(premium(hammer, bps)["premium"]).alias("premium"),
+        F.when(whole, cost["total"] - cost["hammer_plus_premium"]).alias("fees"), F.when(whole, total).alias("total"), F.when(whole, cost["import_vat"]).alias("import_vat"),
+    )
+
+
+def shown_total(cost: Column, hammer: Column) -> Column:
+    """struct<total, partial>: a complete cost with import VAT; hammer and premium where only fees were
+    never recorded, which is partial; else none."""
+    only_fees = (F.size(cost["missing"]) == 1) & F.array_contains(cost["missing"], "fees")
+    partial = safe(hammer + cost["premium"])
+    total = F.when(F.size(cost["missing"]) == 0, safe(cost["total"] + cost["import_vat"])).when(only_fees, partial)
+    return F.struct(total.alias("total"), F.coalesce(only_fees & partial.isNotNull(), F.lit(False)).alias("partial"))
 
 
 def sticky_sum(minor: Column) -> Column:

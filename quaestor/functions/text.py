@@ -28,14 +28,20 @@ def _folded(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-def with_identity_key(df: DataFrame, text: str, key: str) -> DataFrame:
-    """Add the compatibility-folded, squashed, lower-cased key of a column.
+def with_identity_keys(df: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """Add compatibility-folded, squashed, lower-cased keys: new column -> column.
 
-    ASCII needs no folding, so only other texts, each distinct one once, go through Python.
+    ASCII needs no folding, so only rows with other texts go through Python; no row is moved.
     """
-    wide = F.col(text).rlike(r"[^\x00-\x7f]")
-    odd = df.filter(wide).select(F.col(text).alias("_odd")).distinct().withColumn("_folded", _folded("_odd"))
-    return df.join(odd, F.col(text) == F.col("_odd"), "left").withColumn(key, F.lower(squash(F.coalesce("_folded", text)))).drop("_odd", "_folded")
+    wide = F.lit(False)
+    for text in keys.values():
+        wide = wide | F.coalesce(F.col(text).rlike(r"[^\x00-\x7f]"), F.lit(False))
+    plain = df.filter(~wide).withColumns({key: identity_key(F.col(text)) for key, text in keys.items()})
+    return plain.unionByName(df.filter(wide).withColumns({key: F.lower(squash(_folded(text))) for key, text in keys.items()}))
+
+
+def with_identity_key(df: DataFrame, text: str, key: str) -> DataFrame:
+    return with_identity_keys(df, {key: text})
 
 
 def identity_key(text: Column) -> Column:
@@ -46,22 +52,40 @@ def identity_key(text: Column) -> Column:
 def parse_price(text: Column, currency: Column) -> Column:
     """The one amount of a price text as a double; null for anything in doubt.
 
-    At most one currency's mark, at an end and agreeing with the currency wanted; groups
-    of three behind one kind of separator, which the decimal one differs from; above zero.
+    At most one currency's mark, at an end and agreeing with the currency wanted. What is left
+    is read as runs of digits and the characters between them: a last run of one or two behind
+    a point or comma is decimal; the others are groups of three behind one and the same other
+    character, the first of one to three; a single run may have any length.
     """
     raw = squash(text)
     found = F.array_compact(F.array(*(F.when(raw.rlike(p), F.lit(c)) for c, p in MARKS.items())))
-    mark = r"(?:US\$|[$€£]|\b(?:USD|EUR|GBP|CHF)\b|\bFr\.)"
-    amount = F.trim(F.regexp_replace(F.regexp_replace(raw, rf"(?i)^{mark}\s*", ""), rf"(?i)\s*{mark}$", ""))
-    grammar = r"^(?:\d{1,3}([ '’.,])\d{3}(?:\1\d{3})*|\d+)(?:([.,])\d{1,2})?$"
-    group, point = F.regexp_extract(amount, grammar, 1), F.regexp_extract(amount, grammar, 2)
-    digits = F.when(point == "", F.regexp_replace(amount, r"\D", "")).otherwise(F.concat(F.regexp_replace(F.regexp_replace(amount, r"[.,]\d{1,2}$", ""), r"\D", ""), F.lit("."), F.regexp_extract(amount, r"[.,](\d{1,2})$", 1)))
-    value = digits.try_cast("double")
-    fits = amount.rlike(grammar) & ~((group != "") & (group == point)) & (F.size(found) <= 1)
+    amount = raw
+    for pattern in MARKS.values():
+        bare = pattern.removeprefix("(?i)")
+        amount = F.regexp_replace(F.regexp_replace(amount, f"(?i)^(?:{bare}) *", ""), f"(?i) *(?:{bare})$", "")
+    runs, between = F.split(F.trim(amount), "[^0-9]", -1), F.regexp_extract_all(F.trim(amount), F.lit("[^0-9]"), F.lit(0))
+    last, n = F.try_element_at(runs, F.lit(-1)), F.size(runs)
+    decimal = (n > 1) & F.try_element_at(between, F.lit(-1)).isin(".", ",") & F.length(last).isin(1, 2)
+    groups = F.when(decimal, F.slice(runs, 1, F.greatest(n - 1, F.lit(1)))).otherwise(runs)
+    marks = F.array_distinct(F.slice(between, 1, F.greatest(F.size(groups) - 1, F.lit(0))))
+    grouped = (F.size(marks) == 1) & F.get(marks, F.lit(0)).isin(" ", "'", "’", ".", ",") & F.length(F.get(groups, F.lit(0))).between(1, 3) & F.forall(F.slice(groups, 2, n), lambda g: F.length(g) == 3) & ~(decimal & (F.get(marks, F.lit(0)) == F.try_element_at(between, F.lit(-1))))
+    fits = F.forall(runs, lambda r: r != "") & ((F.size(groups) == 1) | grouped) & (F.size(found) <= 1)
+    value = F.concat(F.array_join(groups, ""), F.when(decimal, F.concat(F.lit("."), last)).otherwise("")).try_cast("double")
     agrees = (F.size(found) == 0) | currency.isNull() | (F.get(found, F.lit(0)) == F.upper(currency))
     return F.when(fits & agrees & (value > 0), value)
 
 
+def ruler_key(df: DataFrame, text: str, key: str) -> DataFrame:
+    """Add the key of a ruler's name: squashed, lower-cased, without diacritics."""
+    wide = F.coalesce(F.col(text).rlike(r"[^\x00-\x7f]"), F.lit(False))
+    return df.filter(~wide).withColumn(key, identity_key(F.col(text))).unionByName(df.filter(wide).withColumn(key, F.lower(squash(_bare(text)))))
+
+
+@F.pandas_udf(T.StringType())
+def _bare(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)))
+
+
 def sale_date(text: Column) -> Column:
     """DD.MM.YYYY or YYYY-MM-DD at the start, followed by a space or the end; no rolling over."""
     raw = squash(text)

@@ -60,14 +60,41 @@ def number_index(types: DataFrame) -> DataFrame:
     return types.withColumn("number", leading_number(F.col("title"))).filter("number is not null").groupBy("number").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def shard_parts(records: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
-    """Each record's part within its group: filled in order of id up to the limit in bytes.
+#: A group has so many parts at most, one for each letter.
+PARTS = 26
 
-    A part starts where the running size crosses a multiple of the limit, so groups are cut
-    without a pass over whole groups in one place other than the ordered sum.
+
+def shard_parts(records: DataFrame, limit: int = SHARD_BYTES, overhead: int = 0) -> DataFrame:
+    """records (group, id, bytes) with part: the fewest even parts of a group, in order of id, none of
+    which is above limit with its overhead.
+
+    A record opens the next part once what is before it has passed that part's share of the
+    group. A record above the limit, and a group that needs more than PARTS parts, are errors. So a group
+    holds PARTS times limit bytes at most, which is seen before any group is put in order.
     """
-    before = F.sum("bytes").over(Window.partitionBy("group").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
-    return records.withColumn("part", F.floor(F.coalesce(before, F.lit(0)) / limit).cast("int"))
+    sizes = records.groupBy("group").agg(F.sum("bytes").alias("_total"), F.max("bytes").alias("_most"))
+    known = cut(sizes.select("group", "_total", F.assert_true(F.col("_most") + overhead <= limit, F.lit("a record is larger than a part may be")).alias("_a"), F.assert_true(F.col("_total") <= PARTS * limit, F.lit("a group needs more parts than there are letters")).alias("_b")).drop("_a", "_b"))
+    own = Window.partitionBy("group").orderBy("id")
+    before = F.coalesce(F.sum("bytes").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
+    placed = cut(records.select("group", "id", "bytes").withColumns({"_before": before, "_at": F.row_number().over(own)}))
+
+    def parted(counts: DataFrame) -> DataFrame:
+        # A part behind its share catches up by one a record, so the least lead up to here decides.
+        share = F.least(F.call_function("div", F.col("_before") * F.col("_count"), F.greatest("_total", F.lit(1))), F.col("_count") - 1)
+        lead = F.min(F.col("_share") - F.col("_at")).over(own.rowsBetween(Window.unboundedPreceding, 0))
+        rows = placed.join(counts, "group").withColumn("_share", share)
+        return rows.select("group", "id", "bytes", F.least(F.col("_at") + lead, F.col("_share")).cast("int").alias("part"))
+
+    now = known.withColumn("_count", F.greatest(F.ceil(F.col("_total") / limit), F.lit(1)).cast("bigint"))
+    while True:  # PARTS rounds at most
+        full = parted(now).groupBy("group", "part").agg(F.sum("bytes").alias("_size")).groupBy("group").agg(F.max("_size").alias("_size")).filter(F.col("_size") + overhead > limit)
+        over = cut(full.select("group", F.lit(1).alias("_over")))
+        if not over.take(1):
+            break
+        now = cut(now.join(over, "group", "left").select("group", "_total", (F.col("_count") + F.coalesce("_over", F.lit(0))).alias("_count")))
+        if now.filter(F.col("_count") > PARTS).take(1):
+            raise ValueError("a group needs more parts than there are letters")
+    return records.join(parted(now).select("group", "id", "part"), ["group", "id"])
 
 
 def agreed(rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import FEES, SAFE, bid_cost, currency_rank, exact, premium, sticky_sum
-from ..functions.text import identity_key
+from ..functions.text import with_identity_key
 
 
 def exposure(lots: DataFrame) -> DataFrame:
@@ -46,9 +46,9 @@ def comparables(entries: DataFrame, evidence: DataFrame) -> DataFrame:
 
     Keys are normalized and evidence is reduced to a row a key before the join.
     """
-    rows = evidence.withColumn("ref_key", identity_key(F.col("reference"))).filter("ref_key <> '' and minor is not null")
+    rows = with_identity_key(evidence, "reference", "ref_key").filter("ref_key <> '' and minor is not null")
     reduced = rows.groupBy("ref_key", "currency").agg(F.count(F.lit(1)).alias("comparable_count"), F.min("minor").alias("low_minor"), F.max("minor").alias("high_minor"))
-    keyed = entries.withColumn("ref_key", identity_key(F.col("reference")))
+    keyed = with_identity_key(entries, "reference", "ref_key")
     return keyed.join(reduced, ["ref_key", "currency"], "left").drop("ref_key").withColumn("comparable_count", F.coalesce("comparable_count", F.lit(0)))
 
 

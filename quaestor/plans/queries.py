@@ -4,29 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, references, text
 from ..operators import catalogue, evidence, merge, projections, statistics
 from ..streaming import alerts
+from .registry import ORACLE_SQL, QUERIES, query
 from .views import AUCTIONS, LOTS, PROVIDER_ROWS, SALE_OBS, TODAY, auctions, lots, provider_rows, sale_obs, table, today
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -136,8 +122,7 @@ SELECT CAST(year AS INT) AS year, n AS count,
   CASE WHEN n >= 3 THEN CASE WHEN h % 2 = 1 THEN hi[h // 2 + 1] ELSE (hi[h // 2] + hi[h // 2 + 1] + 1) // 2 END END AS upper_quartile,
   CASE WHEN n < 3 THEN 'Insufficient evidence' WHEN n < 5 THEN 'Limited evidence' ELSE 'Evidence-backed' END AS label FROM halves""")
 def evidence_statistics(spark, sf_dir):
-    first_date = F.array_min(F.transform("observations", lambda x: x["auction_date"]))
-    return evidence.statistics(_explained(spark, sf_dir).withColumn("year", F.year(first_date)), ["year"])
+    return evidence.statistics(_explained(spark, sf_dir).withColumn("year", F.year("first_date")), ["year"])
 
 
 @query(f"WITH {LOTS} SELECT id, CAST((CAST(total_minor AS HUGEINT) * 2250 + 5000) // 10000 AS BIGINT) AS premium, CAST(total_minor + (CAST(total_minor AS HUGEINT) * 2250 + 5000) // 10000 AS BIGINT) AS hammer_plus_premium FROM lots")
@@ -177,8 +162,8 @@ done AS (SELECT id, budget, low FROM search WHERE k = 54), placed AS (SELECT id,
 SELECT id, CASE WHEN 100 + (100 * 2000 + 5000) // 10000 + 1500 <= budget THEN low - (low - t) % s END AS hammer FROM placed""")
 def affordable_bid(spark, sf_dir):
     budget = F.round(F.greatest("c_acctbal", F.lit(0.0)) * 100).cast("bigint")
-    hammer = money.affordable_bid(budget, F.lit(2000), money.ladder(_TIERS), 0, {"shipping_minor": F.lit(1500)})
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), hammer.alias("hammer"))
+    rows = table(spark, sf_dir, "customer")
+    return money.with_affordable_bid(rows, "hammer", budget, F.lit(2000), money.ladder(_TIERS), 0, {"shipping_minor": F.lit(1500)}).select(F.col("c_custkey").alias("id"), "hammer")
 
 
 @query(f"""WITH {LOTS}, open AS (
@@ -376,10 +361,15 @@ def number_index_lookup(spark, sf_dir):
     return catalogue.number_index(types).withColumn("ids", F.array_join("ids", ","))
 
 
-@query("""SELECT g AS "group", part, count(*) AS n, min(id) AS first_id FROM (SELECT p_type AS g, p_partkey AS id, CAST(coalesce(sum(length(p_name) + 40) OVER (PARTITION BY p_type ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 2000 AS INT) AS part FROM part) GROUP BY 1, 2""")
+@query("""WITH r AS (SELECT p_type AS g, p_partkey AS id, length(p_name) + 40 AS b FROM part), s AS (SELECT *, sum(b) OVER (PARTITION BY g ORDER BY id) - b AS before, sum(b) OVER (PARTITION BY g) AS total FROM r),
+tried AS (SELECT g, id, b, k, least(CAST(before * k // total AS INT), k - 1) AS part FROM s, range(1, 27) c(k)),
+sizes AS (SELECT g, k, max(size) AS size FROM (SELECT g, k, part, sum(b) AS size FROM tried GROUP BY ALL) GROUP BY ALL),
+chosen AS (SELECT g, min(k) AS k FROM sizes WHERE size <= (SELECT max(total) // 5 FROM s) GROUP BY g)
+SELECT t.g AS "group", CAST(part AS INT) AS part, count(*) AS n, min(id) AS first_id FROM tried t JOIN chosen USING (g, k) GROUP BY 1, 2""")
 def shard_boundaries(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.col("p_type").alias("group"), F.col("p_partkey").alias("id"), (F.length("p_name") + 40).alias("bytes"))
-    return catalogue.shard_parts(rows, 2000).groupBy("group", "part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    limit = rows.groupBy("group").agg(F.sum("bytes").alias("b")).agg(F.max("b")).first()[0] // 5
+    return catalogue.shard_parts(rows, limit).groupBy("group", "part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
 _PARAMS = "(utm_[^=&#]*|fbclid|gclid|dclid|msclkid|mc_cid|mc_eid)"
@@ -472,3 +462,6 @@ def alert_stream_dedupe(spark, sf_dir):
     ts = F.col("ts").cast("timestamp")
     sent = stream.select(F.explode(F.array(F.col("event_id"), F.col("event_id"))).alias("request_id"), ts.alias("ts"), "event_type")
     return alerts.landed(alerts.once(sent, "60 days")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("request_id").alias("first_id"))
+
+
+from . import workspace_queries  # noqa: E402, F401  registers its queries behind these

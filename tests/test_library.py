@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quaestor.functions import dates, money, references, text
-from quaestor.operators import catalogue, evidence, merge, projections, statistics
+from quaestor.operators import bids, catalogue, evidence, merge, projections, statistics
 from quaestor.sinks import files
 from quaestor.sources import documents
 from quaestor.streaming import alerts
@@ -28,7 +28,7 @@ def test_affordable_bid_is_the_highest(spark):
     rnd = random.Random(4)
     rows = [(rnd.randrange(4000), rnd.randrange(3000)) for _ in range(60)]
     df = spark.createDataFrame(rows, "budget long, bps int")
-    found = df.select("budget", "bps", money.affordable_bid(F.col("budget"), F.col("bps"), money.ladder(tiers), 0, {"shipping_minor": F.lit(20)}).alias("h")).collect()
+    found = money.with_affordable_bid(df, "h", F.col("budget"), F.col("bps"), money.ladder(tiers), 0, {"shipping_minor": F.lit(20)}).collect()
     for r in found:
         assert r.h == max((h for h in grid if cost(h, r.bps, 20) <= r.budget), default=None)
 
@@ -159,3 +159,61 @@ def test_alert_stream(spark, tmp_path):
     for r in spark.table("alerts_followed").orderBy("ts").collect():
         found.setdefault(r.trigger_id, []).append(r.status)
     assert found == {1: ["due", "claimed"], 2: ["due", "delivered"]}
+
+
+def test_shards_are_even_and_within_their_limit(spark):
+    """Against a walk over the records, with some nearly as large as a part may be."""
+    rnd = random.Random(7)
+    rows = [(g, i, rnd.choice([5, 9, 40, 90])) for g in "abcde" for i in range(rnd.randrange(1, 60))]
+    want = {}
+    for g in "abcde":
+        own = [(i, b) for h, i, b in rows if h == g]
+        total, count = sum(b for _, b in own), 1
+        while True:
+            part, carried, sizes, found = 0, 0, [0] * count, {}
+            for n, (_, b) in enumerate(own):
+                if n and sizes[part] and part + 1 < count and carried * count >= total * (part + 1):
+                    part += 1
+                sizes[part] += b
+                found[own[n][0]] = part
+                carried += b
+            if max(sizes) <= 100:
+                break
+            count += 1
+        want.update({(g, i): p for i, p in found.items()})
+    df = spark.createDataFrame(rows, "group string, id int, bytes int")
+    try:
+        got = {(r.group, r.id): r.part for r in catalogue.shard_parts(df, 100).collect()}
+    except ValueError:
+        assert max(want.values()) >= catalogue.PARTS
+    else:
+        assert got == want
+    with pytest.raises(Exception, match="larger than a part"):
+        catalogue.shard_parts(df, 80).collect()
+
+
+def test_sale_keys_fold_compatible_characters(spark):
+    df = spark.createDataFrame([("Ｌeu", "1", "５"), ("leu ", "1", "5"), (None, "1", "5")], "h string, s string, l string")
+    keys = [r.sale_key for r in evidence.with_sale_key(df, "h", "s", "l").collect()]
+    assert sorted(keys, key=str) == [None, '["leu","1","5"]', '["leu","1","5"]'] and set(df.columns) < {*evidence.with_sale_key(df, "h", "s", "l").columns}
+    assert {r.k for r in text.ruler_key(spark.createDataFrame([("Euthydème",), ("euthydeme",)], "n string"), "n", "k").collect()} == {"euthydeme"}
+
+
+def test_prices_and_references_in_doubt(spark):
+    price = lambda t, c=None: one(spark, text.parse_price(F.lit(t), F.lit(c).cast("string")))
+    assert [price(t) for t in ("1.234.567,8", "12,345.6", "1234,567", "1,2,3", "1 234.5", "5,", ",5", "1..5", "USD 1'000", "1.234.567", "12.34.5")] == [1234567.8, 12345.6, None, None, 1234.5, None, None, None, 1000.0, 1234567.0, None]
+    read = lambda t: tuple(one(spark, references.parse_reference(F.lit(t))) or ())
+    assert read("RIC II, Part 3 Hadrian 1009") == ("RIC", "II, Part 3", "Hadrian", "1009")
+    assert read("RIC 5.1 Gallienus 12 (aureus)") == ("RIC", "V, Part 1", "Gallienus", "12 (aureus)")
+    assert read("RIC I (2nd ed.) Nero 306") == ("RIC", "I (2nd edition)", "Nero", "306")
+    assert read("ric vol. VII, Antioch, 1") == ("RIC", "VII", "Antioch", "1")
+    assert read("Bopearachchi Série 6C") == ("Bop", "", "", "6C") and read("Bopearachchi & Rahman 268")[0] == "Other"
+    assert read("Ricci 5")[0] == "Other" and read("") == () and read("Price") == ()
+
+
+def test_bid_commands_for_no_lot(spark):
+    lots = spark.createDataFrame([(1, 0, None, None, "open", False)], "id long, revision long, planned long, active long, outcome string, linked boolean")
+    sent = spark.createDataFrame([(1, "a", 1, "bid.place", 0, 500, None), (1, "b", 2, "lot.outcome.set", 1, None, "won"), (2, "c", 3, "bid.place", 0, 9, None)], "lot_id long, request_id string, seq long, kind string, expected long, amount long, outcome string")
+    state = bids.apply(lots, sent).first()
+    assert (state.revision, state.active, state.outcome, [tuple(b) for b in state.bids]) == (2, None, "won", [("placed", 500), ("settled-won", 500)])
+    assert [r.lot_id for r in bids.orphans(lots, sent).collect()] == [2]
