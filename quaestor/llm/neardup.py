@@ -27,15 +27,16 @@ TOKENS = 128  # minwise tokens of a document
 TREES = 12
 LEAF = 32  # documents compared exhaustively in a node
 DEPTH = 24
-#: Documents of a node that a task branches by itself; a larger node is taken as a candidate group
-#: whole, which loses no pair and leaves the work to the confirmation.
-NODE = 5_000
+#: Documents of a node that a task branches by itself. A larger node is dealt by further tokens of
+#: its documents, SPREAD of them a level; what is as large after LEVELS levels is alike throughout, and
+#: is taken as a candidate group whole, which loses no pair.
+NODE, SPREAD, LEVELS = 20_000, 4, 3
 #: Documents of a cell; larger candidate groups are dealt into several.
 CELL = 2000
-#: A pair of similarity 0.8 is estimated below STRONG with a chance under 1e-12 (128 tokens);
-#: and if one of it resembles a third document by STRONG, the other does by 0.3, estimated
-#: below WEAK about as rarely.
-STRONG, WEAK = 0.5, 0.1
+#: A pair of similarity 0.8 is estimated below STRONG with a chance under 1e-12 (128 tokens). What is
+#: estimated NEARLY or more to a third document leaves the node with it; whatever is 0.8 to that has 0.5 and
+#: more with the third, and is estimated below WEAK with a chance of a few in ten thousand.
+STRONG, NEARLY, WEAK = 0.5, 0.75, 0.35
 FILTER_BITS = 24
 
 _rng = np.random.default_rng(20)
@@ -130,11 +131,11 @@ def branch(ids: np.ndarray, n: np.ndarray, sig: np.ndarray, seed: int) -> list[t
         trial = luck.choice(some, 16, replace=False)
         pivot = trial[(sig[trial][:, None] == sig[luck.choice(some, 32, replace=False)][None]).mean((1, 2)).argmax()]
         like = (sig[some] == sig[pivot]).mean(1)
-        if (like >= STRONG).mean() >= 0.5 or depth >= DEPTH:
+        if (like >= NEARLY).mean() >= 0.5 or depth >= DEPTH:
             near = some[(like >= WEAK) | (depth >= DEPTH)]
             edges += [(int(ids[pivot]), int(ids[i])) for i in near if i != pivot]
             if depth < DEPTH:
-                stack.append((some[like < STRONG], depth, path + 1))
+                stack.append((some[like < NEARLY], depth, path + 1))
             continue
         for token in luck.choice(TOKENS, 2 if luck.random() < 0.25 else 1, replace=False):
             order = some[np.argsort(sig[some, token], kind="stable")]
@@ -146,9 +147,21 @@ def branch(ids: np.ndarray, n: np.ndarray, sig: np.ndarray, seed: int) -> list[t
 
 def candidates(classes: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) among classes (rep, n, sig, roots)."""
-    rooted = classes.select("rep", F.posexplode("roots").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "rep")
-    sizes = rooted.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("least")).filter("size > 1")
-    shared = cut(rooted.join(sizes, "node"))
+    def counted(rooted: DataFrame) -> DataFrame:
+        sizes = rooted.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("least")).filter("size > 1")
+        return cut(rooted.join(sizes, "node"))
+
+    shared = counted(classes.select("rep", F.posexplode("roots").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "rep"))
+    fits = shared.filter(F.col("size") <= NODE)
+    large = shared.filter(F.col("size") > NODE)
+    for level in range(LEVELS):
+        if not large.take(1):
+            break
+        # The node chooses which tokens; they are the same for all of its documents.
+        place = F.pmod(F.xxhash64("node", F.lit(level), F.col("j")), F.lit(len(_ROOTS))).cast("int")
+        deeper = large.select("node", "rep", F.explode(F.array(*map(F.lit, range(SPREAD)))).alias("j")).withColumn("place", place).join(classes.select("rep", "roots"), "rep")
+        dealt = counted(deeper.select(F.xxhash64("node", "place", F.get("roots", F.col("place"))).alias("node"), "rep").distinct())
+        fits, large = fits.unionByName(dealt.filter(F.col("size") <= NODE)), dealt.filter(F.col("size") > NODE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for nodes, ids, n, sig in _groups(batches, 4):
@@ -157,10 +170,10 @@ def candidates(classes: DataFrame) -> DataFrame:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    small = shared.filter(F.col("size") <= NODE).join(classes.select("rep", "n", "sig"), "rep")
+    small = fits.join(classes.select("rep", "n", "sig"), "rep")
     small = small.select("node", F.col("node").alias("seed"), "rep", "n", "sig").repartition("node").sortWithinPartitions("node", "rep")
     pairs = small.mapInArrow(run, "a bigint, b bigint")
-    whole = shared.filter((F.col("size") > NODE) & (F.col("rep") != F.col("least"))).select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    whole = large.filter(F.col("rep") != F.col("least")).select(F.col("least").alias("a"), F.col("rep").alias("b"))
     return pairs.union(whole).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
