@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, language, lm, mixing, neardup, passages, pii, quality, tokens
+from . import ann, bpe, centroids, language, lm, merkle, mixing, neardup, ngramjoin, passages, pii, quality, tokens
 from .common import read_table
 
 
@@ -33,10 +33,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": lambda spark, sf_dir: ann.neighbours(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")),
     "op9_quality_rules": _documents("doc_id", "text", of=quality.quality),
     "op10_near_duplicates": _documents("doc_id", "text", of=neardup.near_duplicates),
+    "op11_centroid_clusters": lambda spark, sf_dir: centroids.clusters(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")),
+    "op12_ngram_join": _documents("doc_id", "text", of=ngramjoin.ngram_components),
+    "op13_merkle_manifest": _documents("doc_id", "source", "lang", "n_chars", "text", of=merkle.digests),
     "op5_passage_dedup": _documents("doc_id", "text", of=passages.digests),
     "op6_token_counts": _documents("doc_id", "text", of=tokens.token_counts),
     "language_id_pages": _pages,
     "pipeline": _pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_source_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_source_mixing": mixing.SQL, "op11_centroid_clusters": centroids.SQL, "op12_ngram_join": ngramjoin.SQL, "op13_merkle_manifest": merkle.SQL}
