@@ -2,7 +2,7 @@
 
 Sets are ordered rarest shingle first. What two linked sets share begins within a prefix of
 each, so only sets with a shared shingle in their prefix go on, and every set has its home
-with the first such shingle. The sets of a home, or of a bounded cell of it, are a trie in
+with that one of them which most sets hold. The sets of a home, or of a bounded cell of it, are a trie in
 one global order of shingles; all sets at hand walk it together, the overlap with a path is
 counted once for all sets below it, and a subtree is left once what remains on both sides
 cannot reach the overlap demanded. Pairs whose sets live in different cells, and which no
@@ -370,12 +370,27 @@ def meet(members: DataFrame, guests: DataFrame, percent: int, among: bool) -> Da
     return rows.repartition("cell").sortWithinPartitions("cell", "guest", "set").mapInArrow(run, "a bigint, b bigint")
 
 
+def _visits(known: DataFrame, percent: int) -> DataFrame:
+    """set, label, cell of visits that entries (token, set, n, label, cell) ask for: what shares a shingle
+    but neither a cell nor a component, where sizes allow a link.
+
+    Of each shingle the members of its largest component stay where they are.
+    """
+    per = known.groupBy("token", "label").agg(F.count(F.lit(1)).alias("many"))
+    main = per.groupBy("token").agg(F.max(F.struct("many", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("token", "main")
+    goers = known.join(main, "token").filter("label <> main").select("token", "set", "label", "n", F.col("cell").alias("own"))
+    there = known.join(main.select("token"), "token", "left_semi").groupBy(F.col("token").alias("_token"), "cell").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    worth = (F.col("cell") != F.col("own")) & ((F.col("l0") != F.col("label")) | (F.col("l1") != F.col("label"))) & (100 * F.col("n") >= percent * F.col("n0")) & (100 * F.col("n1") >= percent * F.col("n"))
+    return goers.join(there, (F.col("token") == F.col("_token")) & worth).select("set", "label", "cell")
+
+
 def links(sets: DataFrame, percent: int, cell: int = CELL) -> DataFrame:
     """Links (a, b) among sets (set, n, prefix, tokens) that connect them as all their links would."""
-    entries = sets.select("set", "n", F.posexplode("prefix").alias("at", "token"))
+    entries = sets.select("set", "n", F.explode("prefix").alias("token"))
     sizes = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    entries = cut(entries.join(sizes.select("token"), "token"))
-    homes = entries.groupBy("set").agg(F.min(F.struct("at", "token"))["token"].alias("home")).join(sets.select("set", "n", (F.octet_length("tokens") / 8 + 32).cast("bigint").alias("cost")), "set")
+    entries = cut(entries.join(sizes, "token"))
+    # The shingle of its prefix that most sets hold: so most of a group of copies has few homes.
+    homes = entries.groupBy("set").agg(F.max(F.struct("size", "token"))["token"].alias("home")).join(sets.select("set", "n", (F.octet_length("tokens") / 8 + 32).cast("bigint").alias("cost")), "set")
     parts = homes.groupBy("home").agg(F.ceil(F.sum("cost") / cell).cast("int").alias("parts"), *(F.min(F.struct(F.xxhash64("set", F.lit(j)), "set"))["set"].alias(f"p{j}") for j in range(PIVOTS)))
     placed = homes.join(parts.select("home", "parts"), "home").select("set", "home", "parts", F.xxhash64("home", F.pmod(F.xxhash64("set", F.lit(3)), "parts").cast("bigint")).alias("cell"))
     placed = cut(placed)
@@ -386,17 +401,9 @@ def links(sets: DataFrame, percent: int, cell: int = CELL) -> DataFrame:
     crowded = placed.groupBy("cell").count().filter("count > 1").select("cell")
     members = body.join(placed.select("set", "cell").join(crowded.union(visits.select("cell").distinct()).distinct(), "cell"), "set")
     first = cut(meet(members.withColumn("label", alone), body.join(visits, "set").withColumn("label", alone), percent, True))
-    # What shares a shingle but not a cell, nor a component yet.
     label = F.coalesce("component", "set").alias("label")
     labelled = cut(placed.select("set", "cell").join(components(first), F.col("set") == F.col("id"), "left").select("set", "cell", label))
-    known = cut(entries.select("token", "set", "n").join(labelled, "set"))
-    per = known.groupBy("token", "label").agg(F.count(F.lit(1)).alias("many"))
-    main = per.groupBy("token").agg(F.max(F.struct("many", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("token", "main")
-    goers = known.join(main, "token").filter("label <> main").select("token", "set", "label", "n", F.col("cell").alias("own"))
-    there = known.join(main.select("token"), "token", "left_semi").groupBy("token", "cell").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
-    worth = (F.col("cell") != F.col("own")) & ((F.col("l0") != F.col("label")) | (F.col("l1") != F.col("label"))) & (100 * F.col("n") >= percent * F.col("n0")) & (100 * F.col("n1") >= percent * F.col("n"))
-    there = there.withColumnRenamed("token", "_token")
-    visits = cut(goers.join(there, (F.col("token") == F.col("_token")) & worth).select("set", "label", "cell").distinct())
+    visits = cut(_visits(cut(entries.select("token", "set", "n").join(labelled, "set")), percent).distinct())
     if not visits.take(1):
         return first
     hosts = labelled.join(visits.select("cell").distinct(), "cell", "left_semi")
