@@ -66,35 +66,35 @@ PARTS = 26
 
 def shard_parts(records: DataFrame, limit: int = SHARD_BYTES, overhead: int = 0) -> DataFrame:
     """records (group, id, bytes) with part: the fewest even parts of a group, in order of id, none of
-    which is above limit with its overhead.
+    which is above limit with its overhead. bytes is a record with the separator behind it; the last
+    one of a part has none.
 
     A record opens the next part once what is before it has passed that part's share of the
-    group. A record above the limit, and a group that needs more than PARTS parts, are errors. So a group
-    holds PARTS times limit bytes at most, which is seen before any group is put in order.
+    group. A record above the limit, and a group that needs more than PARTS parts, are errors, raised
+    here. So a group holds about PARTS times limit bytes at most, which is seen before any group is put in
+    order. No records, no parts.
     """
-    sizes = records.groupBy("group").agg(F.sum("bytes").alias("_total"), F.max("bytes").alias("_most"))
-    known = cut(sizes.select("group", "_total", F.assert_true(F.col("_most") + overhead <= limit, F.lit("a record is larger than a part may be")).alias("_a"), F.assert_true(F.col("_total") <= PARTS * limit, F.lit("a group needs more parts than there are letters")).alias("_b")).drop("_a", "_b"))
-    own = Window.partitionBy("group").orderBy("id")
+    sizes = cut(records.groupBy("group").agg(F.sum("bytes").alias("_total"), F.max("bytes").alias("_most")))
+    most, total = sizes.agg(F.max("_most"), F.max("_total")).first()
+    if most is not None and most - 1 + overhead > limit:
+        raise ValueError("a record is larger than a part may be")
+    if total is not None and total > PARTS * (limit - overhead + 1):
+        raise ValueError("a group needs more parts than there are letters")
+    # Every number of parts that may do, at once: groups are small, and rows hold three numbers.
+    counts = sizes.select(F.col("group").alias("_group"), "_total", F.explode(F.sequence(F.greatest(F.ceil(F.col("_total") / (limit - overhead + 1)), F.lit(1)), F.lit(PARTS).cast("bigint"))).alias("_count"))
+    own = Window.partitionBy("group", "_count").orderBy("id")
     before = F.coalesce(F.sum("bytes").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
-    placed = cut(records.select("group", "id", "bytes").withColumns({"_before": before, "_at": F.row_number().over(own)}))
-
-    def parted(counts: DataFrame) -> DataFrame:
-        # A part behind its share catches up by one a record, so the least lead up to here decides.
-        share = F.least(F.call_function("div", F.col("_before") * F.col("_count"), F.greatest("_total", F.lit(1))), F.col("_count") - 1)
-        lead = F.min(F.col("_share") - F.col("_at")).over(own.rowsBetween(Window.unboundedPreceding, 0))
-        rows = placed.join(counts, "group").withColumn("_share", share)
-        return rows.select("group", "id", "bytes", F.least(F.col("_at") + lead, F.col("_share")).cast("int").alias("part"))
-
-    now = known.withColumn("_count", F.greatest(F.ceil(F.col("_total") / limit), F.lit(1)).cast("bigint"))
-    while True:  # PARTS rounds at most
-        full = parted(now).groupBy("group", "part").agg(F.sum("bytes").alias("_size")).groupBy("group").agg(F.max("_size").alias("_size")).filter(F.col("_size") + overhead > limit)
-        over = cut(full.select("group", F.lit(1).alias("_over")))
-        if not over.take(1):
-            break
-        now = cut(now.join(over, "group", "left").select("group", "_total", (F.col("_count") + F.coalesce("_over", F.lit(0))).alias("_count")))
-        if now.filter(F.col("_count") > PARTS).take(1):
-            raise ValueError("a group needs more parts than there are letters")
-    return records.join(parted(now).select("group", "id", "part"), ["group", "id"])
+    placed = records.select("group", "id", "bytes").join(counts, F.col("group").eqNullSafe(F.col("_group"))).withColumns({"_before": before, "_at": F.row_number().over(own)})
+    # A part behind its share catches up by one a record, so the least lead up to here decides.
+    share = F.least(F.call_function("div", F.col("_before") * F.col("_count"), F.greatest("_total", F.lit(1))), F.col("_count") - 1)
+    lead = F.min(F.col("_share") - F.col("_at")).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    tried = placed.withColumn("_share", share).select("group", "_count", "id", "bytes", F.least(F.col("_at") + lead, F.col("_share")).cast("int").alias("part"))
+    full = tried.groupBy("group", "_count", "part").agg(F.sum("bytes").alias("_size")).groupBy("group", "_count").agg(F.max("_size").alias("_size"))
+    chosen = cut(full.filter(F.col("_size") - 1 + overhead <= limit).groupBy(F.col("group").alias("_g")).agg(F.min("_count").alias("_c")))
+    if chosen.count() < sizes.count():
+        raise ValueError("a group needs more parts than there are letters")
+    parts = tried.join(chosen, F.col("group").eqNullSafe(F.col("_g")) & (F.col("_count") == F.col("_c"))).select(F.col("group").alias("_g"), F.col("id").alias("_id"), "part")
+    return records.join(parts, F.col("group").eqNullSafe(F.col("_g")) & (F.col("id") == F.col("_id"))).drop("_g", "_id")
 
 
 def agreed(rows: DataFrame, key: str, value: str) -> DataFrame:

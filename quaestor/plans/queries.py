@@ -364,7 +364,7 @@ def number_index_lookup(spark, sf_dir):
 @query("""WITH r AS (SELECT p_type AS g, p_partkey AS id, length(p_name) + 40 AS b FROM part), s AS (SELECT *, sum(b) OVER (PARTITION BY g ORDER BY id) - b AS before, sum(b) OVER (PARTITION BY g) AS total FROM r),
 tried AS (SELECT g, id, b, k, least(CAST(before * k // total AS INT), k - 1) AS part FROM s, range(1, 27) c(k)),
 sizes AS (SELECT g, k, max(size) AS size FROM (SELECT g, k, part, sum(b) AS size FROM tried GROUP BY ALL) GROUP BY ALL),
-chosen AS (SELECT g, min(k) AS k FROM sizes WHERE size <= (SELECT max(total) // 5 FROM s) GROUP BY g)
+chosen AS (SELECT g, min(k) AS k FROM sizes WHERE size - 1 <= (SELECT max(total) // 5 FROM s) GROUP BY g)
 SELECT t.g AS "group", CAST(part AS INT) AS part, count(*) AS n, min(id) AS first_id FROM tried t JOIN chosen USING (g, k) GROUP BY 1, 2""")
 def shard_boundaries(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.col("p_type").alias("group"), F.col("p_partkey").alias("id"), (F.length("p_name") + 40).alias("bytes"))
