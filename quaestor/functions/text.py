@@ -86,6 +86,16 @@ def _bare(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)))
 
 
+#: Letters with marks that are one character, below U+2000, and their letters without.
+_MARKED = {chr(k): d[0] for k in range(0xC0, 0x2000) for d in [unicodedata.normalize("NFD", chr(k))] if len(d) > 1 and all(unicodedata.combining(x) for x in d[1:])}
+
+
+def name_key(text: Column) -> Column:
+    """The key of a name: squashed, lower-cased, without diacritics. All within the JVM, for names in alphabets below U+2000."""
+    plain = F.translate(squash(text), "".join(_MARKED), "".join(_MARKED.values()))
+    return F.lower(F.regexp_replace(plain, r"\p{M}+", ""))
+
+
 def sale_date(text: Column) -> Column:
     """DD.MM.YYYY or YYYY-MM-DD at the start, followed by a space or the end; no rolling over."""
     raw = squash(text)

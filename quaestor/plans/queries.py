@@ -464,4 +464,4 @@ def alert_stream_dedupe(spark, sf_dir):
     return alerts.landed(alerts.once(sent, "60 days")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("request_id").alias("first_id"))
 
 
-from . import input_queries, workspace_queries  # noqa: E402, F401  register their queries behind these
+from . import input_queries, lookup_queries, workspace_queries  # noqa: E402, F401  register their queries behind these
