@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import amounts
+from ..functions import amounts, grades
 from ..operators import provider, reminders
 from .registry import query
 from .views import AUCTIONS, auctions, table
@@ -64,3 +64,20 @@ def provider_pages(spark, sf_dir):
         "page", "rendered", "status", F.size("lots").alias("lots"), many(F.col("currencies"), "USD").alias("usd"), many(F.col("excluded"), "upcoming").alias("upcoming"),
         many(F.col("excluded"), "futureDate").alias("future"), many(F.col("excluded"), "conflictingId").alias("conflicting"),
     )
+
+
+#: Descriptions, one for each kind of word, edge and join, and the bucket they state.
+_GRADED = (
+    ("Very Fine, dark patina.", "VF"), ("A fine portrait of good style.", None), ("ss-vz.", "VF"), ("Toned, otherwise nearly extremely fine.", "EF"), ("Obverse VF, reverse Fine.", "Fine and below"),
+    ("Erhaltung: Stgl. Notes: vz for the type", "AU/Mint State"), ("From the BB collection. EF", "EF"), ("Aureus. AU, 7.25 g.", None), ("NGC Choice AU 5/5 - 4/5.", "AU/Mint State"),
+    ("Rev. Spes advancing left. S/C.", None), ("Patina verde. qSPL.", "EF"), ("Ex Slg. MS 63.", None), ("TB à TTB.", "Fine and below"), ("Selten, s. Kommentar. vz", "EF"), ("s/ss", "Fine and below"), ("fdc", None),
+    ("Fine, high-relief portrait. VF/EF (scratch).", "VF"), ("where described as \"Good VF\"", None), ("Very fine £80-£100", "VF"),
+)
+
+
+@query(f"""SELECT l_orderkey AS sale, l_linenumber AS lot, [{", ".join("NULL" if g is None else f"'{g}'" for _, g in _GRADED)}][l_partkey % {len(_GRADED)} + 1] AS grade, count(*) AS n FROM lineitem GROUP BY ALL""")
+def lot_grades(spark, sf_dir):
+    said = F.get(F.array(*(F.lit(t) for t, _ in _GRADED)), (F.col("l_partkey") % len(_GRADED)).cast("int"))
+    text = F.concat_ws(" ", F.lit("Trajan. Denarius. RIC"), F.concat("l_suppkey", F.lit(".")), F.concat(F.format_number(F.col("l_quantity"), 2), F.lit(" g.")), said)
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sale"), F.col("l_linenumber").alias("lot"), grades.grade_of(text).alias("grade"))
+    return rows.groupBy("sale", "lot", "grade").agg(F.count(F.lit(1)).alias("n"))

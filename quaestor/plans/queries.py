@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, money, references, text
+from ..functions import dates, grades, money, references, text
 from ..operators import catalogue, evidence, merge, projections, statistics
 from ..streaming import alerts
 from .registry import ORACLE_SQL, QUERIES, query
@@ -42,7 +42,10 @@ def price_medians_by_year(spark, sf_dir):
 
 @query(f"WITH {PROVIDER_ROWS} SELECT currency, grade, round(quantile_cont(amount, 0.5), 6) AS median, count(*) AS count FROM provider_rows WHERE amount IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3")
 def price_medians_by_grade(spark, sf_dir):
-    return _rounded(statistics.medians(provider_rows(spark, sf_dir), ["currency", "grade"]), "median")
+    # Descriptions are written from the rows, and their grades read from the descriptions.
+    rows = provider_rows(spark, sf_dir)
+    text = F.concat(F.lit("Nero. As. RIC "), F.col("row_idx"), F.lit(", 10.83 g. "), F.replace(F.replace(F.col("grade"), F.lit("AU/Mint State"), F.lit("NGC Choice MS 5/5 - 4/5")), F.lit(" and below"), F.lit(", porous")), F.lit("."))
+    return _rounded(statistics.medians(rows.withColumn("grade", grades.grade_of(text)), ["currency", "grade"]), "median")
 
 
 @query(f"""WITH {PROVIDER_ROWS}, sides AS (
