@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import lookup
+from ..operators import lookup, lots
 from .registry import query
 from .views import table
 
@@ -132,3 +132,43 @@ def title_lookup(spark, sf_dir):
     asked = table(spark, sf_dir, "orders").select(o.alias("ref_id"), at(("RRC", "SC", "CPE", "Price", "RIC"), F.col("o_custkey") % 5).alias("catalogue"), (F.col("o_custkey") % 50).alias("s"), (o % 400).alias("k"))
     asked = asked.withColumn("number", F.coalesce(numbered(F.col("catalogue"), F.col("k"), F.col("s")), F.col("k").cast("string")))
     return lookup.by_title(asked, types).select("ref_id", "status", F.array_join("ids", ",").alias("ids"))
+
+
+_NAMES = (("Titus", "titus"), ("Vespasian", "vespasian"), ("Julia Domna", "domna"), ("Julia", "julia"), ("Severus Alexander", "alexander"), ("Alexander", "alexander the great"))
+_HEADED = ("Titus", "Julia Domna with Vespasian", "SEVERUS ALEXANDER", "Uncertain ruler", "Divus Vespasian. Struck under Titus")
+
+
+def _lots(spark, sf_dir):
+    """Descriptions from lines of orders: a heading, a weight, references in several spellings, brackets, a sale and a collection."""
+    k, p, s = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    head = F.get(F.array(*map(F.lit, _HEADED)), (k % len(_HEADED)).cast("int"))
+    cited = (
+        F.when(s == 1, F.concat(F.lit("RIC II "), k, F.lit("; Cohen "), p, F.lit(" (this coin illustrated); BMC 12, "), s, F.lit(".")))
+        .when(s == 2, F.concat(F.lit("Ref: C."), p, F.lit(" - RIC."), k, F.lit(" - cf. RSC "), p, F.lit("a (= BMC 7)")))
+        .when(s == 3, F.concat(F.lit("Price "), k, F.lit(", "), k + 1, F.lit(" (Müller "), p, F.lit("). Price realized 1,200. C. "), p))
+        .when(s == 4, F.concat(F.lit("Crawford "), k, F.lit("/1; Crawford "), k, F.lit("/1. Ex Leu 7, 1973, lot 12. Hunter Coin Cabinet; Hunter "), p))
+        .otherwise(F.concat(F.lit("RIC IV ("), F.lit("Geta"), F.lit(") "), k, F.lit("a. Purchased from Spink, 1998; RIC "), p))
+    )
+    key = (F.col("l_orderkey") * 10 + s) * 100_000 + k
+    rows = table(spark, sf_dir, "lineitem").select(key.alias("id"), F.struct(p.alias("p"), F.concat(head, F.lit(", AD 79-81. Denarius (Silver, 3.21 g, 18mm). "), cited).alias("text")).alias("row"))
+    return rows.groupBy("id").agg(F.min("row")["text"].alias("text"))
+
+
+@query("""WITH l AS (SELECT DISTINCT (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS id, l_partkey AS k, l_suppkey AS p, l_linenumber AS s FROM lineitem QUALIFY row_number() OVER (PARTITION BY id ORDER BY p) = 1),
+r(id, position, written, catalogue, volume, section, number, cf) AS (
+  SELECT id, 1, 'RIC II ' || k, 'RIC', 'II', '', k || '', false FROM l WHERE s = 1 UNION ALL SELECT id, 2, 'Cohen ' || p, 'Other', '', '', 'Cohen ' || p, false FROM l WHERE s = 1 UNION ALL SELECT id, 3, 'BMC 12, ' || s, 'Other', '', '', 'BMC 12, ' || s, false FROM l WHERE s = 1
+  UNION ALL SELECT id, 1, 'C.' || p, 'Other', '', '', 'C.' || p, false FROM l WHERE s = 2 UNION ALL SELECT id, 2, 'RIC.' || k, 'RIC', '', '', k || '', false FROM l WHERE s = 2 UNION ALL SELECT id, 3, 'RSC ' || p || 'a', 'Other', '', '', 'RSC ' || p || 'a', true FROM l WHERE s = 2
+  UNION ALL SELECT id, 1, 'Price ' || k, 'Price', '', '', k || '', false FROM l WHERE s = 3 UNION ALL SELECT id, 2, 'Müller ' || p, 'Other', '', '', 'Müller ' || p, false FROM l WHERE s = 3
+  UNION ALL SELECT id, 1, 'Crawford ' || k || '/1', 'RRC', '', '', k || '/1', false FROM l WHERE s = 4 UNION ALL SELECT id, 2, 'Hunter ' || p, 'Other', '', '', 'Hunter ' || p, false FROM l WHERE s = 4
+  UNION ALL SELECT id, 1, 'RIC IV (Geta) ' || k || 'a', 'RIC', 'IV', 'Geta', k || 'a', false FROM l WHERE s > 4 UNION ALL SELECT id, 2, 'RIC ' || p, 'RIC', '', '', p || '', false FROM l WHERE s > 4)
+SELECT * FROM r""")
+def lot_references(spark, sf_dir):
+    found = lots.references(_lots(spark, sf_dir))
+    return found.select("id", "position", "written", "reference.*", "cf")
+
+
+@query(f"""WITH l AS (SELECT DISTINCT (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS id, l_partkey % 5 AS h FROM lineitem)
+SELECT id, ['titus', 'domna,vespasian', 'alexander', NULL, 'vespasian,titus'][h + 1] AS rulers FROM l WHERE h <> 3""")
+def lot_rulers(spark, sf_dir):
+    people = spark.createDataFrame([(p, n) for n, p in _NAMES], "person string, name string")
+    return lots.rulers(_lots(spark, sf_dir), people).withColumn("rulers", F.array_join("rulers", ","))
