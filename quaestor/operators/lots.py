@@ -45,6 +45,14 @@ PROVENANCE = "Exemplar der|Aus der Sammlung|Aus Sammlung|Aus Slg|Erworben|Proven
 PURCHASE = "Privately purchased|Acquired|Purchased|Bought"
 VOLUME_PARTS = "II 1|II 3|IV 1|IV 2|IV 3|V 1|V 2"
 FIRST_NAMES = "Stephen|Rodolfo"
+#: Months as they are written in five languages, and words for a lot.
+MONTHS = (
+    "Jan|January|Januar|Feb|February|Februar|Mar|March|März|Apr|April|May|Mai|Jun|June|Juni|Jul|July|Juli|Aug|August|Sep|Sept|September|Oct|October|Okt|Oktober|Nov|November|Dec|December|Dez|Dezember"
+    "|enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|setiembre|octubre|noviembre|diciembre|gennaio|febbraio|aprile|maggio|giugno|luglio|settembre|ottobre|novembre|dicembre"
+    "|janvier|février|fevrier|mars|avril|juin|juillet|août|aout|septembre|octobre|décembre|decembre"
+)
+LOT_WORDS, NO_YEAR = "lots|lot|los|lotto|lote", "lots|lot|los|lotto|lote|no|nr|n|sale|auction|catalogue"
+ENTRIES = 10
 CUES = "see cf per following compare contra after from published discussed cited dated attributed"
 
 _SEP = r"[\s.,:#-]"
@@ -78,20 +86,34 @@ def clean(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(shown, "[\u2013\u2014]", "-"), r"[^\S\n]+", " ")
 
 
+def _sentences(text: Column) -> Column:
+    """Sentences; a full stop of an initial or an abbreviation ends none, unless a typed citation follows."""
+    cited = rf"\.(?=\s(?:[Cc]f\.?\s)?(?:{_any(TYPED)})\.?[^.;\n]{{0,40}}?\d)"
+    stop = rf"(?<!\b\p{{L}})(?<!\b(?:{'|'.join(ABBREVIATED.split())}))\.(?=\s)(?!(?<=\b\d{{1,2}}\.)\s\p{{Lu}}\p{{Ll}}+\.?\s\d{{4}})"
+    return F.split(F.regexp_replace(text, rf"(?:{cited}|{stop}|[!?](?=\s)|\n)", "$0\u0003"), "\u0003", -1)
+
+
+def _owned(sentence: Column) -> Column:
+    return sentence.rlike(rf"^\s*(?:{_any(PROVENANCE)})\b|^\s*Asta [A-Z]")
+
+
+def _bought(sentence: Column) -> Column:
+    return sentence.rlike(rf"^\s*(?:{_any(PURCHASE)})\b")
+
+
+#: Where a citation begins that the sentence of a purchase runs on to.
+_RUN_ON = rf"(?:[;,]|\s-)?\s\(?((?:{_any(TYPED)})\.?[\s.,:#-]*[IVX\d].*)$"
+
+
 def without_provenance(text: Column) -> Column:
     """A text without the sentences that tell where a coin came from; behind a purchase the typed citation that
-    the sentence runs on to stays. A full stop of an initial or an abbreviation ends no sentence, unless a typed citation follows."""
-    typed = _any(TYPED)
-    cited = rf"\.(?=\s(?:[Cc]f\.?\s)?(?:{typed})\.?[^.;\n]{{0,40}}?\d)"
-    stop = rf"(?<!\b\p{{L}})(?<!\b(?:{'|'.join(ABBREVIATED.split())}))\.(?=\s)(?!(?<=\b\d{{1,2}}\.)\s\p{{Lu}}\p{{Ll}}+\.?\s\d{{4}})"
-    sentences = F.split(F.regexp_replace(text, rf"(?:{cited}|{stop}|[!?](?=\s)|\n)", "$0\u0003"), "\u0003", -1)
-    bought = rf"^\s*(?:{_any(PURCHASE)})\b"
+    the sentence runs on to stays."""
 
     def left(x: Column) -> Column:
-        behind = F.regexp_extract(x, rf"(?:[;,]|\s-)?\s\(?((?:{typed})\.?[\s.,:#-]*[IVX\d].*)$", 1)
-        return F.when(x.rlike(rf"^\s*(?:{_any(PROVENANCE)})\b|^\s*Asta [A-Z]"), "").when(x.rlike(bought), F.when(behind != "", F.concat(F.lit(" "), behind)).otherwise("")).otherwise(x)
+        behind = F.regexp_extract(x, _RUN_ON, 1)
+        return F.when(_owned(x), "").when(_bought(x), F.when(behind != "", F.concat(F.lit(" "), behind)).otherwise("")).otherwise(x)
 
-    return F.array_join(F.transform(sentences, left), "")
+    return F.array_join(F.transform(_sentences(text), left), "")
 
 
 def _keys(lots: DataFrame, id_: str, text: str) -> DataFrame:
@@ -251,3 +273,51 @@ def rulers(lots: DataFrame, people: DataFrame, id_: str = "id", text: str = "tex
     before = Window.partitionBy("_id").orderBy("s", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
     hits = hits.withColumn("_taken", F.coalesce(F.max("e").over(before), F.lit(0))).filter("s >= _taken")
     return hits.groupBy(F.col("_id").alias(id_)).agg(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("s", "_people"))), lambda x: x["_people"]))).alias("rulers"))
+
+
+_ENDS = r"^[\s,.;:–-]+|[\s,.;:–-]+$"
+_YEAR = rf"(?<!\b(?i:{_any(NO_YEAR)})\.? ?)(?<!# ?)(?<!n\.?[°º] ?)(?<![\d,])(?:1[6-9]\d\d|20\d\d)(?!\d|[.,]\d)"
+_LOT = rf"(?i),? ?\b(?:{_any(LOT_WORDS)})\b\.? ?(?:no\.? ?|nr\.? ?|n\.?[°º] ?|n\. ?|# ?)?(\d{{1,6}}[a-z]?)(?![\da-z])"
+_NUMBERED = r"(?i), ?(?:n[or]\b\.?|n\.?[°º]|n\.) ?(\d{1,6}[a-z]?)(?![\da-z])"
+_LAST = rf"(?i)(?<={_YEAR}\)?), (\d{{1,6}}[a-z]?)$"
+_DATED = rf"(?iu)(?:(?:\b\d{{1,2}}(?:st|nd|rd|th|er)?\.? (?:de )?)?\b(?:{_any(MONTHS)})\.? (?:de )?(?:\d{{1,2}}(?:st|nd|rd|th)?,? )?|\b\d{{1,2}}[./]\d{{1,2}}[./])$"
+_VERB = r"(?iu)(?<![\p{L}\d])(?:privately purchased from|purchased privately from|acquired from|purchased from|bought from|erworben\b[^,;()]{0,40}?\bbei(?:\s+(?:der|dem|den))?)\s+"
+
+
+def provenance(lots: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
+    """id, position, entry, source, year, lot of every owner or sale that a text tells, in order, ENTRIES at most.
+
+    An entry is a sentence that opens with the words of one, or a part of it: parted by semicolons and before another
+    ex. The year is the last one written that is no number of a lot or sale; the lot stands behind its
+    word, or last behind the year. source is what is left, null if that is no name. Null and empty texts have none.
+    """
+    c = F.col
+    ends = lambda x: F.regexp_replace(x, _ENDS, "")
+    told = F.transform(F.filter(_sentences(clean(c(text))), lambda x: _owned(x) | _bought(x)), lambda x: F.when(_bought(x), F.regexp_replace(x, _RUN_ON, "")).otherwise(x))
+    parts = rf";|,(?= ?[Ee][Xx] )| and (?=[Ee][Xx] )|,(?= (?:(?iu:{_any(PURCHASE)}) from|[Ee]rworben) )|(?<=\.) (?=(?:{_any(f'{PROVENANCE}|{PURCHASE}')})\b)"
+    pieces = F.flatten(F.transform(told, lambda x: F.split(x, parts, -1)))
+    rows = lots.select(c(id_).alias("_id"), F.posexplode(pieces).alias("k", "_piece"))
+    rows = rows.withColumn("entry", ends(F.regexp_replace(ends("_piece"), r"(?i)^(?:provenance|provenienza?|provenienz) ?:? ?", "")))
+    bare = F.regexp_replace(c("entry"), r"(?i)^(?:ex|from|exemplar der|aus(?: der)?|provient de|proviene(?: d[a-z']*)?)\b\.? ?:? ?", "")
+    bare = ends(F.regexp_replace(bare, r"(?i)\s*\((?:there|where|previously|formerly)\s+(?:described|catalogued|cataloged|graded|offered|listed)\b[^()]*\)", ""))
+    aside = r"\s*\((?:(?!(?:part|vol|lot)\b)(?![^()]*(?<!\d)(?:1[6-9]\d\d|20\d\d)(?!\d))\p{Ll}[^()]*|[^()]*(?:[$€£]|\b(?:CHF|EUR|USD|GBP)\b)[^()]*)\)$"
+    rows = rows.withColumn("_w", ends(F.regexp_replace(bare, aside, ""))).filter(c("_w").rlike(r"[\p{L}\d]"))
+    # A sale's year and lot together in brackets are written as if they stood without.
+    rows = rows.withColumn("_w", F.regexp_replace("_w", rf"(?i)\(([^()]{{0,55}}{_YEAR}), (\d{{1,6}}[a-z]?)\)$", "($1), $2"))
+    how = F.when(c("_w").rlike(_LOT), 1).when(c("_w").rlike(_NUMBERED), 2).when(c("_w").rlike(_LAST), 3).otherwise(0)
+    rows = rows.withColumn("_how", how)
+    by = lambda f: F.when(c("_how") == 1, f(_LOT)).when(c("_how") == 2, f(_NUMBERED)).when(c("_how") == 3, f(_LAST))
+    rows = rows.withColumns({"lot": by(lambda p: F.regexp_extract("_w", p, 1)), "_v": F.coalesce(by(lambda p: F.regexp_replace("_w", rf"^(.*?)(?:{p})(.*)$", "$1$3")), c("_w"))})
+    rows = rows.withColumn("_v", F.regexp_replace("_v", r"(?i),?\s+in\s+(?=(?:1[6-9]\d\d|20\d\d)(?![\d.,]\d))", " "))
+    last = rf"^(.*)({_YEAR})(.*)$"
+    has = c("_v").rlike(last)
+    rows = rows.withColumns({"year": F.when(has, F.regexp_extract("_v", last, 2)).cast("int"), "_l": F.when(has, F.regexp_extract("_v", last, 1)).otherwise(c("_v")), "_r": F.when(has, F.regexp_extract("_v", last, 3)).otherwise("")})
+    bracketed = c("year").isNotNull() & c("_l").rlike(r"\([^()]*$") & c("_r").rlike(r"^[^()]*\)")
+    left = F.when(bracketed, F.regexp_replace("_l", r"\([^()]*$", "")).when(c("year").isNotNull(), F.concat(F.regexp_extract("_l", r"^(.*?)(.{0,30})$", 1), F.regexp_replace(F.regexp_extract("_l", r"^(.*?)(.{0,30})$", 2), _DATED, ""))).otherwise(c("_l"))
+    rows = rows.withColumn("_s", F.concat(left, F.when(bracketed, F.regexp_replace("_r", r"^[^()]*\)", "")).otherwise(c("_r"))))
+    source = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c("_s"), "  +", " "), _VERB, ""), r", ?(?=,)", ""), r" +,", ",")
+    rows = rows.withColumn("source", F.substring(ends(F.regexp_replace(source, "  +", " ")), 1, 120))
+    named = c("source").rlike(r"\p{L}") & ~c("source").rlike(r"(?i)^(?:privately purchased|acquired|purchased|bought|erworben)$")
+    position = F.row_number().over(Window.partitionBy("_id").orderBy("k"))
+    rows = rows.withColumn("position", position).filter(c("position") <= ENTRIES)
+    return rows.select(c("_id").alias(id_), "position", F.substring("entry", 1, 300).alias("entry"), F.when(named, c("source")).alias("source"), "year", "lot")

@@ -172,3 +172,20 @@ SELECT id, ['titus', 'domna,vespasian', 'alexander', NULL, 'vespasian,titus'][h
 def lot_rulers(spark, sf_dir):
     people = spark.createDataFrame([(p, n) for n, p in _NAMES], "person string, name string")
     return lots.rulers(_lots(spark, sf_dir), people).withColumn("rulers", F.array_join("rulers", ","))
+
+
+@query("""WITH l AS (SELECT DISTINCT (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS id, l_linenumber AS s, l_partkey % 900 AS k, 1950 + l_partkey % 70 AS y FROM lineitem)
+SELECT id, 1 AS position, 'Ex Leu ' || k || ', 25. Mai ' || y || ', Los ' || s || 'a' AS entry, 'Leu ' || k AS source, y::INT AS year, s || 'a' AS lot FROM l WHERE s = 1 UNION ALL SELECT id, 2, 'Ex Hess 1958', 'Hess', 1958, NULL FROM l WHERE s = 1
+UNION ALL SELECT id, 1, 'Gorny & Mosch ' || k, 'Gorny & Mosch ' || k, NULL, NULL FROM l WHERE s = 2
+UNION ALL SELECT id, 1, 'Ex NAC ' || k || ', ' || y || ', ' || s || ' (hammer CHF 3,200)', 'NAC ' || k, y, s || '' FROM l WHERE s = 3 UNION ALL SELECT id, 2, 'ex Hunt collection (part II), Sotheby''s 1991', 'Hunt collection (part II), Sotheby''s', 1991, NULL FROM l WHERE s = 3
+UNION ALL SELECT id, 1, 'Acquired from Spink, ' || y, 'Spink', y, NULL FROM l WHERE s = 4""")
+def lot_provenance(spark, sf_dir):
+    s, k, y = F.col("l_linenumber"), F.col("l_partkey") % 900, 1950 + F.col("l_partkey") % 70
+    said = (
+        F.when(s == 1, F.concat(F.lit("Ex Leu "), k, F.lit(", 25. Mai "), y, F.lit(", Los "), s, F.lit("a. Ex Hess 1958.")))
+        .when(s == 2, F.concat(F.lit("Provenance: Gorny & Mosch "), k, F.lit(".")))
+        .when(s == 3, F.concat(F.lit("Ex NAC "), k, F.lit(", "), y, F.lit(", "), s, F.lit(" (hammer CHF 3,200); ex Hunt collection (part II), Sotheby's 1991.")))
+        .when(s == 4, F.concat(F.lit("Acquired from Spink, "), y, F.lit("; RIC 53."))).otherwise("Rare.")
+    )
+    rows = table(spark, sf_dir, "lineitem").select(((F.col("l_orderkey") * 10 + s) * 100_000 + F.col("l_partkey")).alias("id"), F.concat(F.lit("Nero. Denarius. RIC 5. "), said).alias("text"))
+    return lots.provenance(rows.distinct())

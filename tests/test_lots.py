@@ -247,6 +247,36 @@ KNOWN = [
     ('Ex Spink, 1998 - RIC 53.', []),
 ]
 
+#: Descriptions and what they tell of owners: entry, source, year, lot.
+OWNED = [
+    ("Ex Leu 7 (1973), lot 123; Ex Hunt collection, Sotheby's 1991", [('Ex Leu 7 (1973), lot 123', 'Leu 7', 1973, '123'), ("Ex Hunt collection, Sotheby's 1991", "Hunt collection, Sotheby's", 1991, None)]),
+    ('Nero. AR Denarius. Ex Leu 4, 25 May 1972, lot 123. RIC 972; Cohen 17. Ex CNG 105, lot 45a.', [('Ex Leu 4, 25 May 1972, lot 123', 'Leu 4', 1972, '123'), ('Ex CNG 105, lot 45a', 'CNG 105', None, '45a')]),
+    ('Provenance: Gorny & Mosch 250.', [('Gorny & Mosch 250', 'Gorny & Mosch 250', None, None)]),
+    ('From the Sunrise Collection.\nEx Dr. Sear collection, 1975.', [('From the Sunrise Collection', 'the Sunrise Collection', None, None), ('Ex Dr. Sear collection, 1975', 'Dr. Sear collection', 1975, None)]),
+    ('Ex CNG e-auction 250, lot 1975.', [('Ex CNG e-auction 250, lot 1975', 'CNG e-auction 250', None, '1975')]),
+    ('Ex Leu sale 1850, lot 7.', [('Ex Leu sale 1850, lot 7', 'Leu sale 1850', None, '7')]),
+    ('Nero. AR Denarius. RIC 306.', []),
+    ('Ex.', []),
+    ('Ex Leu 7, 25. Mai 1973, Los 123.', [('Ex Leu 7, 25. Mai 1973, Los 123', 'Leu 7', 1973, '123')]),
+    ('Ex Leu 7, no. 1973.', [('Ex Leu 7, no. 1973', 'Leu 7', None, '1973')]),
+    ('Ex Leu Auction no. 45, lot 12.', [('Ex Leu Auction no. 45, lot 12', 'Leu Auction no. 45', None, '12')]),
+    ('Ex Leu 7, 1973,5.', [('Ex Leu 7, 1973,5', 'Leu 7, 1973,5', None, None)]),
+    ('Ex Künker Auktion Nr. 145.', [('Ex Künker Auktion Nr. 145', 'Künker Auktion Nr. 145', None, None)]),
+    ('Vorzügliches Exemplar mit feiner Tönung. RIC 347.', []),
+    ('Nero. Denar aus der Zeit um 65. RIC 53.', []),
+    ('Aus Sammlung H. W. RIC 53.', [('Aus Sammlung H. W', 'Sammlung H. W', None, None)]),
+    ('Ex Auktion Hirsch, München 1998, Nr. 5.', [('Ex Auktion Hirsch, München 1998, Nr. 5', 'Auktion Hirsch, München', 1998, '5')]),
+    ('Acquired from Spink, 1998.', [('Acquired from Spink, 1998', 'Spink', 1998, None)]),
+    ('Acquired from Spink, 1998; RIC 53.', [('Acquired from Spink, 1998', 'Spink', 1998, None)]),
+    ('Ex Triton VIII (2005, 1132).', [('Ex Triton VIII (2005, 1132)', 'Triton VIII', 2005, '1132')]),
+    ('Provenienza: Asta Artemide XLV, 2016, lotto 234; ex NAC 27, 2004, 312.', [('Asta Artemide XLV, 2016, lotto 234', 'Asta Artemide XLV', 2016, '234'), ('ex NAC 27, 2004, 312', 'NAC 27', 2004, '312')]),
+    ('Asta Bertolami 12, 2015, lotto 45.', [('Asta Bertolami 12, 2015, lotto 45', 'Asta Bertolami 12', 2015, '45')]),
+    ('From the collection of a Swiss lawyer, acquired from Münzen & Medaillen AG Basel in 1988.', [('From the collection of a Swiss lawyer', 'the collection of a Swiss lawyer', None, None), ('acquired from Münzen & Medaillen AG Basel in 1988', 'Münzen & Medaillen AG Basel', 1988, None)]),
+    ('Acquired from Spink, 1998.', [('Acquired from Spink, 1998', 'Spink', 1998, None)]),
+    ('Erworben 1998 bei Lanz.', [('Erworben 1998 bei Lanz', 'Lanz', 1998, None)]),
+    ('Minerva stante con asta e scudo. Asta e scudo. RIC 12.', []),
+]
+
 
 def written(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
@@ -294,3 +324,23 @@ def test_hostile_texts_cost_in_proportion(part, spark):
 def test_no_python_in_the_plan(spark):
     plan = lots.references(spark.createDataFrame([], "id int, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def owners(spark, texts):
+    out = [[] for _ in texts]
+    for r in lots.provenance(spark.createDataFrame(list(enumerate(texts)), "id int, text string")).orderBy("id", "position").collect():
+        out[r.id].append((r.entry, r.source, r.year, r.lot))
+    return out
+
+
+def test_known_provenance(spark):
+    found = owners(spark, [t for t, _ in OWNED])
+    assert [(t, e, f) for (t, e), f in zip(OWNED, found, strict=True) if f != e] == []
+
+
+def test_provenance_of_odd_texts(spark):
+    many = " ".join(f"Ex Leu {i}, lot {i}." for i in range(1, 15))
+    found = owners(spark, [None, "", "Ex.", "Nero. RIC 306.", many, "Ex Dr. Sear collection, 1975. RIC 3", "Ex " + "A. " * 5000 + "1990."])
+    assert [len(f) for f in found] == [0, 0, 0, 0, lots.ENTRIES, 1, 1]
+    assert found[4][9] == ("Ex Leu 10, lot 10", "Leu 10", None, "10") and found[5] == [("Ex Dr. Sear collection, 1975", "Dr. Sear collection", 1975, None)]
+    assert "Python" not in lots.provenance(spark.createDataFrame([], "id int, text string"))._jdf.queryExecution().executedPlan().toString()
