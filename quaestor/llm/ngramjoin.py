@@ -30,7 +30,7 @@ from .neardup import _groups, shingles
 #: Tokens of a cell; larger homes are dealt into several, which PIVOTS of their sets visit first.
 CELL, PIVOTS = 1 << 19, 8
 #: Tokens that a task counts at a time, and that meet in one bucket.
-CHUNK, BUCKET = 1 << 20, 1 << 21
+CHUNK, BUCKET = 1 << 19, 1 << 19
 #: A shingle in one of OFTEN documents, and in MANY at least, is known to all tasks and counts as most
 #: frequent. There are at most OFTEN times as many of them as a document has shingles on average.
 OFTEN, MANY = 128, 4096
