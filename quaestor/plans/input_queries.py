@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts, grades
 from ..operators import provider, reminders
+from ..streaming import alerts
 from .registry import query
 from .views import AUCTIONS, auctions, table
 
@@ -81,3 +82,31 @@ def lot_grades(spark, sf_dir):
     text = F.concat_ws(" ", F.lit("Trajan. Denarius. RIC"), F.concat("l_suppkey", F.lit(".")), F.concat(F.format_number(F.col("l_quantity"), 2), F.lit(" g.")), said)
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sale"), F.col("l_linenumber").alias("lot"), grades.grade_of(text).alias("grade"))
     return rows.groupBy("sale", "lot", "grade").agg(F.count(F.lit(1)).alias("n"))
+
+
+_NAMED = "event_id || ':' || r || ':' || strftime({}, '%Y-%m-%dT%H:%M:%S.000Z')"
+
+
+@query(f"""WITH e AS (SELECT event_id, event_id % 3 AS r, date_trunc('second', ts) AS tm, event_type AS kind FROM events),
+a AS (SELECT event_id, r, CASE WHEN event_id % 7 = 0 THEN tm - INTERVAL 1 HOUR ELSE tm END AS tm, CASE kind WHEN 'click' THEN 'claimed' WHEN 'view' THEN 'pending' WHEN 'purchase' THEN 'delivered' ELSE 'snoozed' END AS status, tm AS t FROM e WHERE kind <> 'error'
+  UNION ALL SELECT event_id, r, tm, 'acknowledged', tm FROM e WHERE event_id % 5 = 0 AND event_id % 7 <> 0 UNION ALL SELECT event_id, r, tm, 'due', tm FROM e WHERE event_id % 35 = 0),
+h AS (SELECT {_NAMED.format("tm")} AS id, max_by(status, list_position({list(alerts.RANK)}, status)) AS status, any_value(t) AS t FROM a GROUP BY 1),
+w AS (SELECT {_NAMED.format("tm")} AS id, {_NAMED.format("tm - INTERVAL 1 HOUR")} AS former, tm, event_id FROM e WHERE event_id % 11 <> 0),
+g AS (SELECT w.id, w.former, h.status, h.t FROM w JOIN h ON h.id = w.former WHERE event_id % 7 = 0 AND h.status NOT IN ('pending', 'due') AND NOT EXISTS (SELECT 1 FROM h x WHERE x.id = w.id)),
+s AS (SELECT id, status, t, 'kept' AS how FROM h WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.former = h.id) UNION ALL SELECT id, status, t, 'moved' FROM g),
+j AS (SELECT coalesce(w.id, s.id) AS id, w.tm, coalesce(s.status, 'pending') AS status, s.t, CASE WHEN w.id IS NULL THEN 'vanished' ELSE coalesce(s.how, 'new') END AS change, TIMESTAMP '2024-01-15 12:00:00' AS now FROM w FULL JOIN s ON s.id = w.id),
+k AS (SELECT *, CASE WHEN change = 'vanished' THEN NULL WHEN status IN ('delivered', 'acknowledged', 'missed') THEN status WHEN now > tm + INTERVAL 15 MINUTE THEN 'missed' WHEN status = 'snoozed' AND now < t + INTERVAL 10 MINUTE THEN 'snoozed'
+  WHEN status = 'claimed' AND now < t + INTERVAL 6 MINUTE THEN 'claimed' WHEN now >= tm THEN 'due' ELSE 'pending' END AS is_now FROM j)
+SELECT id AS trigger_id, change, is_now AS status, epoch(CASE is_now WHEN 'pending' THEN least(tm, tm + INTERVAL 901 SECOND) WHEN 'snoozed' THEN least(t + INTERVAL 10 MINUTE, tm + INTERVAL 901 SECOND) WHEN 'claimed' THEN least(t + INTERVAL 6 MINUTE, tm + INTERVAL 901 SECOND) WHEN 'due' THEN tm + INTERVAL 901 SECOND END)::BIGINT AS wake FROM k""")
+def alert_adoption(spark, sf_dir):
+    minutes = lambda c, n: F.timestamp_seconds(F.unix_seconds(c) + 60 * n)
+    e, at = F.col("event_id"), F.col("trigger_at")
+    rows = table(spark, sf_dir, "events").select("event_id", (e % 3).cast("string").alias("reminder_id"), F.date_trunc("second", "ts").alias("trigger_at"), F.col("event_type").alias("kind"))
+    status = F.when(F.col("kind") == "click", "claimed").when(F.col("kind") == "view", "pending").when(F.col("kind") == "purchase", "delivered").otherwise("snoozed")
+    made = lambda which, when, status: rows.filter(which).select(F.concat("event_id", status).alias("alert_id"), "event_id", "reminder_id", when.alias("trigger_at"), status.alias("status"), minutes(at, 1).alias("claimed_at"), minutes(at, 10).alias("snoozed_until"))
+    stored = made("kind <> 'error'", F.when(e % 7 == 0, minutes(at, -60)).otherwise(at), status).unionByName(made("event_id % 5 = 0 AND event_id % 7 <> 0", at, F.lit("acknowledged"))).unionByName(made("event_id % 35 = 0", at, F.lit("due")))
+    wanted = rows.filter("event_id % 11 <> 0").select("event_id", "reminder_id", "trigger_at", minutes(at, 15).alias("relevant_until"))
+    named = lambda when: alerts.trigger_id(e, F.col("reminder_id"), when)
+    moved = rows.filter("event_id % 7 = 0").select(named(at).alias("trigger_id"), named(minutes(at, -60)).alias("former_id"))
+    found = alerts.adopted(wanted, stored, moved, F.lit("2024-01-15 12:00:00").cast("timestamp"))
+    return found.select("trigger_id", "change", "status", F.unix_seconds("wake_at").alias("wake"))
