@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.references import parse_reference
 from ..operators import lookup, lots
 from .registry import query
 from .views import table
@@ -189,3 +190,20 @@ def lot_provenance(spark, sf_dir):
     )
     rows = table(spark, sf_dir, "lineitem").select(((F.col("l_orderkey") * 10 + s) * 100_000 + F.col("l_partkey")).alias("id"), F.concat(F.lit("Nero. Denarius. RIC 5. "), said).alias("text"))
     return lots.provenance(rows.distinct())
+
+
+#: Forms of references and what they are read as: catalogue, volume, section, number; # stands for a number.
+_FORMS = (
+    ("RIC II Hadrian #", ("RIC", "II", "Hadrian", "#")), ("RIC V, part II Probus #", ("RIC", "V, Part 2", "Probus", "#")), ("RIC II.2 Hadrian #", None), ("RIC XI Nero #", None), ("RIC hello #", None),
+    ("Crawfrd #/5", None), ("Craw. #/5", ("RRC", "", "", "#/5")), ("Euthydemus I Bop. #A", ("Bop", "", "Euthydemus I", "#A")), ("Lot 80: RIC #", None), ("SNG Cop #; Price #", ("Price", "", "", "#")),
+    ("(RIC I (2nd ed.) Nero #)", ("RIC", "I (2nd edition)", "Nero", "#")), ("SNG Spaer #", ("Other", "", "", "SNG Spaer #")), ("#", None),
+)
+_WANTED = ", ".join("NULL" if r is None else "[" + ", ".join(f"'{x}'" for x in r) + "]" for _, r in _FORMS)
+
+
+@query(f"""WITH r AS (SELECT o_orderkey AS id, o_custkey::VARCHAR AS n, [{_WANTED}][o_orderkey % {len(_FORMS)} + 1] AS r FROM orders)
+SELECT id, r[1] AS catalogue, r[2] AS volume, r[3] AS section, replace(r[4], '#', n) AS number FROM r""")
+def reference_readings(spark, sf_dir):
+    form = F.get(F.array(*(F.lit(t) for t, _ in _FORMS)), (F.col("o_orderkey") % len(_FORMS)).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.replace(form, F.lit("#"), F.col("o_custkey").cast("string")).alias("text"))
+    return rows.select("id", parse_reference(F.col("text")).alias("r")).select("id", "r.*")

@@ -210,6 +210,9 @@ def test_prices_and_references_in_doubt(spark):
     price = lambda t, c=None: one(spark, text.parse_price(F.lit(t), F.lit(c).cast("string")))
     assert [price(t) for t in ("1.234.567,8", "12,345.6", "1234,567", "1,2,3", "1 234.5", "5,", ",5", "1..5", "USD 1'000", "1.234.567", "12.34.5")] == [1234567.8, 12345.6, None, None, 1234.5, None, None, None, 1000.0, 1234567.0, None]
     read = lambda t: tuple(one(spark, references.parse_reference(F.lit(t))) or ())
+    assert [read(t) for t in ("RIC XI Nero 1", "RIC hello 5", "RIC II.2 Hadrian 5", "Crawfrd 44/5", "Lot 80: RIC 972", "cf. RIC 972", "972", "hello", "Price", "Good VF, 3.21 g, 6h, lot 42, bought in Vienna 1990")] == [()] * 10
+    assert read("RIC V, part II Probus 12") == ("RIC", "V, Part 2", "Probus", "12") and read("Euthydemus I Bop. 24A") == ("Bop", "", "Euthydemus I", "24A")
+    assert read("ric hadrian 5") == ("RIC", "", "hadrian", "5") and read("SNG von Aulock 5960, 5961, 5962, 5963, 5964, 5965, 5966") == ("Other", "", "", "SNG von Aulock 5960, 5961, 5962, 5963, 5964, 5965, 5966")
     assert read("RIC II, Part 3 Hadrian 1009") == ("RIC", "II, Part 3", "Hadrian", "1009")
     assert read("RIC 5.1 Gallienus 12 (aureus)") == ("RIC", "V, Part 1", "Gallienus", "12 (aureus)")
     assert read("RIC I (2nd ed.) Nero 306") == ("RIC", "I (2nd edition)", "Nero", "306")
