@@ -9,12 +9,10 @@ statement counts, or the last one behind a label.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import squash
+from .text import let, squash
 
 #: A text is read up to LIMIT characters, EDGE of them on either side of a word, CITATION before one.
 LIMIT, EDGE, CITATION = 3000, 24, 160
@@ -70,11 +68,6 @@ _SPANISH = rf"(?iu)(?:\d\s?(?:g|gr|mm)|(?<!\p{{L}})(?:{_any(REMARKS)}))\.\s*$"
 _SLAB = r"\b(?:NGC|PCGS)\b"
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _member(token: Column, words: tuple[str, ...], by: str = " ") -> Column:
     return token.isin([w for group in words for w in group.split(by) if w])
 
@@ -102,12 +95,12 @@ def _words_of(text: Column) -> Column:
 
         def word(k: Column, ends: Column) -> Column:
             parts = F.split(F.get(pieces, 2 * k + 1), "\u0002", -1)
-            return _let(parts, lambda p: F.struct(F.get(ends, 2 * k + 1).alias("start"), F.get(p, F.lit(0)).alias("quals"), F.get(p, F.lit(1)).alias("token"), F.get(p, F.lit(2)).alias("plus"), F.get(p, F.lit(3)).alias("slab")))
+            return let(parts, lambda p: F.struct(F.get(ends, 2 * k + 1).alias("start"), F.get(p, F.lit(0)).alias("quals"), F.get(p, F.lit(1)).alias("token"), F.get(p, F.lit(2)).alias("plus"), F.get(p, F.lit(3)).alias("slab")))
 
         number = F.call_function("div", F.size(pieces), F.lit(2)).cast("int")
-        return _let(ends, lambda e: F.transform(F.slice(F.sequence(F.lit(0), F.greatest(number, F.lit(1)) - 1), F.lit(1), number), lambda k: word(k, e)))
+        return let(ends, lambda e: F.transform(F.slice(F.sequence(F.lit(0), F.greatest(number, F.lit(1)) - 1), F.lit(1), number), lambda k: word(k, e)))
 
-    return _let(marked, placed)
+    return let(marked, placed)
 
 
 def _edged(text: Column, words: Column) -> Column:
@@ -127,7 +120,7 @@ def _edged(text: Column, words: Column) -> Column:
                 (_member(x["token"], IN_RANGE) | _lower_member(x["token"], IN_RANGE_NAME)).alias("in_range"),
             )
 
-        return _let(before, ended)
+        return let(before, ended)
 
     return F.transform(words, edges)
 
@@ -191,7 +184,7 @@ def _counted(text: Column, words: Column) -> Column:
             return F.when(~grade, acc).when(joined, state(x["end"], acc["quoted"], F.least(acc["now"], x["bucket"]), acc["labelled"], acc["kept"])).otherwise(separate)
 
         passed = state(acc["end"], x["end"], acc["now"], acc["labelled"], acc["kept"])
-        return F.when(x["metal"], acc).when(quoted, passed).when(x["no_grade"] | ~x["closed"], acc).otherwise(_let(between, read))
+        return F.when(x["metal"], acc).when(quoted, passed).when(x["no_grade"] | ~x["closed"], acc).otherwise(let(between, read))
 
     return F.aggregate(words, start, step, lambda acc: F.when(acc["labelled"], acc["now"]).otherwise(F.coalesce(acc["kept"], acc["now"])))
 
@@ -199,5 +192,5 @@ def _counted(text: Column, words: Column) -> Column:
 def grade_of(description: Column) -> Column:
     """The bucket of the grade that a description states; null where it states none, or is null or empty."""
     clean = F.substring(squash(F.regexp_replace(description, "[\u0001\u0002]", " ")), 1, LIMIT)
-    number = _let(clean, lambda t: _let(_words_of(t), lambda w: _let(_edged(t, w), lambda e: _let(_judged(t, e), lambda j: _counted(t, j)))))
+    number = let(clean, lambda t: let(_words_of(t), lambda w: let(_edged(t, w), lambda e: let(_judged(t, e), lambda j: _counted(t, j)))))
     return F.get(F.array(*map(F.lit, BUCKETS)), number)

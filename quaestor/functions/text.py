@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -18,6 +19,11 @@ TRACKING = r"^(utm_[^=]*|fbclid|gclid|dclid|msclkid|mc_cid|mc_eid)(=|$)"
 MARKS = {"USD": r"(?i)US\$|\$|\bUSD\b", "EUR": r"(?i)€|\bEUR\b", "GBP": r"(?i)£|\bGBP\b", "CHF": r"(?i)\bCHF\b|\bFr\."}
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squash(text: Column) -> Column:
     """Null as empty; every run of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", " "))
