@@ -141,12 +141,16 @@ def lot_comparables(evidence: DataFrame, by: list[str]) -> DataFrame:
 def matched(entries: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, status, ids: an exact title is ok; else up to five entries are candidates; else none.
 
-    entries (query_id, id, title) are what a search gave; queries (query_id, title) what was asked.
+    entries (query_id, id, title) are what a search gave, in order of position where they have one, else of id;
+    queries (query_id, title) what was asked. Of several exact titles the first counts.
     """
     key = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    both = queries.select("query_id", key(F.col("title")).alias("_asked")).join(entries, "query_id", "left")
-    same = F.when(key(F.col("title")) == F.col("_asked"), F.col("id"))
-    found = both.groupBy("query_id").agg(F.min(same).alias("_exact"), F.count("id").alias("_n"), F.array_sort(F.collect_set("id")).alias("_ids"))
+    place = F.struct(F.col("position") if "position" in entries.columns else F.lit(0), "id")
+    hits = entries.select("query_id", "id", "title", place.alias("_place"))
+    both = queries.select("query_id", key(F.col("title")).alias("_asked")).join(hits, "query_id", "left")
+    same = F.when(key(F.col("title")) == F.col("_asked"), F.col("_place"))
+    here = F.collect_set(F.when(F.col("id").isNotNull(), F.col("_place")))
+    found = both.groupBy("query_id").agg(F.min(same)["id"].alias("_exact"), F.count("id").alias("_n"), F.array_distinct(F.transform(F.array_sort(here), lambda x: x["id"])).alias("_ids"))
     few = F.col("_n").between(1, 5)
     status = F.when(F.col("_exact").isNotNull(), "ok").when(few, "candidates").otherwise("none")
     return found.select("query_id", status.alias("status"), F.when(F.col("_exact").isNotNull(), F.array("_exact")).when(few, F.col("_ids")).otherwise(F.array().cast("array<string>")).alias("ids"))

@@ -33,7 +33,7 @@ def embedded_sales(html: Column, marker: str = MARKER) -> Column:
     Only the first 2 MiB are read. The JSON reader ends at the array's own end, so brackets
     and '];' inside strings do no harm.
     """
-    page = F.substring(html, 1, PAGE_BYTES)
+    page = F.substring(html.cast("binary"), 1, PAGE_BYTES).cast("string")
     found = F.regexp_extract(page, rf"(?s){marker}(\[.*)", 1)
     return F.when(found != "", F.from_json(found, SALE))
 

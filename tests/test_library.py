@@ -227,3 +227,19 @@ def test_bid_commands_for_no_lot(spark):
     state = bids.apply(lots, sent).first()
     assert (state.revision, state.active, state.outcome, [tuple(b) for b in state.bids]) == (2, None, "won", [("placed", 500), ("settled-won", 500)])
     assert [r.lot_id for r in bids.orphans(lots, sent).collect()] == [2]
+
+
+def test_pages_are_cut_by_bytes(spark):
+    sale = 'acsearch.initSearchResults = [{"id":"1"}]'
+    pages = spark.createDataFrame([(1, "é" * 1_000_000 + sale), (2, "é" * 1_050_000 + sale), (3, None)], "page int, html string")
+    assert [r.page for r in documents.result_rows(pages).collect()] == [1]
+
+
+def test_hits_keep_their_order(spark):
+    from quaestor.operators import workspace
+
+    hits = spark.createDataFrame([(1, "b", "x", 1), (1, "a", "y", 2), (2, "d", " Asked ", 1), (2, "c", "asked", 2), (3, None, None, 1)], "query_id int, id string, title string, position int")
+    asked = spark.createDataFrame([(1, "none"), (2, "asked"), (3, "asked"), (4, None)], "query_id int, title string")
+    found = {r.query_id: (r.status, r.ids) for r in workspace.matched(hits, asked).collect()}
+    assert found == {1: ("candidates", ["b", "a"]), 2: ("ok", ["d"]), 3: ("none", []), 4: ("none", [])}
+    assert {r.query_id: r.ids for r in workspace.matched(hits.drop("position"), asked).collect()}[2] == ["c"]
