@@ -223,6 +223,33 @@ def resolve(references: DataFrame, types: DataFrame, people: DataFrame, mints: D
     return keyed.join(found, c("_key") == c("_found")).drop("_key", "_found")
 
 
+def card_name(volume: Column, section: Column, number: Column) -> Column:
+    """A type as a collector writes it: RIC, the volume with its part behind a point and a second edition raised, section and number."""
+    short = F.regexp_replace(F.regexp_replace(volume, r", Part (\d)", ".$1"), r" \(2nd edition\)$", "²")
+    return squash(F.concat_ws(" ", F.lit("RIC"), short, section, number))
+
+
+def wanted_names(resolved: DataFrame, types: DataFrame, key: str = "ref_id") -> DataFrame:
+    """key, action, names: how what is wanted is kept, from its resolved reference.
+
+    as-written: the type found, or one of those offered, is just the reference, or it could not be checked
+    (unavailable). renamed: the one type found, or the only one offered with the same section and number,
+    is filed under another volume or edition. choices: several such. refused: no type could ever match. names are of cards, empty as written.
+    """
+    place = lambda volume, section, number: F.struct(norm(F.col(volume)).alias("v"), norm(F.col(section)).alias("s"), plain_number(F.col(number)).alias("n"))
+    cards = types.select(F.col("id").alias("_id"), place("volume", "section", "number").alias("_card"), card_name(F.col("volume"), F.col("section"), F.col("number")).alias("_name"))
+    asked = resolved.select(key, "status", place("volume", "section", "number").alias("_asked"), "ids")
+    rows = asked.select(key, "status", "_asked", F.posexplode_outer("ids").alias("_at", "_id")).join(cards, "_id", "left")
+    near = (F.col("_card.s") == F.col("_asked.s")) & (F.col("_card.n") == F.col("_asked.n"))
+    fits = F.when(F.col("status") == "ok", F.col("_name")).when(near, F.col("_name"))
+    per = rows.groupBy(key).agg(
+        F.first("status").alias("status"), F.coalesce(F.bool_or(F.col("_card") == F.col("_asked")), F.lit(False)).alias("_same"),
+        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(fits.isNotNull(), F.struct("_at", fits.alias("name"))))), lambda x: x["name"])).alias("names"),
+    )
+    action = F.when(F.col("_same") | (F.col("status") == "unavailable"), "as-written").when(F.size("names") == 1, "renamed").when(F.size("names") > 1, "choices").otherwise("refused")
+    return per.select(key, action.alias("action"), F.when(action == "as-written", F.array().cast("array<string>")).otherwise(F.col("names")).alias("names"))
+
+
 def group_of(catalogue: Column, number: Column) -> Column:
     """What a number shares with its near misses: RRC's number before the stroke, SC's before the point, CPE's and
     Newell's without letters behind; null for other catalogues."""

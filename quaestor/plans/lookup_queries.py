@@ -114,6 +114,25 @@ def guided_lookup(spark, sf_dir):
     return found.select("ref_id", "status", "stage", F.array_join("ids", ",").alias("ids"), "person_mismatch", "note")
 
 
+_CARDS = f"""SELECT 't' || p_partkey AS id, CASE WHEN p_size % 8 IN (3, 4) THEN {_list(lookup.MINT_VOLUMES)}[p_partkey % 4 + 1] ELSE {_list(_PLAIN)}[p_partkey % 8 + 1] END AS volume, {_list(_SECTIONS)}[p_size % 8 + 1] AS section,
+  p_partkey % 40 + 1 || CASE WHEN p_partkey % 7 = 0 THEN ' (aureus)' WHEN p_partkey % 11 = 0 THEN '-60' ELSE '' END AS number FROM part"""
+
+
+@query(f"""WITH f AS ({_SQL}), cards AS ({_CARDS}),
+a AS (SELECT ref_id, status, {_list(_ASKED_VOLUMES)}[o_custkey % 8 + 1] AS v, {_list(_ASKED_SECTIONS)}[o_custkey % 9 + 1] AS s, (o_orderkey % 45 + 1)::VARCHAR AS n, ids FROM f JOIN orders ON o_orderkey = ref_id),
+e AS (SELECT ref_id, unnest(string_split(ids, ',')) AS id FROM a WHERE ids <> ''),
+j AS (SELECT a.ref_id, a.status, c.volume = v AND c.section = s AND c.number = n AS same, a.status = 'ok' OR (c.section = s AND c.number = n) AS near,
+  'RIC ' || replace(replace(c.volume, ', Part ', '.'), ' (2nd edition)', '²') || ' ' || c.section || ' ' || c.number AS name FROM a LEFT JOIN e USING (ref_id) LEFT JOIN cards c ON c.id = e.id),
+g AS (SELECT ref_id, coalesce(bool_or(same), false) OR any_value(status) = 'unavailable' AS kept, list_sort(list(DISTINCT name) FILTER (near AND name IS NOT NULL)) AS names FROM j GROUP BY ref_id)
+SELECT ref_id, CASE WHEN kept THEN 'as-written' WHEN len(names) = 1 THEN 'renamed' WHEN len(names) > 1 THEN 'choices' ELSE 'refused' END AS action, CASE WHEN kept THEN '' ELSE coalesce(array_to_string(names, ';'), '') END AS names FROM g""")
+def want_names(spark, sf_dir):
+    people = spark.createDataFrame(list(_PEOPLE), "person string, name string")
+    mints = spark.createDataFrame([("Treveri", "Trier")], "alias string, section string")
+    types = _types(spark, sf_dir)
+    found = lookup.wanted_names(lookup.resolve(_references(spark, sf_dir), types, people, mints), types)
+    return found.withColumn("names", F.array_join(F.array_sort("names"), ";"))
+
+
 @query("""WITH t AS (SELECT p_partkey AS id, ['RRC', 'SC', 'CPE', 'Price'][p_partkey % 4 + 1] AS c, p_size AS s, p_partkey AS k, p_partkey % 17 <> 0 AS present FROM part),
 u AS (SELECT lpad(id::VARCHAR, 7, '0') AS id, c, present, CASE c WHEN 'RRC' THEN k % 300 || '/' || s WHEN 'SC' THEN k % 300 || '.' || s WHEN 'CPE' THEN k % 300 || chr(97 + s::INT % 26) ELSE k % 900 || '' END AS n FROM t),
 g AS (SELECT *, CASE c WHEN 'RRC' THEN split_part(n, '/', 1) WHEN 'SC' THEN split_part(n, '.', 1) WHEN 'CPE' THEN regexp_replace(n, '[a-z]+$', '') END AS g FROM u),
