@@ -260,12 +260,35 @@ def test_every_byte_of_a_long_word_is_coded(monkeypatch):
         assert lm.Mixer().log10(words, states, told) == pytest.approx(whole)
 
 
-def test_weights_are_learnt_on_all_words(spark):
+def test_weights_are_learnt_on_all_words(spark, monkeypatch):
     """Every bit of every training pair of state and word, of many more than a draw would hold."""
     words = [f"w{i:x}".encode() for i in range(60_000)]
     units = spark.createDataFrame([(w, 3, 1) for w in words] + [(b"held", 3, 0)], "word binary, state long, c long").repartition(3)
-    met = lm.learnt(units, table_of_zeros()).filter(F.col("at") % (2 * lm.ORDERS + 1 + lm.CELLS) == 0)
-    assert met.agg(F.sum("met")).first()[0] == sum(8 * (len(w) + 1) for w in words)
+    bits = sum(8 * (len(w) + 1) for w in words)
+    for lesson, times in ((7000, 1), (150_000, 3)):  # eight shards; one shard, read three times
+        monkeypatch.setattr(lm, "LESSON", lesson)
+        met = lm.learnt(units, table_of_zeros(), len(words)).filter(F.col("at") % (2 * lm.ORDERS + 1 + lm.CELLS) == 0)
+        assert met.agg(F.sum("met")).first()[0] == times * bits
+
+
+def test_lm_does_not_hang_on_partitions(spark, data, monkeypatch):
+    """The same scores however rows are dealt, with several shards of lessons and with one."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for lesson in (2000, 50_000):
+            monkeypatch.setattr(lm, "LESSON", lesson)
+            runs = []
+            for parts, adaptive in ((2, "true"), (7, "false")):
+                spark.conf.set("spark.sql.shuffle.partitions", parts)
+                spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+                runs.append(by_id(lm.scored(docs.repartition(parts, F.xxhash64("text", F.lit(parts))))))
+            assert runs[0].keys() == runs[1].keys()
+            for d, r in runs[0].items():
+                assert r.score == pytest.approx(runs[1][d].score, rel=1e-9)
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
 
 
 def walked(text, model):
