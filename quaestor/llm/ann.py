@@ -31,7 +31,14 @@ BLOCK = 4096
 ROWS = 256
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component below 1, so that no square
+    over- or underflows; a power of two changes no cosine."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -154,8 +161,9 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, router: Router
     A query is no candidate for itself, nor is any row of its vec_id. Other rows that share a
     vec_id are candidates each, so that it may take several ranks; of a query with several
     vectors the least one asks. Scores are exact cosines in double
-    precision, ties go to the smaller vec_id. With fewer candidates all are returned; an
-    empty table gives no rows.
+    precision, ties go to the smaller vec_id. Queries whose parts hold fewer than k candidates
+    look into all parts. With fewer candidates in the table all are returned; an empty table
+    gives no rows.
     """
     rows = cut(usable(embeddings))
     router = router or fit(rows, rows.count())
@@ -163,17 +171,17 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, router: Router
     dim = router.dim
     kind = rows.schema["vector"].dataType.simpleString()
 
-    def route(many: bool):
+    def route(probes: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = given.value
             for batch in batches:
-                parts = own.ranked(_unit(_matrix(batch.column(1), dim)))[:, : own.probes if many else 1] if batch.num_rows else np.zeros((0, 1), "i8")
+                parts = own.ranked(_unit(_matrix(batch.column(1), dim)))[:, :probes] if batch.num_rows else np.zeros((0, 1), "i8")
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts.tolist(), pa.list_(pa.int64()))], names=["vec_id", "vector", "parts"])
 
         return run
 
     schema = f"vec_id bigint, vector {kind}, parts array<bigint>"
-    pairs = lambda df, many: df.mapInArrow(route(many), schema).select("vec_id", "vector", F.explode("parts").alias("part"))
+    pairs = lambda df, probes: df.mapInArrow(route(probes), schema).select("vec_id", "vector", F.explode("parts").alias("part"))
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
         """Rows of a part dealt into blocks of bounded size."""
@@ -183,8 +191,6 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, router: Router
 
     asked = queries.select(F.col("vec_id").alias("_q")).distinct()
     asking = rows.join(asked, F.col("vec_id") == F.col("_q"), "left_semi").groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    probes = cut(pairs(asking, True))
-    met = blocks(probes, "q").join(blocks(pairs(rows, False), "c"), "part").repartition("part", "q_block", "c_block")
 
     def best_of(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, lengths: np.ndarray, unit: np.ndarray) -> Iterator[tuple[int, int, float]]:
         rough = _unit(q) @ unit.T
@@ -204,7 +210,7 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, router: Router
                 row = batch.slice(i, 1)
                 get = lambda name: row.column(row.schema.names.index(name)).flatten()  # noqa: B023, E731
                 q_ids, c_ids = get("q_ids").to_numpy(), get("c_ids").to_numpy()
-                q, c = (get(f"{x}_vectors").to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dim) for x in "qc")
+                q, c = (_scaled(get(f"{x}_vectors").to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dim)) for x in "qc")
                 lengths = np.sqrt(np.einsum("ij,ij->i", c, c))
                 unit = c / lengths[:, None]
                 for at in range(0, len(q_ids), ROWS):
@@ -212,9 +218,21 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, router: Router
                     out = list(best_of(q_ids[some], q[some], c_ids, c, lengths, unit))
                     yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    found = met.mapInArrow(rank, "query_id bigint, vec_id bigint, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def best(asking: DataFrame, probes: int) -> DataFrame:
+        met = blocks(cut(pairs(asking, probes)), "q").join(blocks(pairs(rows, 1), "c"), "part").repartition("part", "q_block", "c_block")
+        found = met.mapInArrow(rank, "query_id bigint, vec_id bigint, score double")
+        return cut(found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+
+    near = best(asking, router.probes)
+    if router.probes == router.parts:
+        return near
+    full = near.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = cut(asking.join(full, "vec_id", "left_anti"))
+    if short.isEmpty():
+        return near
+    return near.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(best(short, router.parts))
 
 
 def neighbours(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:

@@ -541,3 +541,32 @@ def test_mixing_many_sources(docs, monkeypatch):
     assert sorted(r.doc_id for r in mixing.mix(docs).collect()) == copies
     reps = {r.doc_id: r.reps for r in mixing.repetitions(docs).collect()}
     assert copies == sorted(d for d, n in reps.items() for _ in range(n))
+
+
+def test_neighbours_of_extreme_vectors(spark):
+    """Squares that over- or underflow; equal directions have a cosine of one."""
+    rows = [(0, [1e-200, 2e-200]), (1, [1e-200, 2e-200]), (2, [1.0, 2.0]), (3, [1e200, 1e200]), (4, [-1e300, 5e-324]), (5, [5e-324, 1e-323])]
+    made = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in made] == [(0, 1), (0, 2), (0, 5), (0, 3), (0, 4)]
+    assert [r.score for r in made] == pytest.approx([1, 1, 1, 3 / 10**0.5, -(5**-0.5)])
+
+
+def test_search_widens_until_there_are_enough(spark):
+    """A part of two vectors far from all others: its query looks further and finds the exact nearest."""
+    rnd = np.random.default_rng(4)
+    x = np.concatenate([rnd.normal(size=(400, 8)) * 0.1 + 5, [[-5.0] * 8, [-5.0] * 7 + [-4.9]]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+    router = ann.Router(np.zeros((1, 8)), 1)
+    router.parts, router.probes = 2, 1  # a part for each side of the origin
+    router.w1, router.b1 = np.zeros((8, 2)), np.zeros(2)
+    router.w1[0] = [1, -1]
+    router.w2, router.b2 = np.eye(2), np.zeros(2)
+    got = [(r.vec_id, r.score) for r in ann.search(df, df.filter("vec_id in (400, 7)"), 5, router).filter("query_id = 400").orderBy("rank").collect()]
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    like = unit @ unit[400]
+    like[400] = -2
+    want = np.lexsort((np.arange(len(x)), -like))[:5]
+    assert [v for v, _ in got] == want.tolist()
+    assert [s for _, s in got] == pytest.approx(like[want])
+    assert ann.search(df, df.filter("vec_id in (400, 7)"), 5, router).count() == 10
