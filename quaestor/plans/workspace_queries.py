@@ -43,7 +43,7 @@ _ACTIONS = "['planned-revised', 'placed', 'settled-won', 'reopened-active', 'ext
 def _histories(spark, sf_dir) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     action = F.element_at(F.array(*map(F.lit, ("planned-revised", "placed", "settled-won", "reopened-active", "externally-cancelled", "settled-lost"))), (F.col("l_partkey") % 6 + 1).cast("int"))
-    entry = F.struct("l_linenumber", "l_partkey", action.alias("action"), F.when(F.col("l_suppkey") % 4 != 0, (F.col("l_suppkey") % 25 * 100).cast("int")).alias("bps"))
+    entry = F.struct("l_linenumber", "l_partkey", "l_suppkey", action.alias("action"), F.when(F.col("l_suppkey") % 4 != 0, (F.col("l_suppkey") % 25 * 100).cast("int")).alias("bps"))
     return line.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(entry)).alias("history"))
 
 
