@@ -290,18 +290,25 @@ def provenance(lots: DataFrame, id_: str = "id", text: str = "text") -> DataFram
     An entry is a sentence that opens with the words of one, or a part of it: parted by semicolons and before another
     ex. The year is the last one written that is no number of a lot or sale; the lot stands behind its
     word, or last behind the year. source is what is left, null if that is no name. Null and empty texts have none.
+    Every row is a text of its own, whatever its id.
     """
     c = F.col
     ends = lambda x: F.regexp_replace(x, _ENDS, "")
     told = F.transform(F.filter(_sentences(clean(c(text))), lambda x: _owned(x) | _bought(x)), lambda x: F.when(_bought(x), F.regexp_replace(x, _RUN_ON, "")).otherwise(x))
     parts = rf";|,(?= ?[Ee][Xx] )| and (?=[Ee][Xx] )|,(?= (?:(?iu:{_any(PURCHASE)}) from|[Ee]rworben) )|(?<=\.) (?=(?:{_any(f'{PROVENANCE}|{PURCHASE}')})\b)"
-    pieces = F.flatten(F.transform(told, lambda x: F.split(x, parts, -1)))
-    rows = lots.select(c(id_).alias("_id"), F.posexplode(pieces).alias("k", "_piece"))
-    rows = rows.withColumn("entry", ends(F.regexp_replace(ends("_piece"), r"(?i)^(?:provenance|provenienza?|provenienz) ?:? ?", "")))
-    bare = F.regexp_replace(c("entry"), r"(?i)^(?:ex|from|exemplar der|aus(?: der)?|provient de|proviene(?: d[a-z']*)?)\b\.? ?:? ?", "")
-    bare = ends(F.regexp_replace(bare, r"(?i)\s*\((?:there|where|previously|formerly)\s+(?:described|catalogued|cataloged|graded|offered|listed)\b[^()]*\)", ""))
+    entry = lambda x: ends(F.regexp_replace(ends(x), r"(?i)^(?:provenance|provenienza?|provenienz) ?:? ?", ""))
     aside = r"\s*\((?:(?!(?:part|vol|lot)\b)(?![^()]*(?<!\d)(?:1[6-9]\d\d|20\d\d)(?!\d))\p{Ll}[^()]*|[^()]*(?:[$€£]|\b(?:CHF|EUR|USD|GBP)\b)[^()]*)\)$"
-    rows = rows.withColumn("_w", ends(F.regexp_replace(bare, aside, ""))).filter(c("_w").rlike(r"[\p{L}\d]"))
+
+    def bare(x: Column) -> Column:
+        left = F.regexp_replace(x, r"(?i)^(?:ex|from|exemplar der|aus(?: der)?|provient de|proviene(?: d[a-z']*)?)\b\.? ?:? ?", "")
+        left = ends(F.regexp_replace(left, r"(?i)\s*\((?:there|where|previously|formerly)\s+(?:described|catalogued|cataloged|graded|offered|listed)\b[^()]*\)", ""))
+        return ends(F.regexp_replace(left, aside, ""))
+
+    # Entries are counted within their row, so that texts of one id stay apart.
+    entries = F.transform(F.flatten(F.transform(told, lambda x: F.split(x, parts, -1))), entry)
+    read = F.filter(F.transform(entries, lambda x: F.struct(x.alias("entry"), bare(x).alias("w"))), lambda x: x["w"].rlike(r"[\p{L}\d]"))
+    rows = lots.select(c(id_).alias("_id"), F.posexplode(F.slice(read, 1, ENTRIES)).alias("_k", "_e"))
+    rows = rows.select("_id", (c("_k") + 1).alias("position"), c("_e.entry").alias("entry"), c("_e.w").alias("_w"))
     # A sale's year and lot together in brackets are written as if they stood without.
     rows = rows.withColumn("_w", F.regexp_replace("_w", rf"(?i)\(([^()]{{0,55}}{_YEAR}), (\d{{1,6}}[a-z]?)\)$", "($1), $2"))
     how = F.when(c("_w").rlike(_LOT), 1).when(c("_w").rlike(_NUMBERED), 2).when(c("_w").rlike(_LAST), 3).otherwise(0)
@@ -318,6 +325,4 @@ def provenance(lots: DataFrame, id_: str = "id", text: str = "text") -> DataFram
     source = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c("_s"), "  +", " "), _VERB, ""), r", ?(?=,)", ""), r" +,", ",")
     rows = rows.withColumn("source", F.substring(ends(F.regexp_replace(source, "  +", " ")), 1, 120))
     named = c("source").rlike(r"\p{L}") & ~c("source").rlike(r"(?i)^(?:privately purchased|acquired|purchased|bought|erworben)$")
-    position = F.row_number().over(Window.partitionBy("_id").orderBy("k"))
-    rows = rows.withColumn("position", position).filter(c("position") <= ENTRIES)
     return rows.select(c("_id").alias(id_), "position", F.substring("entry", 1, 300).alias("entry"), F.when(named, c("source")).alias("source"), "year", "lot")

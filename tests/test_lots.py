@@ -344,3 +344,8 @@ def test_provenance_of_odd_texts(spark):
     assert [len(f) for f in found] == [0, 0, 0, 0, lots.ENTRIES, 1, 1]
     assert found[4][9] == ("Ex Leu 10, lot 10", "Leu 10", None, "10") and found[5] == [("Ex Dr. Sear collection, 1975", "Dr. Sear collection", 1975, None)]
     assert "Python" not in lots.provenance(spark.createDataFrame([], "id int, text string"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_provenance_of_texts_that_share_an_id(spark):
+    rows = spark.createDataFrame([(1, "Ex Leu 7, 1973, lot 1."), (1, "Nero. Ex Hess 1958; ex NAC 9, 1996.")], "id int, text string")
+    assert sorted((r.position, r.source) for r in lots.provenance(rows).collect()) == [(1, "Hess"), (1, "Leu 7"), (2, "NAC 9")]
