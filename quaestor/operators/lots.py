@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.references import parse_reference
-from ..functions.text import name_key
+from ..functions.text import let, name_key
 
 #: Characters read behind a key; a reference is far shorter.
 SPAN = 400
@@ -71,13 +71,18 @@ def _any(words: str) -> str:
 
 
 _KEY = (
-    rf"(?<![\p{{L}}\d])((?i:cf\.?\s*)?)((?=\p{{Lu}})(?iu:Newell(?:,\s*|\s+)Demetrius(?:\s+Poliorcetes)?|{_any(PLAIN)}|Price(?!\s+reali[sz]ed)|(?:{_any(DOTTED)})\.?){_NO_WORD}|Y#"
+    rf"(?=[\p{{Lu}}c])(?<![\p{{L}}\d])((?i:cf\.?\s*)?)((?=\p{{Lu}})(?iu:Newell(?:,\s*|\s+)Demetrius(?:\s+Poliorcetes)?|{_any(PLAIN)}|Price(?!\s+reali[sz]ed)|(?:{_any(DOTTED)})\.?){_NO_WORD}|Y#"
     rf"|(?=\p{{Lu}})(?iu:{_any(f'{NAMES}|{WORDS}')})\b(?=(?:{_GAP}|(?:{_SEP}*{_PASSED}){{1,2}}{_SEP}*[IVXL]+{_SEP}+){_DIGIT})|(?=\p{{Lu}})(?iu:{_any(PLATES)})\b(?={_GAP}{_NUMERAL}{_DIGIT})|[CS]{_NO_WORD})"
 )
 
 
-def _in(key: Column, words: str) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(key, r"\.$", ""), r"\s+", " ")).isin([w.lower() for w in words.split("|")])
+def _name(key: Column) -> Column:
+    """A key as it is listed: in lower case, without a full stop."""
+    return F.lower(F.regexp_replace(F.regexp_replace(key, r"\.$", ""), r"\s+", " "))
+
+
+def _in(name: Column, words: str) -> Column:
+    return name.isin([w.lower() for w in words.split("|")])
 
 
 def clean(text: Column) -> Column:
@@ -90,7 +95,7 @@ def _sentences(text: Column) -> Column:
     """Sentences; a full stop of an initial or an abbreviation ends none, unless a typed citation follows."""
     cited = rf"\.(?=\s(?:[Cc]f\.?\s)?(?:{_any(TYPED)})\.?[^.;\n]{{0,40}}?\d)"
     stop = rf"(?<!\b\p{{L}})(?<!\b(?:{'|'.join(ABBREVIATED.split())}))\.(?=\s)(?!(?<=\b\d{{1,2}}\.)\s\p{{Lu}}\p{{Ll}}+\.?\s\d{{4}})"
-    return F.split(F.regexp_replace(text, rf"(?:{cited}|{stop}|[!?](?=\s)|\n)", "$0\u0003"), "\u0003", -1)
+    return F.split(F.regexp_replace(text, rf"(?=[.!?\n])(?:{cited}|{stop}|[!?](?=\s)|\n)", "$0\u0003"), "\u0003", -1)
 
 
 def _owned(sentence: Column) -> Column:
@@ -117,14 +122,15 @@ def without_provenance(text: Column) -> Column:
 
 
 def _keys(lots: DataFrame, id_: str, text: str) -> DataFrame:
-    """_id, k, cf, key, after and before (the text on either side up to the next key), head, of every listed key.
+    """_id, k, cf, key and its name, after and before (the text on either side up to the next key), head, of every listed key.
 
     A key within brackets counts only if the bracket opens on a key, and then behind a separator.
     What is not listed is text of the key before it.
     """
     marked = F.split(F.regexp_replace(without_provenance(clean(F.col(text))), _KEY, "\u0001$1\u0002$2\u0002"), "\u0001", -1)
-    pieces = lots.select(F.col(id_).alias("_id"), marked.alias("_pieces")).filter(F.size("_pieces") > 1)
-    rows = pieces.select("_id", F.get("_pieces", F.lit(0)).alias("head"), F.posexplode("_pieces").alias("k", "_piece")).filter("k > 0")
+    # Outer, so that no filter on the pieces is inferred, below which they would be marked once more.
+    pieces = lots.select(F.col(id_).alias("_id"), marked.alias("_pieces"))
+    rows = pieces.select("_id", F.get("_pieces", F.lit(0)).alias("head"), F.posexplode_outer("_pieces").alias("k", "_piece")).filter("k > 0")
     part = F.split("_piece", "\u0002", -1)
     rows = rows.withColumns({"cf": F.get(part, F.lit(0)) != "", "key": F.get(part, F.lit(1)), "after": F.get(part, F.lit(2)), "_raw": F.replace("_piece", F.lit("\u0002"), F.lit(""))})
     count = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
@@ -142,7 +148,7 @@ def _keys(lots: DataFrame, id_: str, text: str) -> DataFrame:
     rows = rows.withColumn("_of", F.sum(F.col("_listed").cast("int")).over(text_)).filter("_of > 0")
     tail = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.when(F.col("_listed"), F.col("after")).otherwise(F.col("_raw")).alias("t")))), lambda x: x["t"]), "")
     first = lambda c: F.max(F.when(F.col("_listed"), F.col(c))).alias(c)
-    return rows.groupBy("_id", F.col("_of").alias("k")).agg(first("cf"), first("key"), first("opens"), F.max(F.when(F.col("_listed"), F.substring(F.col("before"), -60, 60))).alias("before"), F.max(F.when(F.col("k") == 1, F.col("head"))).alias("head"), tail.alias("after"))
+    return rows.groupBy("_id", F.col("_of").alias("k")).agg(first("cf"), first("key"), first("opens"), F.max(F.when(F.col("_listed"), F.substring(F.col("before"), -60, 60))).alias("before"), F.max(F.when(F.col("k") == 1, F.col("head"))).alias("head"), tail.alias("after")).withColumn("name", _name(F.col("key")))
 
 
 def _words(chunk: Column) -> Column:
@@ -169,10 +175,10 @@ def _spans(keys: DataFrame) -> DataFrame:
     """keys with body (what is read behind the key) and broken (whether anything else stands before the next one)."""
     text_ = Window.partitionBy("_id").orderBy("k")
     c = F.col
-    keys = keys.withColumns({"typed_key": _in(c("key"), TYPED), "_next_opens": F.coalesce(F.lead("opens").over(text_), F.lit(False))})
+    keys = keys.withColumns({"typed_key": _in(c("name"), TYPED), "_next_opens": F.coalesce(F.lead("opens").over(text_), F.lit(False))})
     span = F.when(c("_next_opens"), F.regexp_replace("after", r"\($", "")).otherwise(c("after"))
     span = F.get(F.split(span, r"\s+OCRE\b", 2), F.lit(0))
-    span = F.when(_in(c("key"), "RIC|RRC|Pr"), F.regexp_replace(span, r"^\.(?=\s+\d)", "")).when(_in(c("key"), "CPE|" + TYPED[TYPED.index("Newell") :]), F.regexp_replace(span, r"^\s*,?\s*no\.\s*(?=[Bb]?\d)", " ")).otherwise(span)
+    span = F.when(_in(c("name"), "RIC|RRC|Pr"), F.regexp_replace(span, r"^\.(?=\s+\d)", "")).when(_in(c("name"), "CPE|" + TYPED[TYPED.index("Newell") :]), F.regexp_replace(span, r"^\s*,?\s*no\.\s*(?=[Bb]?\d)", " ")).otherwise(span)
     span = F.regexp_replace(span, rf"^(?:{_SEP}*{_PASSED}){{1,2}}{_SEP}*(?={_NUMERAL}{_DIGIT})", " ")
     keys = keys.withColumn("span", span).withColumn("_near", F.substring("span", 1, SPAN))
     keys = keys.withColumn("_open", F.regexp_extract("_near", r"^(?:[^()]|\([^()]*\))*", 0))
@@ -186,15 +192,17 @@ def _spans(keys: DataFrame) -> DataFrame:
 
     def step(acc: Column, at: Column) -> Column:
         piece = F.regexp_replace(F.trim(F.get("_parts", 2 * at)), r"\s*[.,;:]+$", "")
+        return F.when(acc["broken"], acc).otherwise(let(piece, lambda x: F.when(x == "", acc).otherwise(let(F.concat(acc["body"], F.get("_parts", 2 * at - 1), x), lambda joined: longer(acc, x, joined)))))
+
+    def longer(acc: Column, piece: Column, joined: Column) -> Column:
         measure = piece.rlike(r"^\d[\d.,]*\s*(?:g|gr|mm|h)$|\b(?:AD|BC|BCE|CE)\b|(?i)^(?:circa|ca?\.)\s")
         whole = piece.rlike(r"^(?:\d|\p{Lu}\p{L}*\s+\d)") & (_body(piece) == piece) & ~measure
-        joined = F.concat(acc["body"], F.get("_parts", 2 * at - 1), piece)
         # A volume with its part behind a comma waits for the number, if the volume has that part.
         volume = r"^\s*(?:vol\.?\s*)?([IVX]+)\s*,\s*(\d)\s*$"
         part = c("typed_key") & joined.rlike(volume)
         real = F.concat_ws(" ", F.regexp_extract(joined, volume, 1), F.regexp_extract(joined, volume, 2)).isin(VOLUME_PARTS.split("|"))
         return (
-            F.when(acc["broken"] | (piece == ""), acc).when(~whole, state(acc["body"], F.lit(True), F.lit(True)))
+            F.when(~whole, state(acc["body"], F.lit(True), F.lit(True)))
             .when(piece.rlike(r"^\d") & ~acc["ended"] & part, state(F.when(real, joined).otherwise(F.lit("")), F.lit(False), ~real))
             .when(piece.rlike(r"^\d") & ~acc["ended"], state(joined, c("typed_key"), F.lit(False))).otherwise(state(acc["body"], F.lit(True), F.lit(False)))
         )
@@ -204,18 +212,18 @@ def _spans(keys: DataFrame) -> DataFrame:
     return keys.withColumn("_read", read).withColumns({"body": c("_read.body"), "broken": c("_read.broken")})
 
 
-def _own(c_key: Column, body: Column, broken: Column, before: Column, span: Column) -> Column:
+def _own(name: Column, body: Column, broken: Column, before: Column, span: Column) -> Column:
     """Whether the number behind a key is its own: not a book's year, a sale's lot, an amount, or part of a sentence behind a name."""
     plain = F.rtrim(F.regexp_replace(F.regexp_replace(body, r"\([^()]*\)|(?i)\s+(?:var\.?|passim)$", ""), r"\s*[.,;:]+$", ""))
     number = plain.rlike(rf"^(?![.,]\s)[\s.:#-]*(?:{_KEPT}{_SEP}*)?{_NUMERAL}{_DIGIT}[^\s()]*(?:,\s*\d[^\s()]*)*$")
     year = F.trim(plain).rlike(r"^[\s.:#-]*(?:1[5-9]\d\d|20\d\d|2100)$")
-    over = _in(c_key, "RRC|Crawford|Craw|Cr|Bopearachchi|Bop") | before.rlike(rf"(?i)\b(?:{'|'.join(CUES.split())})(?:\s+(?:by|in|as))?\s*$")
+    over = _in(name, "RRC|Crawford|Craw|Cr|Bopearachchi|Bop") | before.rlike(rf"(?i)\b(?:{'|'.join(CUES.split())})(?:\s+(?:by|in|as))?\s*$")
     told = F.regexp_replace(span, r"^\D*\d{4}", "").rlike(rf"^[\s,]*pp?\.|^\s*(?:pl|vol|no|fig|n|ed|ff|op|cit)\.|^\s*\(\d{{4}}\)|^\s+(?:{'|'.join(ARGUED.split())})\b")
-    sale = _in(c_key, HOUSES) & span.rlike(rf"(?i)^{_SEP}*\d[^\s;]*\s*,\s*lot\s+\d")
-    amount = _in(c_key, "Price|Pr") & span.rlike(r"^[\s.:]*\d+(?:[.,']\d+)*\s*(?:[$€£]|(?:EUR|USD|CHF|GBP)(?!\p{L}))")
-    surname = _in(c_key, f"{NAMES}|{PLATES}".replace("|LT", ""))
+    sale = _in(name, HOUSES) & span.rlike(rf"(?i)^{_SEP}*\d[^\s;]*\s*,\s*lot\s+\d")
+    amount = _in(name, "Price|Pr") & span.rlike(r"^[\s.:]*\d+(?:[.,']\d+)*\s*(?:[$€£]|(?:EUR|USD|CHF|GBP)(?!\p{L}))")
+    surname = _in(name, f"{NAMES}|{PLATES}".replace("|LT", ""))
     person = before.rlike(rf"\b(?:{FIRST_NAMES})\s+$") | before.rlike(r"(?<!\p{L})[ABEFGHJKNOPQRSTUWYZ]\.\s$") | before.rlike(r"\p{L}\p{L}+\s(?:&|and)\s$")
-    return ~(_in(c_key, HOUSES) & person) & (~surname | (number & ~(broken & year))) & ~(year & (over | told)) & ~sale & ~amount
+    return ~(_in(name, HOUSES) & person) & (~surname | (number & ~(broken & year))) & ~(year & (over | told)) & ~sale & ~amount
 
 
 def references(lots: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
@@ -227,23 +235,23 @@ def references(lots: DataFrame, id_: str = "id", text: str = "text") -> DataFram
     """
     c = F.col
     rows = _spans(_keys(lots, id_, text))
-    own = _own(c("key"), c("body"), c("broken"), c("before"), c("span"))
+    own = _own(c("name"), c("body"), c("broken"), c("before"), c("span"))
     rows = rows.withColumn("written", F.trim(F.concat("key", F.when(own, c("body")).otherwise(F.lit("")))))
     past = Window.partitionBy("_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_run", F.coalesce(F.sum((c("broken") | c("_next_opens")).cast("int")).over(past), F.lit(0)))
     longer = F.max(F.length("key") > 1).over(Window.partitionBy("_id", "_run"))
     rows = rows.withColumn("_long", longer).filter(c("written").rlike(r"\d") & ~c("written").rlike(rf"^\D*{_ORDINAL}\D*$") & ((F.length("key") > 1) | c("_long")))
-    ric = _in(c("key"), "RIC|R.I.C")
+    ric = _in(c("name"), "RIC|R.I.C")
     variant = c("written").rlike(rf"(?i)\d\s?v(?:ar)?\.?$|\bvar{_NO_WORD}")
     named = F.regexp_extract("written", r"\s*\((\p{Lu}[\p{L}/. ]+)\)", 1)
     shown = F.regexp_replace(F.regexp_replace("written", r"(?i)\s+var\.?$|\s+passim$", ""), r"\s*\((?:[\p{Ll}=][^()]*|R+\d*|\d+(?:st|nd|rd|th) ed[^()]*|\d+\s?[$€£])\)", "")
-    shown = F.when(_in(c("key"), "SG|SGCV|GCV"), F.regexp_replace(shown, r"(?<=\d)v(?:ar)?\.?$", "")).when(_in(c("key"), "Cal"), F.regexp_replace(shown, r"^(?i:cal)\.?[\s.:#-]*(?:(?:19|20)\d\d\s*[,-]\s*(?=\d))?", "Calicó ")).otherwise(shown)
+    shown = F.when(_in(c("name"), "SG|SGCV|GCV"), F.regexp_replace(shown, r"(?<=\d)v(?:ar)?\.?$", "")).when(_in(c("name"), "Cal"), F.regexp_replace(shown, r"^(?i:cal)\.?[\s.:#-]*(?:(?:19|20)\d\d\s*[,-]\s*(?=\d))?", "Calicó ")).otherwise(shown)
     shown = F.when(ric, shown).otherwise(F.regexp_replace(shown, r"\s*\((?!2)\p{Lu}\p{Ll}+(?:[ /]\p{L}+)*\)", ""))
     rows = rows.withColumns({"_ric": ric, "variant": variant, "_named": named, "text": F.regexp_replace(shown, r"\s*[.,;:]+$", "")})
     asked = F.regexp_replace(F.regexp_replace("text", r"^R\.I\.C\.?\s*", "RIC "), r"^(RIC|RRC|Pr)[.-]\s*(?=\d)", "$1 ")
     placed = F.regexp_replace(asked, r"\s*\(\p{Lu}[\p{L}/. ]+\)", "")
     asked = F.when(c("_ric") & (c("_named") != ""), F.regexp_replace(placed, r"\s+(\S+)$", F.concat(F.lit(" "), F.replace("_named", F.lit("$"), F.lit("")), F.lit(" $1")))).otherwise(F.regexp_replace(asked, r"^Pr (?=\d)", "Price "))
-    rows = rows.withColumn("_asked", asked).withColumn("_read", parse_reference(c("_asked")))
+    rows = rows.withColumn("_asked", asked).withColumn("_read", F.when(c("typed_key"), parse_reference(c("_asked"))))
     blank = F.lit("")
     made = lambda catalogue, number: F.struct(F.lit(catalogue).alias("catalogue"), blank.alias("volume"), blank.alias("section"), number.alias("number"))
     typed = c("typed_key") & (c("_read.catalogue") != "Other") & ((c("_read.catalogue") != "RIC") | c("_ric"))
@@ -265,11 +273,14 @@ def rulers(lots: DataFrame, people: DataFrame, id_: str = "id", text: str = "tex
     head = F.get(F.split(head, r"(?i)\b(?:head of|bust of|suckling|standing|seated|obv|rev)\b", 2), F.lit(0))
     # A full stop parts clauses, so that no name runs across it.
     words = F.regexp_extract_all(head, F.lit(r"\p{L}[\p{L}\p{M}'’/]*|[.;:(\n]"), F.lit(0))
-    rows = lots.select(F.col(id_).alias("_id"), words.alias("_w"))
-    runs = F.flatten(F.transform("_w", lambda _, k: F.transform(F.sequence(F.lit(1), F.lit(NAME_WORDS)), lambda n: F.struct(k.alias("s"), (k + n).alias("e"), F.array_join(F.slice("_w", k + 1, n), " ").alias("t")))))
-    found = rows.select("_id", F.explode(runs).alias("r")).select("_id", "r.s", "r.e", name_key(F.col("r.t")).alias("_key")).distinct()
+    # Words get their keys once each; a run is the keys of its words. Outer, so that no filter on the runs is inferred, below which they would be made once more.
+    rows = lots.select(F.col(id_).alias("_id"), F.transform(words, name_key).alias("_w"))
+    run = lambda k, n: F.array_join(F.filter(F.slice("_w", k + 1, n), lambda w: w != ""), " ")
+    runs = F.flatten(F.transform("_w", lambda _, k: F.transform(F.sequence(F.lit(1), F.lit(NAME_WORDS)), lambda n: F.struct(k.alias("s"), (k + n).alias("e"), run(k, n).alias("t")))))
+    found = rows.select("_id", F.explode_outer(runs).alias("r")).select("_id", "r.s", "r.e", F.col("r.t").alias("_key"))
     spelt = people.select(name_key(F.col("name")).alias("_key"), "person").distinct().groupBy("_key").agg(F.array_sort(F.collect_list("person")).alias("_people"))
-    hits = found.join(spelt, "_key")
+    # Only runs that are names are moved, once by their text.
+    hits = found.join(spelt, "_key").select("_id", "s", "e", "_people").repartition("_id").distinct()
     before = Window.partitionBy("_id").orderBy("s", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
     hits = hits.withColumn("_taken", F.coalesce(F.max("e").over(before), F.lit(0))).filter("s >= _taken")
     return hits.groupBy(F.col("_id").alias(id_)).agg(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("s", "_people"))), lambda x: x["_people"]))).alias("rulers"))
