@@ -114,8 +114,16 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[li
 
 
 def branch(ids: np.ndarray, n: np.ndarray, sig: np.ndarray, seed: int) -> list[tuple[int, int]]:
-    """Candidate pairs of a node: all that resemble each other, or stars that connect them."""
+    """Candidate pairs of a node that connect what resembles each other, fewer than it has documents."""
     edges: list[tuple[int, int]] = []
+    part_of = np.arange(len(ids))
+
+    def connect(one: int, others: np.ndarray) -> None:
+        for other in others[part_of[others] != part_of[one]]:
+            if part_of[other] != part_of[one]:
+                edges.append((int(ids[one]), int(ids[other])))
+                part_of[part_of == part_of[other]] = part_of[one]
+
     stack = [(np.arange(len(ids)), 1, seed)]
     while stack:
         some, depth, path = stack.pop()
@@ -125,7 +133,9 @@ def branch(ids: np.ndarray, n: np.ndarray, sig: np.ndarray, seed: int) -> list[t
             own, size = sig[some], n[some]
             alike = (own[:, None] == own[None]).mean(2) >= STRONG
             alike &= np.minimum.outer(size, size) * 100 >= np.maximum.outer(size, size) * 80
-            edges += [(int(ids[some[i]]), int(ids[some[j]])) for i, j in zip(*np.nonzero(np.triu(alike, 1)), strict=True)]
+            many = alike.sum(1)
+            for i in np.argsort(-many, kind="stable")[: np.count_nonzero(many > 1)]:
+                connect(some[i], some[alike[i]])
             continue
         luck = np.random.default_rng(path & 0x7FFFFFFF)
         trial = luck.choice(some, 16, replace=False)
@@ -133,7 +143,7 @@ def branch(ids: np.ndarray, n: np.ndarray, sig: np.ndarray, seed: int) -> list[t
         like = (sig[some] == sig[pivot]).mean(1)
         if (like >= NEARLY).mean() >= 0.5 or depth >= DEPTH:
             near = some[(like >= WEAK) | (depth >= DEPTH)]
-            edges += [(int(ids[pivot]), int(ids[i])) for i in near if i != pivot]
+            connect(pivot, near)
             if depth < DEPTH:
                 stack.append((some[like < NEARLY], depth, path + 1))
             continue

@@ -570,3 +570,14 @@ def test_search_widens_until_there_are_enough(spark):
     assert [v for v, _ in got] == want.tolist()
     assert [s for _, s in got] == pytest.approx(like[want])
     assert ann.search(df, df.filter("vec_id in (400, 7)"), 5, router).count() == 10
+
+
+def test_pairs_of_a_node_are_fewer_than_its_documents():
+    import numpy as np
+
+    from quaestor.llm import neardup
+
+    draw = np.random.default_rng(1)
+    sig = np.repeat(draw.integers(0, 60000, (3, neardup.TOKENS)).astype("<u2"), 10, axis=0)
+    found = neardup.branch(np.arange(30), np.full(30, 100), sig, 7)
+    assert len(found) == 27 and {(a // 10, b // 10) for a, b in found} == {(0, 0), (1, 1), (2, 2)}
