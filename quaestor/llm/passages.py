@@ -28,10 +28,11 @@ from .common import bit_filter, cut, is_set, kept
 
 LENGTH = 50
 GRAM = 18  # longer ones make more keys, shorter ones are shared by more unrelated texts
-#: Bits of the filter of keys that occur in two texts, and how many keys it is good
-#: for; with more, segments meet the keys in a join.
-FILTER_BITS = 26
-FILTER_KEYS = 1 << 24
+#: Bits of the filter of keys that occur in two texts: KEY_BITS a key, between the least and the most.
+#: It only saves moving segments that are alone; beyond its keys more of them are moved, never all.
+FILTER_BITS, MOST_BITS = 26, 29
+KEY_BITS = 16
+FILTER_KEYS = 1 << MOST_BITS
 #: Segments of a key that one task puts in order; those of a more frequent key are split
 #: into their windows of LENGTH bytes, each a key of its own. At most MANY keys are that frequent.
 HOT, MANY = 20_000, 4_000_000
@@ -229,8 +230,9 @@ def removable(rows: DataFrame, skipped: Broadcast | None = None) -> DataFrame:
     n, most = shared.agg(F.count(F.lit(1)), F.sum("n")).first()
     hot = max(HOT, (most or 0) // MANY)
     often = np.sort(shared.filter(F.col("n") > hot).select("key").toArrow().column("key").to_numpy())
-    slots = (1 << FILTER_BITS) - 1
-    bitmap = bit_filter(shared.select(F.col("key").bitwiseAND(slots).alias("s")), "s", FILTER_BITS) if n <= FILTER_KEYS else None
+    width = min(max(FILTER_BITS, (KEY_BITS * n).bit_length()), MOST_BITS)
+    slots = (1 << width) - 1
+    bitmap = bit_filter(shared.select(F.col("key").bitwiseAND(slots).alias("s")), "s", width) if n <= FILTER_KEYS else None
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """window, doc, n of frequent keys, summed up in the task."""
@@ -308,31 +310,47 @@ def removable(rows: DataFrame, skipped: Broadcast | None = None) -> DataFrame:
         group: list[tuple[bytes, int, int, int]] = []  # of the key at hand
         key = segment = first = None
         suffixes, kinds = 0, 0
+        names = ["doc", "h", "start", "end"]
 
         def batch_of(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], [], [], []))], names=["doc", "h", "start", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], [], [], []))], names=names)
 
         for batch in batches:
-            out = []
-            for k, s, d, r, a in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if s is None:
-                    out.append((d, r, a >> 32, a & 0xFFFFFFFF))
-                    continue
-                if k != key:
-                    if kinds > 1:
-                        waiting += group
-                        suffixes += sum(len(g[0]) for g in group)
-                        if suffixes > BLOCK:
-                            out += _resolve(waiting)
-                            waiting, suffixes = [], 0
-                    key, segment, group, kinds = k, None, [], 0
-                if s != segment:
-                    segment, first, kinds = s, d, kinds + 1
-                if d == first:
-                    group.append((s, d, r, a))
-                else:
-                    out.append((d, r, a, a + len(s)))
-            yield batch_of(out)
+            told = batch.filter(pc.is_null(batch.column(1)))
+            at = told.column(4).to_numpy()
+            yield pa.RecordBatch.from_arrays([told.column(2), told.column(3), pa.array(at >> 32), pa.array(at & 0xFFFFFFFF)], names=names)
+            batch = batch.filter(pc.is_valid(batch.column(1)))
+            n = batch.num_rows
+            if not n:
+                continue
+            texts = batch.column(1)
+            keys, docs, rows, starts = (batch.column(c).to_numpy() for c in (0, 2, 3, 4))
+            turn = np.append(key is None or keys[0] != key, keys[1:] != keys[:-1])
+            fresh = turn | np.append(texts[0].as_py() != segment, pc.not_equal(texts.slice(1), texts.slice(0, n - 1)).to_numpy(zero_copy_only=False))
+            begun = np.maximum.accumulate(np.where(fresh, np.arange(n), -1))
+            firsts = np.where(begun < 0, 0 if first is None else first, docs[np.maximum(begun, 0)])
+            later = docs != firsts
+            ends = starts + pc.binary_length(texts).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(c[later]) for c in (docs, rows, starts, ends)], names=names)
+            # Keys are numbered, the one at hand 0. Only those of several segments, and the last one, are looked at row by row.
+            number = np.cumsum(turn)
+            last = int(number[-1])
+            several = np.bincount(number[fresh], minlength=last + 1)
+            several[0] += kinds
+            seen = ~later & ((several[number] > 1) | (number == last))
+            held = list(zip(texts.filter(pa.array(seen)).to_pylist(), *(c[seen].tolist() for c in (docs, rows, starts)), strict=True))
+            one, end = np.searchsorted(number[seen], [1, last]).tolist()
+            if last:
+                done = (group + held[:one] if several[0] > 1 else []) + held[one:end]
+                waiting += done
+                suffixes += sum(len(g[0]) for g in done)
+                group = held[end:]
+            else:
+                group += held
+            key, segment, first, kinds = keys[-1], texts[n - 1].as_py(), int(firsts[-1]), int(several[last])
+            if suffixes > BLOCK:
+                yield batch_of(list(_resolve(waiting)))
+                waiting, suffixes = [], 0
         yield batch_of(list(_resolve(waiting + (group if kinds > 1 else []))) if waiting or kinds > 1 else [])
 
     pieces = pieces.select("key", "segment", "doc", "h", "start")

@@ -201,6 +201,17 @@ def test_passages(docs, monkeypatch):
     assert check() == want
 
 
+def test_more_shared_keys_than_the_least_filter_holds_need_no_join(spark, monkeypatch):
+    """Segments that are alone stay where they are, however many keys are shared; the filter grows with these."""
+    monkeypatch.setattr(passages, "FILTER_BITS", 15)
+    words = [f"{i * 7919 % 100003} {i} and" for i in range(8000)]
+    rows = passages._rows(spark.createDataFrame([(1, " ".join(words)), (2, "x" + " ".join(words[:4000])), (3, " ".join(f"{w}ly" for w in words))], "doc_id long, text string"))
+    made, whole = [], passages.bit_filter
+    monkeypatch.setattr(passages, "bit_filter", lambda df, slot, bits: made.append(bits) or whole(df, slot, bits))
+    plan = passages.removable(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and made[-1] > 15 and passages.FILTER_KEYS > 1 << 28
+
+
 def test_whole_copies(spark, monkeypatch):
     """Copies of a smaller doc_id go, whether or not their slot tells; the same doc_id and null ones stay."""
     rows = [(5, PASSAGE), (5, PASSAGE), (9, PASSAGE), (None, PASSAGE), (7, "short"), (8, "short"), (11, PASSAGE + "tail")]
