@@ -33,18 +33,20 @@ def deduplicate(observations: DataFrame, listed: bool = False) -> DataFrame:
     keyed = with_identity_keys(texts, {f"_n_{c}": "_d_auction_date" if c == "auction_date" else c for c in TEXTS}).withColumn("sale_key", _joined([F.col(f"_n_{c}") for c in KEY]))
     keyed = keyed.withColumn("group_key", F.coalesce(F.concat(F.lit("live:"), F.col("sale_key")), F.concat(F.lit("weak:"), F.col("obs_id"))))
     # A field is in conflict if its normalized values differ: the least and the greatest do.
+    # Those of the key are the same in all rows of a sale, so only weak identities need comparing by them.
     norm = {c: F.nullif(F.col(f"_n_{c}"), F.lit("")) for c in TEXTS}
+    norm |= {c: F.when(F.col("sale_key").isNull(), norm[c]) for c in KEY}
     missing = F.col("minor").isNull()
     norm["amount"] = F.when(missing, "missing").otherwise(F.concat_ws(":", "currency", F.col("minor").cast("string")))
     norm["currency"] = F.when(missing, "missing").otherwise(F.col("currency"))
     norm["price_basis"] = F.col("price_basis")
     differ = [F.when(F.min(v) != F.max(v), F.lit(c)) for c, v in norm.items()]
     order, by_hand = F.struct("row_idx", "obs_id"), F.coalesce("collector_excluded", F.lit(False))
-    firsts = F.min_by(F.struct("obs_id", "currency", "minor", "auction_house", "reference"), order)
+    firsts = F.min(F.struct(order.alias("order"), "currency", "minor", "auction_house", "reference"))
     has = lambda basis: F.bool_or(F.coalesce(F.col("price_basis") == basis, F.lit(False)))
     item = F.struct("row_idx", "obs_id", "source", "price_basis", "currency", "minor", "collector_excluded", "collector_reason", *TEXTS)
     rows = keyed.groupBy("group_key").agg(
-        F.first("sale_key").alias("sale_key"), firsts.alias("first"), F.count(F.lit(1)).alias("n"), F.array_compact(F.array(*differ)).alias("conflicts"),
+        firsts.alias("first"), F.count(F.lit(1)).alias("n"), F.array_compact(F.array(*differ)).alias("conflicts"),
         F.min_by(F.when(by_hand, F.struct(F.coalesce("collector_reason", F.lit("collector-excluded")).alias("reason"))), F.when(by_hand, order)).alias("by_hand"),
         F.bool_and(F.coalesce(F.col("price_basis") == "hammer", F.lit(False))).alias("hammer"), *(has(b).alias(f"has_{b}") for b in ("estimate", "unsold", "missing")),
         F.collect_set("source").alias("sources"), F.min("auction_date").alias("first_date"), F.max("auction_date").alias("last_date"),
@@ -55,7 +57,7 @@ def deduplicate(observations: DataFrame, listed: bool = False) -> DataFrame:
     judged = rows.withColumn("exclusion_reason", reason)
     counted = F.col("exclusion_reason").isNull()
     return judged.select(
-        "group_key", "sale_key", F.col("first.obs_id").alias("first_id"), "n",
+        "group_key", F.when(F.col("group_key").startswith("live:"), F.substr("group_key", F.lit(6))).alias("sale_key"), F.col("first.order.obs_id").alias("first_id"), "n",
         F.when(F.col("by_hand").isNull(), F.col("conflicts")).otherwise(F.array().cast("array<string>")).alias("conflict_fields"),
         F.when(counted, "included").otherwise("excluded").alias("inclusion"), "exclusion_reason", F.when(counted, F.col("first.currency")).alias("currency"),
         F.when(counted, F.col("first.minor")).alias("minor"), squash(F.col("first.auction_house").cast("string")).alias("house"), F.col("first.reference").alias("reference"),

@@ -28,17 +28,19 @@ def sale_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sale observation for each line of an order; returned lines are unsold, new ones estimates."""
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     basis = F.when(F.col("l_returnflag") == "A", "hammer").when(F.col("l_returnflag") == "N", "estimate").otherwise("unsold")
-    rows = line.select(
-        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")).alias("row_idx"), "l_partkey",
+    # Lines meet their part as they are read; what is made of them is not moved.
+    read = line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_returnflag", "l_linestatus")
+    met = read.join(part.select("p_partkey", F.col("p_brand").alias("reference")), F.col("l_partkey") == F.col("p_partkey"))
+    return met.select(
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")).alias("row_idx"),
         F.concat_ws(".", "l_orderkey", "l_linenumber", "l_partkey", _minor(F.col("l_extendedprice"))).alias("obs_id"),
         F.concat(F.lit("H"), F.col("l_suppkey")).alias("auction_house"), F.concat(F.lit("S"), F.col("l_orderkey")).alias("house_sale_id"),
         F.col("l_linenumber").cast("string").alias("lot_number"), F.lit(None).cast("string").alias("auction_name"), F.to_date("l_shipdate").alias("auction_date"),
         basis.alias("price_basis"), currency_of(F.col("l_suppkey")).alias("currency"), _minor(F.col("l_extendedprice")).alias("minor"),
         F.element_at(F.array(*map(F.lit, ("Fine and below", "VF", "EF", "AU/Mint State"))), (F.col("l_linenumber") % 4 + 1).cast("int")).alias("grade"),
         F.when(F.col("l_linestatus") == "O", "acsearch").otherwise("coinarchives").alias("source"),
-        F.lit(False).alias("collector_excluded"), F.lit(None).cast("string").alias("collector_reason"),
+        F.lit(False).alias("collector_excluded"), F.lit(None).cast("string").alias("collector_reason"), "reference",
     )
-    return rows.join(part.select("p_partkey", F.col("p_brand").alias("reference")), F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "p_partkey")
 
 
 def provider_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from quaestor.operators import lots, provider
+from quaestor.operators import evidence, lots, provider
+from quaestor.plans import views
 
 
 def _plan(df):
@@ -26,3 +27,10 @@ def test_only_names_are_moved(spark, tmp_path):
 def test_links_of_a_page_are_read_once(spark, tmp_path):
     spark.createDataFrame([("<p>", "nero", "a", "USD")], "html string, term string, section string, currency string").write.parquet(f"{tmp_path}/pages")
     assert _plan(provider.read_pages(spark.read.parquet(f"{tmp_path}/pages"), "https://r.example", F.lit("1997-01-01").cast("date"))).count('''href=["']([^"']+)["']''') <= 2
+
+
+def test_lines_meet_their_part_before_texts_are_made(spark, data):
+    """Below the join of sale observations are the columns of the tables alone; keys are not compared within a sale."""
+    rows = views.sale_obs(spark, data)
+    assert "concat" not in _plan(rows).split("Join Inner", 1)[1]
+    assert "first(sale_key" not in _plan(evidence.deduplicate(rows))
