@@ -48,10 +48,23 @@ _AS_WRITTEN = {w: k for words in (ABBREVIATION, MARK, IN_RANGE) for k, group in
 _ANY_CASE = {w: k for words in (NAME, BARE, PRAISE, IN_RANGE_NAME) for k, group in enumerate(words) for w in group.split("|") if w}
 _WORDS = "|".join(sorted([*("".join("\\" + c if c in "./" else c for c in w) for w in _AS_WRITTEN), *(f"(?iu:{w})" for w in _ANY_CASE)], key=lambda w: len(w.removeprefix("(?iu:")) - w.count("\\") - (1 if w.startswith("(?iu:") else 0), reverse=True))
 _QUALIFIER = rf"(?:(?iu:{_any(QUALIFIERS)})[.,]?\s+|[qQ]\.?|m(?=\p{{Lu}}))"
-_CANDIDATE = rf"{_BEGIN}((?:{_QUALIFIER}){{0,2}}?)({_WORDS})(\+*)(★?(?:\s?\d{{1,2}}(?:/\d{{1,2}})?)?){_END}"
+
+
+def _openings(words: list[str], letters: int = 3) -> str:
+    """What any of the words begins with, letter by letter, so that most words of a text are told at a glance."""
+    following: dict[str, list[str]] = {}
+    for w in words:
+        following.setdefault(w[:1].lower(), []).append(w[1:])
+    quoted = lambda c: "\\" + c if c in "./" else c
+    return "|".join((quoted(c) + (f"(?:{_openings(rest, letters - 1)})" if letters > 1 else "")) if c else r"(?!\p{L})" for c, rest in sorted(following.items()))
+
+
+_OPENS = rf"(?=[qQ]|m\p{{Lu}}|(?iu:{_openings([*_AS_WRITTEN, *_ANY_CASE, *QUALIFIERS.split()])}))"
+_CANDIDATE = rf"{_BEGIN}{_OPENS}((?:{_QUALIFIER}){{0,2}}?)({_WORDS})(\+*)(★?(?:\s?\d{{1,2}}(?:/\d{{1,2}})?)?){_END}"
 _NUMBER = r"\d{1,3}(?:[.,]\d{1,3})?"
 _ESTIMATE = rf"(?:US\$|[$€£¥]|(?:{_any(CURRENCIES)})(?!\p{{L}}))\s?\d"
-_CLOSES = rf"(?iu)^(?:$|[.;,:+\-)/!\"“”*★]|\s[-–(+&/]|\s(?:à|{_any(CLOSING_WORDS)}){_END}|\s{_NUMBER}\s?(?:{_any(UNITS)}){_END}|\s{_ESTIMATE})"
+_CLOSING_MARKS = ("", *".;,:+-)/!\"“”*★")
+_CLOSES = rf"(?iu)^(?:\s[-–(+&/]|\s(?:à|{_any(CLOSING_WORDS)}){_END}|\s{_NUMBER}\s?(?:{_any(UNITS)}){_END}|\s{_ESTIMATE})"
 _SIDE = rf"(?:{_any(SIDES)})\.?"
 _SIDE_BEFORE = rf"(?iu){_BEGIN}{_SIDE}\s+$"
 _MEASURED = rf"(?:\d[.,]\d+\s?(?:g|gr|gm)\.?|\d\s?mm\.?|{_BEGIN}(?:g|gr|gm)\.?\s?\d{{1,3}}[.,]\d{{1,3}})\)?(?:\s[-–])?\s+$"
@@ -68,17 +81,18 @@ _SPANISH = rf"(?iu)(?:\d\s?(?:g|gr|mm)|(?<!\p{{L}})(?:{_any(REMARKS)}))\.\s*$"
 _SLAB = r"\b(?:NGC|PCGS)\b"
 
 
-def _member(token: Column, words: tuple[str, ...], by: str = " ") -> Column:
-    return token.isin([w for group in words for w in group.split(by) if w])
+def _kinds() -> tuple[dict[str, tuple[str, int]], dict[str, tuple[str, int]]]:
+    """Kind and bucket of each word: as written, and in any case."""
+    tables = (("range", IN_RANGE, " "), ("abbreviation", ABBREVIATION, " "), ("mark", MARK, " "), ("mark", MARK_OF_TWO, "|")), (("range", IN_RANGE_NAME, "|"), ("bare", BARE, "|"), ("praise", PRAISE, "|"), ("name", NAME, "|"))
+    written, lower = ({w: (kind, k) for kind, table, by in group for k, words in enumerate(table) for w in words.split(by) if w} for group in tables)
+    return written, {w.lower(): of for w, of in lower.items()}
 
 
-def _lower_member(token: Column, words: tuple[str, ...]) -> Column:
-    return F.lower(token).isin([w.lower() for group in words for w in group.split("|") if w])
-
-
-def _bucket(token: Column) -> Column:
-    number = lambda table: F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
-    return F.coalesce(F.try_element_at(number(_AS_WRITTEN), token), F.try_element_at(number({w.lower(): k for w, k in _ANY_CASE.items()}), F.lower(token)))
+def _told(token: Column) -> Column:
+    """Kind and bucket of a word, in one look."""
+    told = lambda of: F.struct(F.lit(of[0]).alias("kind"), F.lit(of[1]).alias("bucket"))
+    written, lower = (F.create_map(*(x for w, of in table.items() for x in (F.lit(w), told(of)))) for table in _kinds())
+    return F.coalesce(F.try_element_at(written, token), F.try_element_at(lower, F.lower(token)), F.struct(F.lit("name").alias("kind"), F.lit(None).cast("int").alias("bucket")))
 
 
 def _piece(text: Column, begin: Column, end: Column) -> Column:
@@ -90,15 +104,16 @@ def _words_of(text: Column) -> Column:
     marked = F.split(F.regexp_replace(text, _CANDIDATE, "\u0001$1\u0002$2\u0002$3\u0002$4\u0001"), "\u0001", -1)
 
     def placed(pieces: Column) -> Column:
-        lengths = F.transform(pieces, lambda p: F.length(F.replace(p, F.lit("\u0002"), F.lit(""))))
-        ends = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        number = F.call_function("div", F.size(pieces), F.lit(2)).cast("int")
+        none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,quals:string,token:string,plus:string,slab:string>>").alias("words"))
 
-        def word(k: Column, ends: Column) -> Column:
-            parts = F.split(F.get(pieces, 2 * k + 1), "\u0002", -1)
-            return let(parts, lambda p: F.struct(F.get(ends, 2 * k + 1).alias("start"), F.get(p, F.lit(0)).alias("quals"), F.get(p, F.lit(1)).alias("token"), F.get(p, F.lit(2)).alias("plus"), F.get(p, F.lit(3)).alias("slab")))
+        def add(acc: Column, k: Column) -> Column:
+            start, said = acc["end"] + F.length(F.get(pieces, 2 * k)), F.get(pieces, 2 * k + 1)
+            word = let(F.split(said, "\u0002", -1), lambda p: F.struct(start.alias("start"), F.get(p, F.lit(0)).alias("quals"), F.get(p, F.lit(1)).alias("token"), F.get(p, F.lit(2)).alias("plus"), F.get(p, F.lit(3)).alias("slab")))
+            # Three marks part what is said.
+            return F.struct((start + F.length(said) - 3).alias("end"), F.concat(acc["words"], F.array(word)).alias("words"))
 
-        number = F.call_function("div", F.size(pieces), F.lit(2)).cast("int")
-        return let(ends, lambda e: F.transform(F.slice(F.sequence(F.lit(0), F.greatest(number, F.lit(1)) - 1), F.lit(1), number), lambda k: word(k, e)))
+        return F.aggregate(F.slice(F.sequence(F.lit(0), F.greatest(number, F.lit(1)) - 1), F.lit(1), number), none, add, lambda acc: acc["words"])
 
     return let(marked, placed)
 
@@ -110,15 +125,21 @@ def _edged(text: Column, words: Column) -> Column:
         before = _piece(text, F.greatest(x["start"] - EDGE, F.lit(0)), x["start"])
 
         def ended(b: Column) -> Column:
-            slabbed = x["quals"].rlike(_SLAB) | F.element_at(F.split(b, "[.;:(]", -1), -1).rlike(_SLAB) | ((x["start"] == 0) & x["token"].isin("MS", "Gem MS"))
+            named = (b.contains("NGC") | b.contains("PCGS")) & F.element_at(F.split(b, "[.;:(]", -1), -1).rlike(_SLAB)
+            slabbed = ((x["quals"] != "") & x["quals"].rlike(_SLAB)) | named | ((x["start"] == 0) & x["token"].isin("MS", "Gem MS"))
             core = x["start"] + F.length(x["quals"]) + F.length(x["token"])
-            end = core + F.length(x["plus"]) + F.when(slabbed, F.length(x["slab"])).otherwise(0)
-            return F.struct(
-                x["start"].alias("start"), end.alias("end"), x["quals"].alias("quals"), x["token"].alias("token"), slabbed.alias("slabbed"), b.alias("before"),
-                F.substring(text, end + 1, EDGE).alias("tail"), F.substring(text, core + 1, 2 * EDGE).alias("rest"),
-                _piece(text, F.greatest(x["start"] - CITATION, F.lit(0)), x["start"]).rlike(_CITED).alias("cited"),
-                (_member(x["token"], IN_RANGE) | _lower_member(x["token"], IN_RANGE_NAME)).alias("in_range"),
-            )
+            # Spaces are single here, so what ends in a comma and white space ends in a comma or a comma and a space.
+            cited = F.rtrim(b).endswith(",") & _piece(text, F.greatest(x["start"] - CITATION, F.lit(0)), x["start"]).rlike(_CITED)
+
+            def read(slabbed: Column) -> Column:
+                end = core + F.length(x["plus"]) + F.when(slabbed, F.length(x["slab"])).otherwise(0)
+                return F.struct(
+                    x["start"].alias("start"), end.alias("end"), x["quals"].alias("quals"), x["token"].alias("token"), slabbed.alias("slabbed"), b.alias("before"),
+                    F.substring(text, end + 1, EDGE).alias("tail"), F.substring(text, core + 1, 2 * EDGE).alias("rest"), cited.alias("cited"),
+                    _told(x["token"]).alias("told"),
+                )
+
+            return let(slabbed, read)
 
         return let(before, ended)
 
@@ -129,29 +150,31 @@ def _judged(text: Column, words: Column) -> Column:
     """Words with what their edges, and the word behind each, say of them."""
 
     def judge(x: Column, k: Column) -> Column:
-        later = F.get(words, k + 1)
-        gap = _piece(text, x["end"], later["start"])
+        # What a label or a quotation ends in, before any pattern is tried.
+        hint = F.upper(F.substring(F.rtrim(x["before"], F.lit(" :\"“'")), -2, 2)).isin("NG", "DE", "ON", "ÓN", "AS", "ED", "RE")
+        return let(hint, lambda h: let(F.struct((h & x["before"].rlike(_LABEL)).alias("label"), (h & x["before"].rlike(_QUOTED)).alias("quoted")), lambda b: read(x, F.get(words, k + 1), b["label"], b["quoted"])))
+
+    def read(x: Column, later: Column, label: Column, quoted: Column) -> Column:
+        """What only words of some kinds are asked for is null for the others."""
+        kind, gap = x["told"]["kind"], _piece(text, x["end"], later["start"])
         beside = F.coalesce((later["start"] - x["end"]) <= EDGE, F.lit(False))
         before, tail, token, quals = x["before"], x["tail"], x["token"], x["quals"]
         first = x["start"] == 0
         metal = (token == "AU") & ~x["slabbed"] & (tail.rlike(_METAL) | (before.rlike(rf"(?iu){_BEGIN}gold\s*\(\s*$") & tail.startswith(")")) | before.rlike(_COIN))
-        side, measured, label = before.rlike(_SIDE_BEFORE), before.rlike(_MEASURED), before.rlike(_LABEL)
+        side, measured = before.endswith(" ") & before.rlike(_SIDE_BEFORE), before.endswith(" ") & before.rlike(_MEASURED)
         opened = first | before.rlike(r"[.;,:(/]\s*$") | side | measured
         cited = (quals == "") & x["cited"]
         control = (before.endswith("(") & x["rest"].startswith(")")) | before.rlike(r"(?<![\p{L}\d])\p{Ll}+:\s*$") | before.rlike(rf"(?iu){_BEGIN}(?:{_any(PLACES)})\.?\s*,\s*$")
         described = before.rlike(r"(?<![\p{L}\d])\p{Ll}\p{L}*\.\s*$") & ~((token == "S/C") & before.rlike(_SPANISH))
         alone = first | (before.rlike(r"\.\s*$") & ~side & ~described) | (quals != "") | label
-        kind = (
-            F.when(x["in_range"], "range").when(_member(token, ABBREVIATION), "abbreviation").when(_member(token, MARK) | _member(token, MARK_OF_TWO, "|"), "mark")
-            .when(_lower_member(token, BARE), "bare").when(_lower_member(token, PRAISE), "praise").otherwise("name")
-        )
+        senate = token.isin("SC", "S/C")
         return F.struct(
-            x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"), _bucket(token).alias("bucket"), label.alias("label"), before.rlike(_QUOTED).alias("quoted"),
-            (metal | ((token == "PR") & x["slabbed"])).alias("no_grade"), (token == "AU").alias("au"), (tail.rlike(_CLOSES) | (beside & gap.rlike(_AND))).alias("closed"),
-            opened.alias("opened"), (F.concat(quals, token).rlike(r"\p{Lu}") | cited).alias("capital"), (quals != "").alias("qualified"), metal.alias("metal"),
-            (quals.rlike(rf"(?iu)^(?:{_any(FINE_QUALIFIERS)})\b")).alias("fine_qualified"), x["rest"].rlike(_STYLE).alias("style"), control.alias("control"),
-            token.isin("SC", "S/C").alias("senate"), (tail.rlike(r"^\s[-–(]")).alias("aside"), alone.alias("alone"),
-            (first | before.rlike(r"[.;,:/]\s*$") | measured).alias("clause"), F.coalesce(beside & ~later["in_range"] & (gap.rlike(_RANGE) | gap.rlike(_SIDE_BETWEEN)), F.lit(False)).alias("opens_range"),
+            x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"), x["told"]["bucket"].alias("bucket"), label.alias("label"), quoted.alias("quoted"),
+            (metal | ((token == "PR") & x["slabbed"])).alias("no_grade"), (F.substring(tail, 1, 1).isin(*_CLOSING_MARKS) | tail.rlike(_CLOSES) | (beside & gap.rlike(_AND))).alias("closed"),
+            F.when(kind.isin("bare", "mark"), opened).alias("opened"), F.when(kind.isin("name", "bare"), F.concat(quals, token).rlike(r"\p{Lu}") | cited).alias("capital"), (quals != "").alias("qualified"), metal.alias("metal"),
+            F.when(kind == "bare", quals.rlike(rf"(?iu)^(?:{_any(FINE_QUALIFIERS)})\b")).alias("fine_qualified"), F.when(kind == "bare", x["rest"].rlike(_STYLE)).alias("style"), F.when(kind == "mark", control).alias("control"),
+            senate.alias("senate"), F.when(senate, tail.rlike(r"^\s[-–(]")).alias("aside"), F.when(senate, alone).alias("alone"),
+            F.when(kind == "praise", first | before.rlike(r"[.;,:/]\s*$") | measured).alias("clause"), F.when(kind == "range", F.coalesce(beside & (later["told"]["kind"] != "range") & (gap.rlike(_RANGE) | gap.rlike(_SIDE_BETWEEN)), F.lit(False))).alias("opens_range"),
         )
 
     return F.transform(words, judge)
@@ -189,8 +212,17 @@ def _counted(text: Column, words: Column) -> Column:
     return F.aggregate(words, start, step, lambda acc: F.when(acc["labelled"], acc["now"]).otherwise(F.coalesce(acc["kept"], acc["now"])))
 
 
+def _plain(text: Column) -> Column:
+    """Whether a text is ASCII with single spaces alone, told without a pattern."""
+    test = F.octet_length(text) == F.length(text)
+    for run in ("  ", *"\t\n\v\f\r"):
+        test = test & ~text.contains(run)
+    return test
+
+
 def grade_of(description: Column) -> Column:
     """The bucket of the grade that a description states; null where it states none, or is null or empty."""
-    clean = F.substring(squash(F.regexp_replace(description, "[\u0001\u0002]", " ")), 1, LIMIT)
+    unmarked = F.replace(F.replace(F.coalesce(description, F.lit("")), F.lit("\u0001"), F.lit(" ")), F.lit("\u0002"), F.lit(" "))
+    clean = let(unmarked, lambda t: F.substring(F.when(_plain(t), F.trim(t)).otherwise(squash(t)), 1, LIMIT))
     number = let(clean, lambda t: let(_words_of(t), lambda w: let(_edged(t, w), lambda e: let(_judged(t, e), lambda j: _counted(t, j)))))
     return F.get(F.array(*map(F.lit, BUCKETS)), number)

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from quaestor.functions import grades
 from quaestor.operators import evidence, lots, provider
 from quaestor.plans import views
 
@@ -34,3 +35,9 @@ def test_lines_meet_their_part_before_texts_are_made(spark, data):
     rows = views.sale_obs(spark, data)
     assert "concat" not in _plan(rows).split("Join Inner", 1)[1]
     assert "first(sale_key" not in _plan(evidence.deduplicate(rows))
+
+
+def test_grades_are_sought_where_a_word_can_begin_one():
+    """Most words of a text are told by their first letters."""
+    begins = re.compile(grades._OPENS.replace(r"\p{L}", "a-zA-Z").replace("(?!a-zA-Z)", "(?![a-zA-Z])").replace(r"m\p{Lu}", "m[A-Z]").replace("(?iu:", "(?i:"))
+    assert [w for w in "Trajan Denarius RIC style struck Stempel stadt vzor VF ss. très qSPL mMS Nearly".split() if begins.match(w)] == ["Stempel", "VF", "ss.", "très", "qSPL", "mMS", "Nearly"]
