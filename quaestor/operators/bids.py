@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: What a command may be, and why it may be refused, in the order of the checks.
 COMMANDS = ("bid.plan", "bid.place", "bid.cancel", "lot.outcome.set", "lot.delete")
 REFUSALS = ("not-found", "conflict", "not-open", "no-plan", "no-bid", "collection-link", "active-bid")
@@ -21,7 +23,9 @@ def apply(lots: DataFrame, commands: DataFrame) -> DataFrame:
     command refused, bids what was done to the lot's bids, in order. A lot without commands stays as it is;
     commands for no lot are dropped, see orphans. The log of a lot is folded in its order, so it is held in one place.
     """
-    once = commands.withColumn("_n", F.row_number().over(Window.partitionBy("request_id").orderBy("seq"))).filter("_n = 1")
+    # No command stands before the first of its request. Asked so, rows are put in order once they are dealt, and not before it too.
+    before = F.lag(F.lit(1)).over(Window.partitionBy("request_id").orderBy("seq"))
+    once = commands.withColumn("_before", before).filter("_before IS NULL")
     logs = once.groupBy(F.col("lot_id").alias("_lot")).agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "expected", "amount", "outcome"))).alias("log"))
     begin = F.struct(
         F.lit(True).alias("live"), F.col("revision").cast("bigint").alias("revision"), F.col("planned").cast("bigint").alias("planned"), F.col("active").cast("bigint").alias("active"),
@@ -29,14 +33,19 @@ def apply(lots: DataFrame, commands: DataFrame) -> DataFrame:
     )
 
     def step(s: Column, c: Column) -> Column:
+        return let(F.struct(refused(s, c).alias("reason")), lambda r: done(s, c, r["reason"]))
+
+    def refused(s: Column, c: Column) -> Column:
         kind, bid = c["kind"], c["kind"].isin("bid.plan", "bid.place", "bid.cancel")
-        reason = (
+        return (
             F.when(~s["live"], "not-found").when(~c["expected"].eqNullSafe(s["revision"]), "conflict")
             .when(bid & (s["outcome"] != "open"), "not-open").when((kind == "bid.plan") & c["amount"].isNull() & s["planned"].isNull(), "no-plan")
             .when((kind == "bid.cancel") & s["active"].isNull(), "no-bid")
             .when((kind == "lot.delete") & F.col("linked"), "collection-link").when((kind == "lot.delete") & s["active"].isNotNull(), "active-bid")
         )
-        good = reason.isNull()
+
+    def done(s: Column, c: Column, reason: Column) -> Column:
+        kind, good = c["kind"], reason.isNull()
         plan, place = good & (kind == "bid.plan"), good & (kind == "bid.place")
         gone = good & kind.isin("bid.cancel", "lot.outcome.set")
         did = lambda test, action, amount: F.when(test, F.struct(action.alias("action"), amount.cast("bigint").alias("amount")))

@@ -221,6 +221,7 @@ s AS (SELECT o_orderkey AS id, 0 AS k, true AS live, CAST(0 AS BIGINT) AS revisi
 def bid_commands(spark, sf_dir):
     """The lines of an order as commands on it, each sent twice."""
     own, rows = _bid_commands(spark, sf_dir)
-    state = bids.apply(own, rows.withColumn("seq", F.col("seq") * 2).union(rows.withColumn("seq", F.col("seq") * 2 + 1)))
+    twice = F.explode(F.array(F.col("seq") * 2, F.col("seq") * 2 + 1))
+    state = bids.apply(own, rows.withColumn("seq", twice))
     text = F.array_join(F.transform("refusals", lambda x: F.concat_ws(":", F.floor(x["seq"] / 2), x["reason"])), " ")
     return state.select("id", "live", "revision", "planned", "active", "outcome", text.alias("refusals"))

@@ -5,8 +5,9 @@ import re
 from pyspark.sql import functions as F
 
 from quaestor.functions import grades
-from quaestor.operators import evidence, lots, provider
+from quaestor.operators import bids, evidence, lots, provider
 from quaestor.plans import views
+from quaestor.plans.queries import QUERIES
 
 
 def _plan(df):
@@ -41,3 +42,13 @@ def test_grades_are_sought_where_a_word_can_begin_one():
     """Most words of a text are told by their first letters."""
     begins = re.compile(grades._OPENS.replace(r"\p{L}", "a-zA-Z").replace("(?!a-zA-Z)", "(?![a-zA-Z])").replace(r"m\p{Lu}", "m[A-Z]").replace("(?iu:", "(?i:"))
     assert [w for w in "Trajan Denarius RIC style struck Stempel stadt vzor VF ss. très qSPL mMS Nearly".split() if begins.match(w)] == ["Stempel", "VF", "ss.", "très", "qSPL", "mMS", "Nearly"]
+
+
+def test_commands_are_put_in_order_once_they_are_dealt(spark, data):
+    """Not before it as well, and the lines that commands are made of are numbered once, though each is sent twice."""
+    plan = QUERIES["bid_commands"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" not in plan and plan.count("Window [row_number()") == 1
+    lots = spark.createDataFrame([(1, 0, None, None, "open", False), (2, 0, None, None, "open", False)], "id long, revision long, planned long, active long, outcome string, linked boolean")
+    sent = [(1, "a", 2, "bid.place", 0, 500, None), (1, "a", 3, "bid.place", 1, 600, None), (2, "a", 1, "bid.place", 0, 7, None), (1, None, 4, "bid.place", 0, 9, None)]
+    made = bids.apply(lots, spark.createDataFrame(sent, "lot_id long, request_id string, seq long, kind string, expected long, amount long, outcome string"))
+    assert {r.id: r.active for r in made.collect()} == {1: 9, 2: 7}
