@@ -282,6 +282,18 @@ def test_weights_are_learnt_on_all_words(spark, monkeypatch):
         assert met.agg(F.sum("met")).first()[0] == times * bits
 
 
+def test_bits_count_as_often_as_words_occur(spark, monkeypatch):
+    """ab five times and ac twice: behind all but their last bit, and in what is learnt."""
+    units = spark.createDataFrame([(b"ab", 3, 5), (b"ac", 3, 2), (b"held", 3, 0)], "word binary, state long, c long")
+    table = lm.bit_counts(units, 2)
+    bits = next(lm.blocks([b"ab"], np.array([3]), lm.LEAST_BITS))
+    for k in (4, 5):  # all of the word so far, and the state too
+        assert table[:, bits.slot[k][0]].tolist() == [7, 0] and table[:, bits.slot[k][15]].tolist() == [5, 2]
+    monkeypatch.setattr(lm, "LESSON", 2)
+    met = lm.learnt(units, table_of_zeros(), 2).filter(F.col("at") % (2 * lm.ORDERS + 1 + lm.CELLS) == 0)
+    assert met.agg(F.sum("met")).first()[0] == 8 * 3 * (5 + 2)
+
+
 def test_lm_does_not_hang_on_partitions(spark, data, monkeypatch):
     """The same scores however rows are dealt, with several shards of lessons and with one."""
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
