@@ -244,6 +244,7 @@ def confirmed(documents: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     that are linked with the pivot, or is found; what moves grows with the group and with the
     rest of it, not with its square.
     """
+    pairs = cut(pairs)  # they cost the trees, and are asked for again where groups are large
     group = cut(components(pairs))
     sizes = group.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     sized = cut(group.join(sizes, "component").select("id", "component", F.ceil(F.col("size") / CELL).cast("int").alias("blocks")))
@@ -272,7 +273,7 @@ def confirmed(documents: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     if not large.take(1):
         return links
     degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    pivots = large.join(degree, "id").groupBy("component").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("pivot"))
+    pivots = cut(large.join(degree, "id").groupBy("component").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("pivot")))
     gathered = kept(sets.join(large, F.col("doc_id") == F.col("id")).select("id", "component", "blocks", "block", "set"))
     cell = lambda *c: F.xxhash64("component", *c).alias("cell")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")

@@ -191,6 +191,32 @@ def test_components_of_a_path(spark):
     assert {r.id: r.component for r in graph.components(edges).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
+def test_tasks_of_components_follow_their_edges(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")
+    settings = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = graph.components(edges)
+        assert found.rdd.getNumPartitions() <= 2 * graph.LEAST
+        assert {r.id: r.component for r in found.collect()} == dict.fromkeys(range(10), 0)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_candidate_pairs_are_worked_out_once(spark, monkeypatch):
+    texts = [(d, " ".join(f"w{i}" for i in range(100)) + f" own{d}") for d in range(12)]
+    seen = spark.sparkContext.accumulator(0)
+    told = F.udf(lambda b: seen.add(1) or b, "long")
+    pairs = spark.range(1, 12).select(F.lit(0).cast("long").alias("a"), told("id").alias("b"))
+    monkeypatch.setattr(neardup, "CELL", 4)  # a large group asks for pairs again, for its pivot
+    links = neardup.confirmed(spark.createDataFrame(texts, "doc_id long, text string"), pairs, 4)
+    assert {r.id: r.component for r in graph.components(links).collect()} == dict.fromkeys(range(12), 0)
+    assert seen.value == 11
+
+
 def test_passages(docs, monkeypatch):
     want = brute.passages(TEXTS)
     check = lambda: {r.doc_id: tuple(r[1:]) for r in passages.digests(docs).collect()}
