@@ -297,6 +297,29 @@ def test_every_byte_of_a_long_word_is_coded(monkeypatch):
         assert lm.Mixer().log10(words, states, told) == pytest.approx(whole)
 
 
+def test_slots_are_told_once_for_all_bits_that_ask():
+    """Logs of a slot's counts are worked out once, and say the same as those of the counts."""
+    counts = np.random.default_rng(4).integers(0, 9, (2, 1 << lm.LEAST_BITS)).astype("f4")
+    told = lm.Predictors(counts)
+    bits = next(lm.blocks([b"abc", b"de"], np.array([3, 4]), lm.LEAST_BITS))
+    x, _ = told.inputs(bits)
+    assert told.plain() is told.plain()
+    for k in range(lm.ORDERS):
+        n0, n1 = counts[:, bits.slot[k]]
+        assert x[k] == pytest.approx(np.log((n1 + 0.02) / (n0 + 0.02)), abs=1e-5)
+
+
+def test_every_byte_of_a_long_word_is_in_its_hash():
+    texts = [b"  " + b"x" * 200, b"x" * 199 + b"y", b"", b" ", b"x" * 200 + b"  z", b"x" * 30]
+    own = lm.Words(texts, np.zeros((1, lm.PAIRS)), np.zeros(1))
+    words = [own.flat[s : s + n].tobytes() for s, n in zip(own.start, own.size, strict=True)]
+    assert [bytes(w) for t in texts for w in (*t.split(), b"")] == words
+    said = {}
+    for w, state, h in zip(words, own.state.tolist(), own.hash.tolist(), strict=True):
+        assert said.setdefault((w, state), h) == h
+    assert len(set(said.values())) == len(said)
+
+
 def test_weights_are_learnt_on_all_words(spark, monkeypatch):
     """Every bit of every training pair of state and word, of many more than a draw would hold."""
     words = [f"w{i:x}".encode() for i in range(60_000)]
