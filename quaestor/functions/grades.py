@@ -4,7 +4,8 @@ Every word of a grade is set off in one pass over the text; each becomes a struc
 stands on either side of it, in windows of fixed width. Then a fold over these decides, in
 order, which are grades: by kind a word needs a capital, an opening or a closing edge. Grades
 joined by a range or by the sides of a coin are one statement, worth its lower end; the last
-statement counts, or the last one behind a label.
+statement counts, or the last one behind a label. Windows are taken from a block of words and the
+text around them, so that costs grow with the length of a text, not with its square.
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ from pyspark.sql import functions as F
 
 from .text import let, squash
 
-#: A text is read up to LIMIT characters, EDGE of them on either side of a word, CITATION before one.
+#: Characters that a column of a result page reads of a text; EDGE of them on either side of a word, CITATION before one.
 LIMIT, EDGE, CITATION = 3000, 24, 160
+#: Words whose windows are taken from one text, and words of it before them and behind. A word and what parts it from the next
+#: are two characters or more, so that BEFORE of them hold CITATION, and BEHIND what is read behind a word and the next one.
+BLOCK, BEFORE, BEHIND = 64, 96, 32
 #: Fixed values from here on: the buckets in order, and the words that mean each, by kind.
 BUCKETS = ("Fine and below", "VF", "EF", "AU/Mint State")
 ABBREVIATION = ("gF aF VG", "VF gVF aVF GVF NVF nVF", "EF XF gEF aEF GEF NEF nEF", "FDC UNC AU Fdc aUNC AUNC")
@@ -99,23 +103,27 @@ def _piece(text: Column, begin: Column, end: Column) -> Column:
     return F.substring(text, begin + 1, F.greatest(end - begin, F.lit(0)))
 
 
-def _words_of(text: Column) -> Column:
-    """Every word a grade may be: where it starts, its qualifiers, itself, its plus signs and what a slab prints behind it."""
+def _pieces(text: Column) -> Column:
+    """What stands between the words a grade may be, and these, in turn; a word is its qualifiers, itself, its plus signs and what
+    a slab prints behind it, parted by marks. Of what lies between two, only what windows reach is left."""
     marked = F.split(F.regexp_replace(text, _CANDIDATE, "\u0001$1\u0002$2\u0002$3\u0002$4\u0001"), "\u0001", -1)
+    ends = lambda p: F.concat(F.left(p, F.lit(3 * EDGE)), F.right(p, F.lit(CITATION + EDGE)))
+    return F.transform(marked, lambda p: F.when(F.length(p) > 4 * EDGE + CITATION, ends(p)).otherwise(p))
 
-    def placed(pieces: Column) -> Column:
-        number = F.call_function("div", F.size(pieces), F.lit(2)).cast("int")
-        none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,quals:string,token:string,plus:string,slab:string>>").alias("words"))
 
-        def add(acc: Column, k: Column) -> Column:
-            start, said = acc["end"] + F.length(F.get(pieces, 2 * k)), F.get(pieces, 2 * k + 1)
-            word = let(F.split(said, "\u0002", -1), lambda p: F.struct(start.alias("start"), F.get(p, F.lit(0)).alias("quals"), F.get(p, F.lit(1)).alias("token"), F.get(p, F.lit(2)).alias("plus"), F.get(p, F.lit(3)).alias("slab")))
-            # Three marks part what is said.
-            return F.struct((start + F.length(said) - 3).alias("end"), F.concat(acc["words"], F.array(word)).alias("words"))
+def _words_of(pieces: Column, begin: Column) -> Column:
+    """Every word of some pieces: where it starts, how far from the one before, its qualifiers, itself, its plus signs and what a
+    slab prints behind it. begin says whether a text begins with these pieces."""
+    number = F.call_function("div", F.size(pieces), F.lit(2)).cast("int")
+    none = F.struct(F.lit(0).alias("end"), F.lit(0).alias("begun"), F.array().cast("array<struct<start:int,far:int,first:boolean,quals:string,token:string,plus:string,slab:string>>").alias("words"))
 
-        return F.aggregate(F.slice(F.sequence(F.lit(0), F.greatest(number, F.lit(1)) - 1), F.lit(1), number), none, add, lambda acc: acc["words"])
+    def add(acc: Column, k: Column) -> Column:
+        start, said = acc["end"] + F.length(F.get(pieces, 2 * k)), F.get(pieces, 2 * k + 1)
+        word = let(F.split(said, "\u0002", -1), lambda p: F.struct(start.alias("start"), (start - acc["begun"]).alias("far"), (begin & (start == 0)).alias("first"), F.get(p, F.lit(0)).alias("quals"), F.get(p, F.lit(1)).alias("token"), F.get(p, F.lit(2)).alias("plus"), F.get(p, F.lit(3)).alias("slab")))
+        # Three marks part what is said.
+        return F.struct((start + F.length(said) - 3).alias("end"), start.alias("begun"), F.concat(acc["words"], F.array(word)).alias("words"))
 
-    return let(marked, placed)
+    return F.aggregate(F.slice(F.sequence(F.lit(0), F.greatest(number, F.lit(1)) - 1), F.lit(1), number), none, add, lambda acc: acc["words"])
 
 
 def _edged(text: Column, words: Column) -> Column:
@@ -126,7 +134,7 @@ def _edged(text: Column, words: Column) -> Column:
 
         def ended(b: Column) -> Column:
             named = (b.contains("NGC") | b.contains("PCGS")) & F.element_at(F.split(b, "[.;:(]", -1), -1).rlike(_SLAB)
-            slabbed = ((x["quals"] != "") & x["quals"].rlike(_SLAB)) | named | ((x["start"] == 0) & x["token"].isin("MS", "Gem MS"))
+            slabbed = ((x["quals"] != "") & x["quals"].rlike(_SLAB)) | named | (x["first"] & x["token"].isin("MS", "Gem MS"))
             core = x["start"] + F.length(x["quals"]) + F.length(x["token"])
             # Spaces are single here, so what ends in a comma and white space ends in a comma or a comma and a space.
             cited = F.rtrim(b).endswith(",") & _piece(text, F.greatest(x["start"] - CITATION, F.lit(0)), x["start"]).rlike(_CITED)
@@ -134,7 +142,7 @@ def _edged(text: Column, words: Column) -> Column:
             def read(slabbed: Column) -> Column:
                 end = core + F.length(x["plus"]) + F.when(slabbed, F.length(x["slab"])).otherwise(0)
                 return F.struct(
-                    x["start"].alias("start"), end.alias("end"), x["quals"].alias("quals"), x["token"].alias("token"), slabbed.alias("slabbed"), b.alias("before"),
+                    x["start"].alias("start"), end.alias("end"), x["far"].alias("far"), x["first"].alias("first"), x["quals"].alias("quals"), x["token"].alias("token"), slabbed.alias("slabbed"), b.alias("before"),
                     F.substring(text, end + 1, EDGE).alias("tail"), F.substring(text, core + 1, 2 * EDGE).alias("rest"), cited.alias("cited"),
                     _told(x["token"]).alias("told"),
                 )
@@ -159,7 +167,7 @@ def _judged(text: Column, words: Column) -> Column:
         kind, gap = x["told"]["kind"], _piece(text, x["end"], later["start"])
         beside = F.coalesce((later["start"] - x["end"]) <= EDGE, F.lit(False))
         before, tail, token, quals = x["before"], x["tail"], x["token"], x["quals"]
-        first = x["start"] == 0
+        first = x["first"]
         metal = (token == "AU") & ~x["slabbed"] & (tail.rlike(_METAL) | (before.rlike(rf"(?iu){_BEGIN}gold\s*\(\s*$") & tail.startswith(")")) | before.rlike(_COIN))
         side, measured = before.endswith(" ") & before.rlike(_SIDE_BEFORE), before.endswith(" ") & before.rlike(_MEASURED)
         opened = first | before.rlike(r"[.;,:(/]\s*$") | side | measured
@@ -169,7 +177,7 @@ def _judged(text: Column, words: Column) -> Column:
         alone = first | (before.rlike(r"\.\s*$") & ~side & ~described) | (quals != "") | label
         senate = token.isin("SC", "S/C")
         return F.struct(
-            x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"), x["told"]["bucket"].alias("bucket"), label.alias("label"), quoted.alias("quoted"),
+            x["far"].alias("far"), (x["end"] - x["start"]).alias("end"), before.alias("before"), kind.alias("kind"), x["told"]["bucket"].alias("bucket"), label.alias("label"), quoted.alias("quoted"),
             (metal | ((token == "PR") & x["slabbed"])).alias("no_grade"), (F.substring(tail, 1, 1).isin(*_CLOSING_MARKS) | tail.rlike(_CLOSES) | (beside & gap.rlike(_AND))).alias("closed"),
             F.when(kind.isin("bare", "mark"), opened).alias("opened"), F.when(kind.isin("name", "bare"), F.concat(quals, token).rlike(r"\p{Lu}") | cited).alias("capital"), (quals != "").alias("qualified"), metal.alias("metal"),
             F.when(kind == "bare", quals.rlike(rf"(?iu)^(?:{_any(FINE_QUALIFIERS)})\b")).alias("fine_qualified"), F.when(kind == "bare", x["rest"].rlike(_STYLE)).alias("style"), F.when(kind == "mark", control).alias("control"),
@@ -180,17 +188,36 @@ def _judged(text: Column, words: Column) -> Column:
     return F.transform(words, judge)
 
 
-def _counted(text: Column, words: Column) -> Column:
-    """The number of the bucket that counts, by a fold over the words in order."""
+def _judged_words(pieces: Column) -> Column:
+    """The judged words of a text, block by block."""
+    number = F.call_function("div", F.size(pieces), F.lit(2)).cast("int")
+    blocks = F.sequence(F.lit(0), F.call_function("div", F.greatest(number, F.lit(1)) - 1, F.lit(BLOCK)).cast("int"))
+
+    def block(b: Column) -> Column:
+        begin, own = F.greatest(b * BLOCK - BEFORE, F.lit(0)), F.least(b * BLOCK, F.lit(BEFORE))
+        around = F.slice(pieces, 2 * begin + 1, 2 * (own + BLOCK + BEHIND) + 1)
+        text = lambda p: F.replace(F.array_join(p, ""), F.lit("\u0002"), F.lit(""))
+        # With the next block's first word, which the last one is judged by.
+        words = lambda p: F.slice(_words_of(p, begin == 0), own + 1, F.lit(BLOCK + 1))
+        return F.slice(let(around, lambda p: let(text(p), lambda t: let(_edged(t, words(p)), lambda e: _judged(t, e)))), 1, BLOCK)
+
+    return F.flatten(F.transform(blocks, block))
+
+
+def _counted(words: Column) -> Column:
+    """The number of the bucket that counts, by a fold over the words in order. Ends are counted from where the word at hand starts."""
     none = F.lit(None).cast("int")
     state = lambda end, quoted, now, labelled, kept: F.struct(end.alias("end"), quoted.alias("quoted"), now.alias("now"), labelled.alias("labelled"), kept.alias("kept"))
     start = state(none, none, none, F.lit(False), none)
 
     def step(acc: Column, x: Column) -> Column:
-        near = lambda end: end.isNotNull() & ((x["start"] - end) <= EDGE)
-        since = _piece(text, F.coalesce(acc["quoted"], F.lit(0)), x["start"])
+        return let(state(acc["end"] - x["far"], acc["quoted"] - x["far"], acc["now"], acc["labelled"], acc["kept"]), lambda acc: told(acc, x))
+
+    def told(acc: Column, x: Column) -> Column:
+        near = lambda end: F.coalesce(end >= -EDGE, F.lit(False))
+        behind = lambda end: F.right(x["before"], -end)
+        since, gap = behind(acc["quoted"]), behind(acc["end"])
         quoted = x["quoted"] | (near(acc["quoted"]) & (since.rlike(_RANGE) | since.rlike(_AND)))
-        gap = _piece(text, F.coalesce(acc["end"], F.lit(0)), x["start"])
         between = F.struct((near(acc["end"]) & gap.rlike(_RANGE)).alias("signed"), (near(acc["end"]) & gap.rlike(_AND)).alias("and"), (near(acc["end"]) & gap.rlike(_SIDE_BETWEEN)).alias("sided"))
 
         def read(b: Column) -> Column:
@@ -220,9 +247,11 @@ def _plain(text: Column) -> Column:
     return test
 
 
-def grade_of(description: Column) -> Column:
-    """The bucket of the grade that a description states; null where it states none, or is null or empty."""
+def grade_of(description: Column, limit: int | None = LIMIT) -> Column:
+    """The bucket of the grade that a description states; null where it states none, or is null or empty. A text is read up to limit
+    characters, whole without one."""
     unmarked = F.replace(F.replace(F.coalesce(description, F.lit("")), F.lit("\u0001"), F.lit(" ")), F.lit("\u0002"), F.lit(" "))
-    clean = let(unmarked, lambda t: F.substring(F.when(_plain(t), F.trim(t)).otherwise(squash(t)), 1, LIMIT))
-    number = let(clean, lambda t: let(_words_of(t), lambda w: let(_edged(t, w), lambda e: let(_judged(t, e), lambda j: _counted(t, j)))))
+    clean = let(unmarked, lambda t: F.when(_plain(t), F.trim(t)).otherwise(squash(t)))
+    read = clean if limit is None else F.substring(clean, 1, limit)
+    number = let(read, lambda t: let(_pieces(t), lambda p: _counted(_judged_words(p))))
     return F.get(F.array(*map(F.lit, BUCKETS)), number)

@@ -80,7 +80,7 @@ _GRADED = (
 def lot_grades(spark, sf_dir):
     said = F.get(F.array(*(F.lit(t) for t, _ in _GRADED)), (F.col("l_partkey") % len(_GRADED)).cast("int"))
     text = F.concat_ws(" ", F.lit("Trajan. Denarius. RIC"), F.concat("l_suppkey", F.lit(".")), F.concat(F.format_number(F.col("l_quantity"), 2), F.lit(" g.")), said)
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sale"), F.col("l_linenumber").alias("lot"), grades.grade_of(text).alias("grade"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sale"), F.col("l_linenumber").alias("lot"), grades.grade_of(text, limit=None).alias("grade"))
     return rows.groupBy("sale", "lot", "grade").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -45,7 +45,7 @@ def price_medians_by_grade(spark, sf_dir):
     # Descriptions are written from the rows, and their grades read from the descriptions.
     rows = provider_rows(spark, sf_dir)
     text = F.concat(F.lit("Nero. As. RIC "), F.col("row_idx"), F.lit(", 10.83 g. "), F.replace(F.replace(F.col("grade"), F.lit("AU/Mint State"), F.lit("NGC Choice MS 5/5 - 4/5")), F.lit(" and below"), F.lit(", porous")), F.lit("."))
-    return _rounded(statistics.medians(rows.withColumn("grade", grades.grade_of(text)), ["currency", "grade"]), "median")
+    return _rounded(statistics.medians(rows.withColumn("grade", grades.grade_of(text, limit=None)), ["currency", "grade"]), "median")
 
 
 @query(f"""WITH {PROVIDER_ROWS}, sides AS (

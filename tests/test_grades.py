@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaestor.functions import grades
+from quaestor.plans.queries import QUERIES
 
 #: Texts and the bucket each must be read as.
 KNOWN = {
@@ -257,6 +258,17 @@ def test_what_lies_beyond_the_limit_is_not_read(spark):
     assert read(spark, ["x" * 4000 + ". EF", "EF. " + "x " * 50_000]) == [None, "EF"]
 
 
+def test_whole_texts_are_read_without_a_limit(spark, data):
+    """By any number of words, of which a range's may lie in two blocks; the queries set no limit."""
+    texts = ["x" * 4000 + ". EF", "Trajan. " * 500 + "Grade: VF. Notes: EF.", "VF. " * 2000 + "Fine", "Kopf nach links. " * 300 + "ss-vz"]
+    texts += ["FDC. " * n + "EF/VF. Ex " + "y" * 500 + "." for n in (62, 63, 64, 127)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    found = [r.g for r in df.select("k", grades.grade_of(F.col("t"), limit=None).alias("g")).orderBy("k").collect()]
+    assert found == ["EF", "VF", "Fine and below", "VF"] + ["VF"] * 4
+    for name in ("lot_grades", "price_medians_by_grade"):
+        assert str(grades.LIMIT) not in QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("part", ["VF/EF ", "very fine ", "ss ", "Fine - ", "Good "])
 def test_hostile_texts_cost_no_more_than_others(part, spark):
     begin = time.perf_counter()
