@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, squash
+from .text import let, plain, squash
 
 #: Characters that a column of a result page reads of a text; EDGE of them on either side of a word, CITATION before one.
 LIMIT, EDGE, CITATION = 3000, 24, 160
@@ -155,7 +155,7 @@ def _edged(text: Column, words: Column) -> Column:
 
 
 def _judged(text: Column, words: Column) -> Column:
-    """Words with what their edges, and the word behind each, say of them."""
+    """The first BLOCK words with what their edges, and the word behind each, say of them."""
 
     def judge(x: Column, k: Column) -> Column:
         # What a label or a quotation ends in, before any pattern is tried.
@@ -185,7 +185,7 @@ def _judged(text: Column, words: Column) -> Column:
             F.when(kind == "praise", first | before.rlike(r"[.;,:/]\s*$") | measured).alias("clause"), F.when(kind == "range", F.coalesce(beside & (later["told"]["kind"] != "range") & (gap.rlike(_RANGE) | gap.rlike(_SIDE_BETWEEN)), F.lit(False))).alias("opens_range"),
         )
 
-    return F.transform(words, judge)
+    return F.transform(F.slice(words, 1, BLOCK), judge)
 
 
 def _judged_words(pieces: Column) -> Column:
@@ -199,9 +199,9 @@ def _judged_words(pieces: Column) -> Column:
         text = lambda p: F.replace(F.array_join(p, ""), F.lit("\u0002"), F.lit(""))
         # With the next block's first word, which the last one is judged by.
         words = lambda p: F.slice(_words_of(p, begin == 0), own + 1, F.lit(BLOCK + 1))
-        return F.slice(let(around, lambda p: let(text(p), lambda t: let(_edged(t, words(p)), lambda e: _judged(t, e)))), 1, BLOCK)
+        return let(around, lambda p: let(text(p), lambda t: let(_edged(t, words(p)), lambda e: _judged(t, e))))
 
-    return F.flatten(F.transform(blocks, block))
+    return let(F.transform(blocks, block), F.flatten)
 
 
 def _counted(words: Column) -> Column:
@@ -239,19 +239,11 @@ def _counted(words: Column) -> Column:
     return F.aggregate(words, start, step, lambda acc: F.when(acc["labelled"], acc["now"]).otherwise(F.coalesce(acc["kept"], acc["now"])))
 
 
-def _plain(text: Column) -> Column:
-    """Whether a text is ASCII with single spaces alone, told without a pattern."""
-    test = F.octet_length(text) == F.length(text)
-    for run in ("  ", *"\t\n\v\f\r"):
-        test = test & ~text.contains(run)
-    return test
-
-
 def grade_of(description: Column, limit: int | None = LIMIT) -> Column:
     """The bucket of the grade that a description states; null where it states none, or is null or empty. A text is read up to limit
     characters, whole without one."""
     unmarked = F.replace(F.replace(F.coalesce(description, F.lit("")), F.lit("\u0001"), F.lit(" ")), F.lit("\u0002"), F.lit(" "))
-    clean = let(unmarked, lambda t: F.when(_plain(t), F.trim(t)).otherwise(squash(t)))
+    clean = let(unmarked, lambda t: F.when(plain(t), F.trim(t)).otherwise(squash(t)))
     read = clean if limit is None else F.substring(clean, 1, limit)
     number = let(read, lambda t: let(_pieces(t), lambda p: _counted(_judged_words(p))))
     return F.get(F.array(*map(F.lit, BUCKETS)), number)

@@ -20,8 +20,12 @@ MARKS = {"USD": r"(?i)US\$|\$|\bUSD\b", "EUR": r"(?i)€|\bEUR\b", "GBP": r"(?i)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    """use(value), with value computed once.
+
+    As the end of a fold over nothing: an item of a transformed array has its type worked out anew for
+    every row, over all that use holds.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, use)
 
 
 def squash(text: Column) -> Column:
@@ -29,6 +33,14 @@ def squash(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", " "))
 
 
+def plain(text: Column) -> Column:
+    """Whether a text is ASCII with single spaces alone, told without a pattern."""
+    test = F.octet_length(text) == F.length(text)
+    for run in ("  ", *"\t\n\v\f\r"):
+        test = test & ~text.contains(run)
+    return test
+
+
 @F.pandas_udf(T.StringType())
 def _folded(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
@@ -98,8 +110,8 @@ _MARKED = {chr(k): d[0] for k in range(0xC0, 0x2000) for d in [unicodedata.norma
 
 def name_key(text: Column) -> Column:
     """The key of a name: squashed, lower-cased, without diacritics. All within the JVM, for names in alphabets below U+2000."""
-    plain = F.translate(squash(text), "".join(_MARKED), "".join(_MARKED.values()))
-    return F.lower(F.regexp_replace(plain, r"\p{M}+", ""))
+    bare = lambda t: F.regexp_replace(F.translate(squash(t), "".join(_MARKED), "".join(_MARKED.values())), r"\p{M}+", "")
+    return F.lower(let(text, lambda t: F.when(plain(t), F.trim(t)).otherwise(bare(t))))
 
 
 def sale_date(text: Column) -> Column:

@@ -9,10 +9,12 @@ and costs grow with the length of a text, not with its square.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.references import parse_reference
+from ..functions.references import READING, parse_reference
 from ..functions.text import let, name_key
 
 #: Characters read behind a key; a reference is far shorter.
@@ -70,9 +72,17 @@ def _any(words: str) -> str:
     return "|".join(sorted((w.replace(".", r"\.") for w in words.split("|")), key=len, reverse=True))
 
 
+def _branched(words: str) -> str:
+    """The same alternatives by their first letter, so that only those a word can be are tried."""
+    first: dict[str, list[str]] = {}
+    for w in words.split("|"):
+        first.setdefault(w[0].lower(), []).append(w)
+    return "(?:" + "|".join(f"(?={c})(?:{_any('|'.join(group))})" for c, group in first.items()) + ")"
+
+
 _KEY = (
-    rf"(?=[\p{{Lu}}c])(?<![\p{{L}}\d])((?i:cf\.?\s*)?)((?=\p{{Lu}})(?iu:Newell(?:,\s*|\s+)Demetrius(?:\s+Poliorcetes)?|{_any(PLAIN)}|Price(?!\s+reali[sz]ed)|(?:{_any(DOTTED)})\.?){_NO_WORD}|Y#"
-    rf"|(?=\p{{Lu}})(?iu:{_any(f'{NAMES}|{WORDS}')})\b(?=(?:{_GAP}|(?:{_SEP}*{_PASSED}){{1,2}}{_SEP}*[IVXL]+{_SEP}+){_DIGIT})|(?=\p{{Lu}})(?iu:{_any(PLATES)})\b(?={_GAP}{_NUMERAL}{_DIGIT})|[CS]{_NO_WORD})"
+    rf"(?=[\p{{Lu}}c])(?<![\p{{L}}\d])((?i:cf\.?\s*)?)((?=\p{{Lu}})(?iu:Newell(?:,\s*|\s+)Demetrius(?:\s+Poliorcetes)?|{_branched(PLAIN)}|Price(?!\s+reali[sz]ed)|{_branched(DOTTED)}\.?){_NO_WORD}|Y#"
+    rf"|(?=\p{{Lu}})(?iu:{_branched(f'{NAMES}|{WORDS}')})\b(?=(?:{_GAP}|(?:{_SEP}*{_PASSED}){{1,2}}{_SEP}*[IVXL]+{_SEP}+){_DIGIT})|(?=\p{{Lu}})(?iu:{_branched(PLATES)})\b(?={_GAP}{_NUMERAL}{_DIGIT})|[CS]{_NO_WORD})"
 )
 
 
@@ -85,10 +95,26 @@ def _in(name: Column, words: str) -> Column:
     return name.isin([w.lower() for w in words.split("|")])
 
 
+def _has(text: Column, *parts: str) -> Column:
+    """Whether a text holds any of the parts, told without a pattern."""
+    return reduce(lambda test, part: test | text.contains(part), parts[1:], text.contains(parts[0]))
+
+
+def _asked(test: Column, text: Column, pattern: str, to: str | Column) -> Column:
+    """A text with a pattern replaced, which is tried only where a test says so."""
+    return F.when(test, F.regexp_replace(text, pattern, to)).otherwise(text)
+
+
 def clean(text: Column) -> Column:
     """Without characters that do not show, long dashes as short ones, blanks within a line as one space."""
-    shown = F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0001-\u0003\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff]", "")
-    return F.regexp_replace(F.regexp_replace(shown, "[\u2013\u2014]", "-"), r"[^\S\n]+", " ")
+    hidden = "[\u0001-\u0003\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff]"
+
+    def shown(t: Column) -> Column:
+        # Texts of ASCII need a look at single characters alone; so do blanks.
+        return F.when(_has(t, "\u0001", "\u0002", "\u0003") | (F.octet_length(t) != F.length(t)), F.regexp_replace(F.regexp_replace(t, hidden, ""), "[\u2013\u2014]", "-")).otherwise(t)
+
+    spaced = lambda t: F.when(_has(t, "  ", *"\t\v\f\r"), F.regexp_replace(t, r"[^\S\n]+", " ")).otherwise(t)
+    return let(let(F.coalesce(text, F.lit("")), shown), spaced)
 
 
 def _sentences(text: Column) -> Column:
@@ -106,6 +132,11 @@ def _bought(sentence: Column) -> Column:
     return sentence.rlike(rf"^\s*(?:{_any(PURCHASE)})\b")
 
 
+def _tells(text: Column) -> Column:
+    """Whether any sentence may tell where a coin came from; a text of which none does is not parted."""
+    return text.rlike(rf"(?:^|[.!?\n])\s*(?=[A-Z])(?:(?:{_any(f'{PROVENANCE}|{PURCHASE}')})\b|Asta [A-Z])")
+
+
 #: Where a citation begins that the sentence of a purchase runs on to.
 _RUN_ON = rf"(?:[;,]|\s-)?\s\(?((?:{_any(TYPED)})\.?[\s.,:#-]*[IVX\d].*)$"
 
@@ -118,7 +149,7 @@ def without_provenance(text: Column) -> Column:
         behind = F.regexp_extract(x, _RUN_ON, 1)
         return F.when(_owned(x), "").when(_bought(x), F.when(behind != "", F.concat(F.lit(" "), behind)).otherwise("")).otherwise(x)
 
-    return F.array_join(F.transform(_sentences(text), left), "")
+    return let(text, lambda t: F.when(_tells(t), F.array_join(F.transform(_sentences(t), left), "")).otherwise(t))
 
 
 def _keys(lots: DataFrame, id_: str, text: str) -> DataFrame:
@@ -151,24 +182,14 @@ def _keys(lots: DataFrame, id_: str, text: str) -> DataFrame:
     return rows.groupBy("_id", F.col("_of").alias("k")).agg(first("cf"), first("key"), first("opens"), F.max(F.when(F.col("_listed"), F.substring(F.col("before"), -60, 60))).alias("before"), F.max(F.when(F.col("k") == 1, F.col("head"))).alias("head"), tail.alias("after")).withColumn("name", _name(F.col("key")))
 
 
-def _words(chunk: Column) -> Column:
-    """Words and brackets, each with the blanks in front of it."""
-    return F.regexp_extract_all(chunk, F.lit(r"\s*(?:\([^()]*\)|[^\s()]+)"), F.lit(0))
+_WORD = r"\s*+(?:\([^()]*+\)|[^\s()]++)"
+_NUMBERED_BODY = rf"(?:{_WORD}){{0,4}}\s*+[^\s()]*\d[^\s()]*+(?:\s*+\([^()]*+\)|\s++(?:var\.?|passim){_NO_WORD}[^\s()]*+){{0,8}}"
 
 
 def _body(chunk: Column) -> Column:
     """The start of a chunk up to a number within five words, with brackets, var. or passim behind it; three words
-    at most where there is no number; else empty."""
-
-    def read(words: Column) -> Column:
-        number = F.array_max(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.when(F.coalesce(F.get(words, k - 1).rlike(r"^\s*[^\s()]*\d[^\s()]*$"), F.lit(False)), k).otherwise(0)))
-        rest = F.slice(words, number + 1, F.lit(8))
-        stop = F.array_position(F.transform(rest, lambda w: ~w.rlike(rf"^\s*\(|^\s+(?:var\.?|passim){_NO_WORD}")), F.lit(True)).cast("int")
-        more = F.when(stop == 0, F.size(rest)).otherwise(stop - 1)
-        bare = (F.size(words) <= 3) & ~F.exists(words, lambda w: w.rlike(r"[\d()]"))
-        return F.when(number > 0, F.array_join(F.slice(words, F.lit(1), number + more), "")).when(bare, F.array_join(words, "")).otherwise(F.lit(""))
-
-    return F.get(F.transform(F.array(_words(chunk)), read), F.lit(0))
+    at most where there is no number; else empty. Brackets of a chunk are whole."""
+    return F.regexp_extract(chunk, rf"^({_NUMBERED_BODY}|(?:\s*+[^\s()\d]++){{0,3}}+(?=\s*+$))", 1)
 
 
 def _spans(keys: DataFrame) -> DataFrame:
@@ -176,14 +197,15 @@ def _spans(keys: DataFrame) -> DataFrame:
     text_ = Window.partitionBy("_id").orderBy("k")
     c = F.col
     keys = keys.withColumns({"typed_key": _in(c("name"), TYPED), "_next_opens": F.coalesce(F.lead("opens").over(text_), F.lit(False))})
-    span = F.when(c("_next_opens"), F.regexp_replace("after", r"\($", "")).otherwise(c("after"))
-    span = F.get(F.split(span, r"\s+OCRE\b", 2), F.lit(0))
-    span = F.when(_in(c("name"), "RIC|RRC|Pr"), F.regexp_replace(span, r"^\.(?=\s+\d)", "")).when(_in(c("name"), "CPE|" + TYPED[TYPED.index("Newell") :]), F.regexp_replace(span, r"^\s*,?\s*no\.\s*(?=[Bb]?\d)", " ")).otherwise(span)
-    span = F.regexp_replace(span, rf"^(?:{_SEP}*{_PASSED}){{1,2}}{_SEP}*(?={_NUMERAL}{_DIGIT})", " ")
-    keys = keys.withColumn("span", span).withColumn("_near", F.substring("span", 1, SPAN))
-    keys = keys.withColumn("_open", F.regexp_extract("_near", r"^(?:[^()]|\([^()]*\))*", 0))
+    after = F.when(c("_next_opens") & c("after").endswith("("), F.left("after", F.length("after") - 1)).otherwise(c("after"))
+    keys = keys.withColumn("span", after)
+    keys = keys.withColumn("span", F.when(c("span").contains("OCRE"), F.get(F.split("span", r"\s+OCRE\b", 2), F.lit(0))).otherwise(c("span")))
+    stopped_ = _in(c("name"), "RIC|RRC|Pr") & c("span").startswith(".")
+    span = F.when(stopped_, F.regexp_replace("span", r"^\.(?=\s+\d)", "")).when(_in(c("name"), "CPE|" + TYPED[TYPED.index("Newell") :]), F.regexp_replace("span", r"^\s*,?\s*no\.\s*(?=[Bb]?\d)", " ")).otherwise(c("span"))
+    keys = keys.withColumn("span", F.regexp_replace(span, rf"^(?:{_SEP}*{_PASSED}){{1,2}}{_SEP}*(?={_NUMERAL}{_DIGIT})", " ")).withColumn("_near", F.substring("span", 1, SPAN))
+    keys = keys.withColumn("_open", F.when(_has(c("_near"), "(", ")"), F.regexp_extract("_near", r"^(?:[^()]++|\([^()]*+\))*+", 0)).otherwise(c("_near")))
     stopped = F.length("_open") < F.length("_near")
-    parts = F.split(F.replace(F.regexp_replace("_open", rf"(\([^()]*\))|({_TOP})", "$1\u0003$2\u0003"), F.lit("\u0003\u0003"), F.lit("")), "\u0003", -1)
+    parts = F.split(F.replace(F.regexp_replace("_open", rf"(?=[\s(;,.=])(?:(\([^()]*\))|({_TOP}))", "$1\u0003$2\u0003"), F.lit("\u0003\u0003"), F.lit("")), "\u0003", -1)
     keys = keys.withColumns({"_parts": parts, "_stopped": stopped | (F.length("span") > SPAN)})
     keys = keys.withColumn("_first", _body(F.get("_parts", F.lit(0))))
     volume_only = c("_first").rlike(r"(?i)^\s*(?:vol\.?\s*)?[IVX]+(?:\s*[./]\s*\d|\s+part\s*\d)?\s*(?:²|\(2\)|\(?2nd ed(?:ition|\.)?\)?)?\s*$")
@@ -244,20 +266,28 @@ def references(lots: DataFrame, id_: str = "id", text: str = "text") -> DataFram
     ric = _in(c("name"), "RIC|R.I.C")
     variant = c("written").rlike(rf"(?i)\d\s?v(?:ar)?\.?$|\bvar{_NO_WORD}")
     named = F.regexp_extract("written", r"\s*\((\p{Lu}[\p{L}/. ]+)\)", 1)
-    shown = F.regexp_replace(F.regexp_replace("written", r"(?i)\s+var\.?$|\s+passim$", ""), r"\s*\((?:[\p{Ll}=][^()]*|R+\d*|\d+(?:st|nd|rd|th) ed[^()]*|\d+\s?[$€£])\)", "")
-    shown = F.when(_in(c("name"), "SG|SGCV|GCV"), F.regexp_replace(shown, r"(?<=\d)v(?:ar)?\.?$", "")).when(_in(c("name"), "Cal"), F.regexp_replace(shown, r"^(?i:cal)\.?[\s.:#-]*(?:(?:19|20)\d\d\s*[,-]\s*(?=\d))?", "Calicó ")).otherwise(shown)
-    shown = F.when(ric, shown).otherwise(F.regexp_replace(shown, r"\s*\((?!2)\p{Lu}\p{Ll}+(?:[ /]\p{L}+)*\)", ""))
-    rows = rows.withColumns({"_ric": ric, "variant": variant, "_named": named, "text": F.regexp_replace(shown, r"\s*[.,;:]+$", "")})
-    asked = F.regexp_replace(F.regexp_replace("text", r"^R\.I\.C\.?\s*", "RIC "), r"^(RIC|RRC|Pr)[.-]\s*(?=\d)", "$1 ")
-    placed = F.regexp_replace(asked, r"\s*\(\p{Lu}[\p{L}/. ]+\)", "")
-    asked = F.when(c("_ric") & (c("_named") != ""), F.regexp_replace(placed, r"\s+(\S+)$", F.concat(F.lit(" "), F.replace("_named", F.lit("$"), F.lit("")), F.lit(" $1")))).otherwise(F.regexp_replace(asked, r"^Pr (?=\d)", "Price "))
-    rows = rows.withColumn("_asked", asked).withColumn("_read", F.when(c("typed_key"), parse_reference(c("_asked"))))
+    remark = r"\s*\((?:[\p{Ll}=][^()]*|R+\d*|\d+(?:st|nd|rd|th) ed[^()]*|\d+\s?[$€£])\)"
+    bare = let(_asked(c("written").rlike(r"[Mm]$|[Rr]\.?$"), c("written"), r"(?i)\s+var\.?$|\s+passim$", ""), lambda w: _asked(w.contains("("), w, remark, ""))
+
+    def shown(w: Column) -> Column:
+        named = F.when(_in(c("name"), "SG|SGCV|GCV"), F.regexp_replace(w, r"(?<=\d)v(?:ar)?\.?$", "")).when(_in(c("name"), "Cal"), F.regexp_replace(w, r"^(?i:cal)\.?[\s.:#-]*(?:(?:19|20)\d\d\s*[,-]\s*(?=\d))?", "Calicó ")).otherwise(w)
+        return let(let(named, lambda x: _asked(~ric & x.contains("("), x, r"\s*\((?!2)\p{Lu}\p{Ll}+(?:[ /]\p{L}+)*\)", "")), lambda x: F.regexp_replace(x, r"\s*[.,;:]+$", ""))
+
+    rows = rows.withColumns({"_ric": ric, "variant": variant, "_named": named, "text": let(bare, shown)})
+
+    def asked(t: Column) -> Column:
+        placed = lambda x: F.regexp_replace(F.regexp_replace(x, r"\s*\(\p{Lu}[\p{L}/. ]+\)", ""), r"\s+(\S+)$", F.concat(F.lit(" "), F.replace("_named", F.lit("$"), F.lit("")), F.lit(" $1")))
+        spaced = lambda x: F.when(x.startswith("R") | x.startswith("Pr"), F.regexp_replace(F.regexp_replace(x, r"^R\.I\.C\.?\s*", "RIC "), r"^(RIC|RRC|Pr)[.-]\s*(?=\d)", "$1 ")).otherwise(x)
+        return let(spaced(t), lambda x: F.when(c("_ric") & (c("_named") != ""), placed(x)).otherwise(_asked(x.startswith("Pr "), x, r"^Pr (?=\d)", "Price ")))
+
+    # Only keys with types ask for a reading.
+    rows = rows.withColumn("_asked", F.when(c("typed_key"), let(c("text"), asked))).withColumn("_read", F.when(c("typed_key"), parse_reference(c("_asked"))))
     blank = F.lit("")
     made = lambda catalogue, number: F.struct(F.lit(catalogue).alias("catalogue"), blank.alias("volume"), blank.alias("section"), number.alias("number"))
     typed = c("typed_key") & (c("_read.catalogue") != "Other") & ((c("_read.catalogue") != "RIC") | c("_ric"))
     reference = F.when(F.coalesce(typed, F.lit(False)), c("_read")).when(c("_ric"), made("RIC", F.regexp_replace("text", r"^(?:R\.I\.C|RIC)[\s.:#-]*", ""))).otherwise(made("Other", c("text")))
     rows = rows.withColumn("reference", reference)
-    again = F.row_number().over(Window.partitionBy("_id", F.replace(F.lower(F.to_json("reference")), F.lit(" "), F.lit(""))).orderBy("k"))
+    again = F.row_number().over(Window.partitionBy("_id", F.replace(F.lower(F.concat_ws("\u0001", *(f"reference.{n}" for n in READING))), F.lit(" "), F.lit(""))).orderBy("k"))
     rows = rows.withColumn("_again", again).filter("_again = 1")
     position = F.row_number().over(Window.partitionBy("_id").orderBy("k"))
     return rows.select(c("_id").alias(id_), position.alias("position"), c("text").alias("written"), "reference", "cf", "variant", (c("reference.catalogue") != "Other").alias("typed"))
@@ -269,18 +299,22 @@ def rulers(lots: DataFrame, people: DataFrame, id_: str = "id", text: str = "tex
     A heading ends at the first key (with provenance left out), or at what describes a picture. From the left the longest run of words that
     is a name counts; a name of two people names both. Texts that name nobody have no row.
     """
-    head = F.get(F.split(F.regexp_replace(without_provenance(clean(F.col(text))), _KEY, "\u0001$1\u0002$2\u0002"), "\u0001", 2), F.lit(0))
-    head = F.get(F.split(head, r"(?i)\b(?:head of|bust of|suckling|standing|seated|obv|rev)\b", 2), F.lit(0))
+    pictured = r"(?=[hbsorHBSOR])\b(?i:head of|bust of|suckling|standing|seated|obv|rev)\b"
+    head = F.regexp_extract(without_provenance(clean(F.col(text))), rf"(?s)^(.*?)(?:{_KEY}|{pictured}|\z)", 1)
     # A full stop parts clauses, so that no name runs across it.
     words = F.regexp_extract_all(head, F.lit(r"\p{L}[\p{L}\p{M}'’/]*|[.;:(\n]"), F.lit(0))
     # Words get their keys once each; a run is the keys of its words. Outer, so that no filter on the runs is inferred, below which they would be made once more.
     rows = lots.select(F.col(id_).alias("_id"), F.transform(words, name_key).alias("_w"))
     run = lambda k, n: F.array_join(F.filter(F.slice("_w", k + 1, n), lambda w: w != ""), " ")
-    runs = F.flatten(F.transform("_w", lambda _, k: F.transform(F.sequence(F.lit(1), F.lit(NAME_WORDS)), lambda n: F.struct(k.alias("s"), (k + n).alias("e"), run(k, n).alias("t")))))
-    found = rows.select("_id", F.explode_outer(runs).alias("r")).select("_id", "r.s", "r.e", F.col("r.t").alias("_key"))
     spelt = people.select(name_key(F.col("name")).alias("_key"), "person").distinct().groupBy("_key").agg(F.array_sort(F.collect_list("person")).alias("_people"))
+    # Names are few and sent to where texts are. Runs are made only where a word begins a name.
+    begin = F.transform("_w", lambda _, k: F.struct(k.alias("s"), F.get(F.filter(F.slice("_w", k + 1, NAME_WORDS), lambda w: w != ""), F.lit(0)).alias("w")))
+    begun = rows.select("_id", "_w", F.explode_outer(begin).alias("r")).select("_id", "_w", "r.s", F.col("r.w").alias("_first"))
+    begun = begun.join(F.broadcast(spelt.select(F.substring_index("_key", " ", 1).alias("_first")).distinct()), "_first", "left_semi")
+    runs = F.transform(F.sequence(F.lit(1), F.lit(NAME_WORDS)), lambda n: F.struct((F.col("s") + n).alias("e"), run(F.col("s"), n).alias("t")))
+    found = begun.select("_id", "s", F.explode_outer(runs).alias("r")).select("_id", "s", "r.e", F.col("r.t").alias("_key"))
     # Only runs that are names are moved, once by their text.
-    hits = found.join(spelt, "_key").select("_id", "s", "e", "_people").repartition("_id").distinct()
+    hits = found.join(F.broadcast(spelt), "_key").select("_id", "s", "e", "_people").repartition("_id").distinct()
     before = Window.partitionBy("_id").orderBy("s", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
     hits = hits.withColumn("_taken", F.coalesce(F.max("e").over(before), F.lit(0))).filter("s >= _taken")
     return hits.groupBy(F.col("_id").alias(id_)).agg(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("s", "_people"))), lambda x: x["_people"]))).alias("rulers"))

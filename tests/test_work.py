@@ -4,7 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from quaestor.functions import grades
+from quaestor.functions import grades, text
+from quaestor.functions.references import parse_reference
 from quaestor.operators import bids, evidence, lots, provider
 from quaestor.plans import views
 from quaestor.plans.queries import QUERIES
@@ -26,6 +27,29 @@ def test_only_names_are_moved(spark, tmp_path):
     assert not re.search(r"Aggregate \[_id#\d+L?, s#\d+, e#\d+, _key", _plan(lots.rulers(spark.read.parquet(f"{tmp_path}/lots"), people)))
 
 
+def test_runs_are_made_where_a_word_begins_a_name(spark, tmp_path):
+    """Words meet the first words of names before any run is made of them."""
+    spark.createDataFrame([(1, "Titus. RIC 5; Cohen 7")], "id int, text string").write.parquet(f"{tmp_path}/lots")
+    people = spark.createDataFrame([("titus", "Titus")], "person string, name string")
+    plan = _plan(lots.rulers(spark.read.parquet(f"{tmp_path}/lots"), people))
+    above, below = plan.split("LeftSemi")
+    assert above.count("Generate explode(") == below.count("Generate explode(") == 1
+
+
+def test_what_is_bound_has_its_type_worked_out_once(spark):
+    """Not for every row: no item is taken of an array that is made within a row."""
+    assert "transform(array(" not in _plan(spark.range(3).select(text.let(F.col("id") + 1, lambda x: text.let(x * 2, lambda y: y + x)).alias("x")))
+    assert "transform(array(" not in _plan(spark.range(3).select(parse_reference(F.col("id").cast("string")).alias("x")))
+
+
+def test_keys_are_tried_by_their_first_letter(spark):
+    """As the alternatives one by one, longer ones first."""
+    for words in (lots.PLAIN, lots.DOTTED, lots.NAMES, lots.PLATES):
+        one, other = (re.compile(p, re.IGNORECASE) for p in (lots._any(words), lots._branched(words)))
+        for w in words.split("|"):
+            assert all(getattr(one.match(x), "group", str)() == getattr(other.match(x), "group", str)() for x in (w, w + "H", w[:-1], w.upper(), w + " 5"))
+
+
 def test_links_of_a_page_are_read_once(spark, tmp_path):
     spark.createDataFrame([("<p>", "nero", "a", "USD")], "html string, term string, section string, currency string").write.parquet(f"{tmp_path}/pages")
     assert _plan(provider.read_pages(spark.read.parquet(f"{tmp_path}/pages"), "https://r.example", F.lit("1997-01-01").cast("date"))).count('''href=["']([^"']+)["']''') <= 2
