@@ -321,12 +321,12 @@ def rulers(lots: DataFrame, people: DataFrame, id_: str = "id", text: str = "tex
 
 
 _ENDS = r"^[\s,.;:–-]+|[\s,.;:–-]+$"
-_YEAR = rf"(?<!\b(?i:{_any(NO_YEAR)})\.? ?)(?<!# ?)(?<!n\.?[°º] ?)(?<![\d,])(?:1[6-9]\d\d|20\d\d)(?!\d|[.,]\d)"
-_LOT = rf"(?i),? ?\b(?:{_any(LOT_WORDS)})\b\.? ?(?:no\.? ?|nr\.? ?|n\.?[°º] ?|n\. ?|# ?)?(\d{{1,6}}[a-z]?)(?![\da-z])"
+_YEAR = rf"(?=[12])(?<!\b(?i:{_any(NO_YEAR)})\.? ?)(?<!# ?)(?<!n\.?[°º] ?)(?<![\d,])(?:1[6-9]\d\d|20\d\d)(?!\d|[.,]\d)"
+_LOT = rf"(?i)(?=[, l]),? ?\b(?:{_any(LOT_WORDS)})\b\.? ?(?:no\.? ?|nr\.? ?|n\.?[°º] ?|n\. ?|# ?)?(\d{{1,6}}[a-z]?)(?![\da-z])"
 _NUMBERED = r"(?i), ?(?:n[or]\b\.?|n\.?[°º]|n\.) ?(\d{1,6}[a-z]?)(?![\da-z])"
-_LAST = rf"(?i)(?<={_YEAR}\)?), (\d{{1,6}}[a-z]?)$"
-_DATED = rf"(?iu)(?:(?:\b\d{{1,2}}(?:st|nd|rd|th|er)?\.? (?:de )?)?\b(?:{_any(MONTHS)})\.? (?:de )?(?:\d{{1,2}}(?:st|nd|rd|th)?,? )?|\b\d{{1,2}}[./]\d{{1,2}}[./])$"
-_VERB = r"(?iu)(?<![\p{L}\d])(?:privately purchased from|purchased privately from|acquired from|purchased from|bought from|erworben\b[^,;()]{0,40}?\bbei(?:\s+(?:der|dem|den))?)\s+"
+_LAST = rf"(?i)(?=, \d)(?<={_YEAR}\)?), (\d{{1,6}}[a-z]?)$"
+_DATED = rf"(?iu)(?:(?:\b\d{{1,2}}(?:st|nd|rd|th|er)?\.? (?:de )?)?\b{_branched(MONTHS)}\.? (?:de )?(?:\d{{1,2}}(?:st|nd|rd|th)?,? )?|\b\d{{1,2}}[./]\d{{1,2}}[./])$"
+_VERB = r"(?iu)(?=[pabe])(?<![\p{L}\d])(?:privately purchased from|purchased privately from|acquired from|purchased from|bought from|erworben\b[^,;()]{0,40}?\bbei(?:\s+(?:der|dem|den))?)\s+"
 
 
 def provenance(lots: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
@@ -339,7 +339,8 @@ def provenance(lots: DataFrame, id_: str = "id", text: str = "text") -> DataFram
     """
     c = F.col
     ends = lambda x: F.regexp_replace(x, _ENDS, "")
-    told = F.transform(F.filter(_sentences(clean(c(text))), lambda x: _owned(x) | _bought(x)), lambda x: F.when(_bought(x), F.regexp_replace(x, _RUN_ON, "")).otherwise(x))
+    owners = lambda t: F.transform(F.filter(_sentences(t), lambda x: _owned(x) | _bought(x)), lambda x: F.when(_bought(x), F.regexp_replace(x, _RUN_ON, "")).otherwise(x))
+    told = let(clean(c(text)), lambda t: F.when(_tells(t), owners(t)))
     parts = rf";|,(?= ?[Ee][Xx] )| and (?=[Ee][Xx] )|,(?= (?:(?iu:{_any(PURCHASE)}) from|[Ee]rworben) )|(?<=\.) (?=(?:{_any(f'{PROVENANCE}|{PURCHASE}')})\b)"
     entry = lambda x: ends(F.regexp_replace(ends(x), r"(?i)^(?:provenance|provenienza?|provenienz) ?:? ?", ""))
     aside = r"\s*\((?:(?!(?:part|vol|lot)\b)(?![^()]*(?<!\d)(?:1[6-9]\d\d|20\d\d)(?!\d))\p{Ll}[^()]*|[^()]*(?:[$€£]|\b(?:CHF|EUR|USD|GBP)\b)[^()]*)\)$"
@@ -350,22 +351,25 @@ def provenance(lots: DataFrame, id_: str = "id", text: str = "text") -> DataFram
         return ends(F.regexp_replace(left, aside, ""))
 
     # Entries are counted within their row, so that texts of one id stay apart.
-    entries = F.transform(F.flatten(F.transform(told, lambda x: F.split(x, parts, -1))), entry)
-    read = F.filter(F.transform(entries, lambda x: F.struct(x.alias("entry"), bare(x).alias("w"))), lambda x: x["w"].rlike(r"[\p{L}\d]"))
+    parted = lambda x: F.split(F.regexp_replace(x, parts, "\u0003"), "\u0003", -1)
+    entries = lambda told: let(F.transform(told, parted), lambda x: F.transform(F.flatten(x), entry))
+    named = lambda x: F.filter(x, lambda e: e["w"].rlike(r"[\p{L}\d]"))
+    read = let(told, lambda t: let(let(entries(t), lambda e: F.transform(e, lambda x: F.struct(x.alias("entry"), bare(x).alias("w")))), named))
     rows = lots.select(c(id_).alias("_id"), F.posexplode(F.slice(read, 1, ENTRIES)).alias("_k", "_e"))
     rows = rows.select("_id", (c("_k") + 1).alias("position"), c("_e.entry").alias("entry"), c("_e.w").alias("_w"))
     # A sale's year and lot together in brackets are written as if they stood without.
     rows = rows.withColumn("_w", F.regexp_replace("_w", rf"(?i)\(([^()]{{0,55}}{_YEAR}), (\d{{1,6}}[a-z]?)\)$", "($1), $2"))
-    how = F.when(c("_w").rlike(_LOT), 1).when(c("_w").rlike(_NUMBERED), 2).when(c("_w").rlike(_LAST), 3).otherwise(0)
-    rows = rows.withColumn("_how", how)
-    by = lambda f: F.when(c("_how") == 1, f(_LOT)).when(c("_how") == 2, f(_NUMBERED)).when(c("_how") == 3, f(_LAST))
-    rows = rows.withColumns({"lot": by(lambda p: F.regexp_extract("_w", p, 1)), "_v": F.coalesce(by(lambda p: F.regexp_replace("_w", rf"^(.*?)(?:{p})(.*)$", "$1$3")), c("_w"))})
+    # Each pattern is tried once: what it finds is set before the rest, behind a mark.
+    lot = lambda p: F.regexp_replace("_w", rf"(?s)^(.*?)(?:{p})(.*)$", "$2\u0003$1$3")
+    first = lambda p, other: let(lot(p), lambda x: F.when(x.contains("\u0003"), x).otherwise(other))
+    rows = rows.withColumn("_m", F.split(first(_LOT, first(_NUMBERED, lot(_LAST))), "\u0003"))
+    rows = rows.withColumns({"lot": F.when(F.size("_m") == 2, F.get("_m", F.lit(0))), "_v": F.element_at("_m", -1)})
     rows = rows.withColumn("_v", F.regexp_replace("_v", r"(?i),?\s+in\s+(?=(?:1[6-9]\d\d|20\d\d)(?![\d.,]\d))", " "))
-    last = rf"^(.*)({_YEAR})(.*)$"
-    has = c("_v").rlike(last)
-    rows = rows.withColumns({"year": F.when(has, F.regexp_extract("_v", last, 2)).cast("int"), "_l": F.when(has, F.regexp_extract("_v", last, 1)).otherwise(c("_v")), "_r": F.when(has, F.regexp_extract("_v", last, 3)).otherwise("")})
+    rows = rows.withColumn("_m", F.split(F.regexp_replace("_v", rf"^(.*)({_YEAR})(.*)$", "$2\u0003$1\u0003$3"), "\u0003"))
+    has = F.size("_m") == 3
+    rows = rows.withColumns({"year": F.when(has, F.get("_m", F.lit(0))).cast("int"), "_l": F.when(has, F.get("_m", F.lit(1))).otherwise(c("_v")), "_r": F.when(has, F.get("_m", F.lit(2))).otherwise("")})
     bracketed = c("year").isNotNull() & c("_l").rlike(r"\([^()]*$") & c("_r").rlike(r"^[^()]*\)")
-    left = F.when(bracketed, F.regexp_replace("_l", r"\([^()]*$", "")).when(c("year").isNotNull(), F.concat(F.regexp_extract("_l", r"^(.*?)(.{0,30})$", 1), F.regexp_replace(F.regexp_extract("_l", r"^(.*?)(.{0,30})$", 2), _DATED, ""))).otherwise(c("_l"))
+    left = F.when(bracketed, F.regexp_replace("_l", r"\([^()]*$", "")).when(c("year").isNotNull(), F.concat(F.left("_l", F.length("_l") - 30), F.regexp_replace(F.right("_l", F.lit(30)), _DATED, ""))).otherwise(c("_l"))
     rows = rows.withColumn("_s", F.concat(left, F.when(bracketed, F.regexp_replace("_r", r"^[^()]*\)", "")).otherwise(c("_r"))))
     source = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c("_s"), "  +", " "), _VERB, ""), r", ?(?=,)", ""), r" +,", ",")
     rows = rows.withColumn("source", F.substring(ends(F.regexp_replace(source, "  +", " ")), 1, 120))

@@ -55,6 +55,23 @@ def test_links_of_a_page_are_read_once(spark, tmp_path):
     assert _plan(provider.read_pages(spark.read.parquet(f"{tmp_path}/pages"), "https://r.example", F.lit("1997-01-01").cast("date"))).count('''href=["']([^"']+)["']''') <= 2
 
 
+def test_addresses_of_a_page_are_parsed_for_path_and_query(spark, tmp_path):
+    """Not for each key of the query; what an address is asked for is read as before."""
+    row = '<tr id="1"><td><a class="R" href="lotviewer.php?%s&amp;AucID=1&amp;Lot=3&amp;Val=x"><div class="auctiontitle">A &amp;lt; B &#65;</div></a><nobr>4 Jan 1996</nobr></td><td class="price">5 USD</td></tr>'
+    head = "<span class='headertext'>Your search for '<b>nero</b>' matched 1 lots from auctions added in the last six months.</span><table>"
+    spark.createDataFrame([(head + row % asked, "nero", "a", "USD") for asked in ("LotID=1", "xLotID=1")], "html string, term string, section string, currency string").write.parquet(f"{tmp_path}/pages")
+    read = provider.read_pages(spark.read.parquet(f"{tmp_path}/pages"), "https://r.example", F.lit("1997-01-01").cast("date"))
+    assert sorted((r.status, [x.title for x in r.lots or []]) for r in read.collect()) == [("layout", []), ("ok", ["A &lt; B A"])]
+    assert len(re.findall(r"parse_?url\(", _plan(read), re.IGNORECASE)) <= 2
+
+
+def test_an_entry_meets_each_pattern_once(spark, tmp_path):
+    """Of a lot's number and of a year; texts that tell of no owner are not parted."""
+    spark.createDataFrame([(1, "Ex Leu 7, 1973, lot 5")], "id int, text string").write.parquet(f"{tmp_path}/lots")
+    plan = _plan(lots.provenance(spark.read.parquet(f"{tmp_path}/lots")))
+    assert [plan.count(p) for p in ("(?=[, l]),? ?", "(?i), ?(?:n[or]", ")(.*)$, $2\u0003$1\u0003$3")] == [1, 1, 1]
+
+
 def test_lines_meet_their_part_before_texts_are_made(spark, data):
     """Below the join of sale observations are the columns of the tables alone; keys are not compared within a sale."""
     rows = views.sale_obs(spark, data)
