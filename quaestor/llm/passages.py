@@ -42,6 +42,8 @@ FIRSTS = 200_000
 ROW_BITS = 24
 #: Bytes of segments put in suffix order at a time.
 BLOCK = 1_000_000
+#: Bits of the slots that tell windows of such a block apart, and bytes whose hashes are made at a time.
+WINDOW_BITS, CHUNK = 22, 1 << 15
 
 
 def _grams(text: np.ndarray, k: int) -> np.ndarray:
@@ -145,20 +147,45 @@ def previous_factors(order: np.ndarray, docs: np.ndarray, shared: np.ndarray, le
     return np.maximum(before, _previous_smaller(docs[::-1], turned, least)[::-1])
 
 
+def shared_windows(flat: np.ndarray, left: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Where LENGTH bytes start that a text of another number may hold too; all such places, and a few more whose hashes meet.
+
+    Of two different numbers that write to a slot one stays, which the other then finds.
+    """
+    places, slots = np.flatnonzero(left >= LENGTH), np.empty(len(flat), "i4")
+    for at in range(0, max(len(flat) - LENGTH + 1, 0), CHUNK):
+        part = _grams(flat[at : at + CHUNK + LENGTH - 1], LENGTH)
+        slots[at : at + len(part)] = part >> np.uint64(64 - WINDOW_BITS)
+    slots, number = slots[places], number[places].astype("i4")
+    last, met = np.empty(1 << WINDOW_BITS, "i4"), np.zeros(1 << WINDOW_BITS, bool)
+    last[slots] = number
+    met[slots[last[slots] != number]] = True
+    return places[met[slots]]
+
+
 def covered(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each place where LENGTH bytes of a text start: whose text and which place, if a
-    text of a smaller document has them too."""
+    text of a smaller document has them too.
+
+    Only stretches of windows that another document may hold are put in suffix order.
+    """
     flat = np.frombuffer(b"".join(texts), "u1")
     sizes = np.fromiter(map(len, texts), "i8", len(texts))
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(texts)), sizes)
-    left = ends[owner] - np.arange(len(flat))
+    near = shared_windows(flat, ends[owner] - np.arange(len(flat)), np.unique(docs, return_inverse=True)[1][owner])
+    if not len(near):
+        return near, near
+    place = np.flatnonzero(np.cumsum(np.bincount(near, minlength=len(flat) + 1) - np.bincount(near + LENGTH, minlength=len(flat) + 1))[:-1])
+    flat, of = flat[place], owner[place]
+    last = np.append(np.flatnonzero((np.diff(place) > 1) | (np.diff(of) > 0)), len(place) - 1)
+    left = np.repeat(last, np.diff(last, prepend=-1)) + 1 - np.arange(len(place))
     levels = suffix_order(flat, left)
     whole = np.flatnonzero(left >= LENGTH)
     order = whole[np.argsort(levels[-1][1][whole])]
-    factors = previous_factors(order, docs[owner[order]], common_prefixes(order, flat, left, levels), LENGTH)
+    factors = previous_factors(order, docs[of[order]], common_prefixes(order, flat, left, levels), LENGTH)
     found = np.sort(order[factors >= LENGTH])
-    return owner[found], found - (ends - sizes)[owner[found]]
+    return of[found], place[found] - (ends - sizes)[of[found]]
 
 
 def _resolve(rows: list[tuple[bytes, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:

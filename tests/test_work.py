@@ -2,10 +2,12 @@
 
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quaestor.functions import grades, text
 from quaestor.functions.references import parse_reference
+from quaestor.llm import passages
 from quaestor.operators import bids, evidence, lots, provider
 from quaestor.plans import views
 from quaestor.plans.queries import QUERIES
@@ -93,3 +95,21 @@ def test_commands_are_put_in_order_once_they_are_dealt(spark, data):
     sent = [(1, "a", 2, "bid.place", 0, 500, None), (1, "a", 3, "bid.place", 1, 600, None), (2, "a", 1, "bid.place", 0, 7, None), (1, None, 4, "bid.place", 0, 9, None)]
     made = bids.apply(lots, spark.createDataFrame(sent, "lot_id long, request_id string, seq long, kind string, expected long, amount long, outcome string"))
     assert {r.id: r.active for r in made.collect()} == {1: 9, 2: 7}
+
+
+def test_only_shared_stretches_are_put_in_suffix_order(monkeypatch):
+    """Of texts that have one window in common, not the rest; what is covered is as by hand."""
+    rng, ordered = np.random.default_rng(1), []
+    alone = [rng.integers(97, 123, 2000).astype("u1").tobytes() for _ in range(8)]
+    texts = [*alone, alone[2][500:580] + alone[0][:70], alone[2][520:600]]
+    docs = np.array([5, 6, 7, 8, 1, 2, 3, 4, 9, 0])
+    put = passages.suffix_order
+    monkeypatch.setattr(passages, "suffix_order", lambda flat, left: ordered.append(len(flat)) or put(flat, left))
+    first = {}
+    for t, d in zip(texts, docs.tolist(), strict=True):
+        for i in range(len(t) - 49):
+            first[t[i : i + 50]] = min(d, first.get(t[i : i + 50], d))
+    hand = [(k, i) for k, (t, d) in enumerate(zip(texts, docs.tolist(), strict=True)) for i in range(len(t) - 49) if first[t[i : i + 50]] < d]
+    assert list(zip(*(x.tolist() for x in passages.covered(texts, docs)), strict=True)) == hand and hand
+    # A few windows share a slot by chance.
+    assert sum(ordered) < sum(map(len, texts)) / 2
